@@ -22,6 +22,8 @@ from vellum.operators.components import connected_components
 from vellum.session import cut, written
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
+#: Words that a worker turns into signatures at once.
+BATCH_WORDS = 400_000
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _EMPTY = np.zeros(0, dtype=_U)
@@ -150,8 +152,17 @@ def _ids(values: np.ndarray, docs: np.ndarray, n: int) -> pa.Array:
     return pa.array([x.tobytes() for x in both], type=pa.binary())
 
 
-def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about BATCH_WORDS words, so that memory follows neither the batch nor, but for one document, its texts."""
     for batch in batches:
+        ends = batch.column(column).offsets.to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff((ends - ends[0]) // BATCH_WORDS, prepend=-1)[:-1])
+        for a, b in zip(cuts, np.append(cuts[1:], batch.num_rows), strict=True):
+            yield batch.slice(a, b - a)
+
+
+def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches, 1):
         words, offsets = _flat(batch.column(1))
         docs, hashes, occ = counted(*shingles(words, offsets))
         sig = bag_signatures(docs, hashes, occ, batch.num_rows, bands * rows)
@@ -162,7 +173,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches, 0):
         words, offsets = _flat(batch.column(0))
         docs, hashes, occ = counted(*shingles(words, offsets))
         values = coded(hashes, occ)
@@ -201,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(signatures(docs, id_col, text_col, bands, rows))
     exact = signed.groupBy("exact").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n"))
     first = signed.groupBy("exact").agg(F.min("bands").alias("bands"))
-    buckets = cut(first.select("exact", F.posexplode("bands").alias("band", "key")))
+    buckets = first.select("exact", F.posexplode("bands").alias("band", "key"))
     lead = buckets.groupBy("band", "key").agg(F.min("exact").alias("a"), F.max("exact").alias("z")).where("a <> z").select("band", "key", "a")
     shared = cut(buckets.join(lead, ["band", "key"]))  # members of buckets of two and more
     wanted = shared.select("exact").distinct()
