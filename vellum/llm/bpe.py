@@ -30,7 +30,7 @@ from vellum.session import shuffle_width, written
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a block and the most word partitions.
-BLOCK_CHARS, MAX_PARTS = 24_000_000, 1_024
+BLOCK_CHARS, MAX_PARTS = 32_000_000, 1_024
 #: Distinct words a task remembers as encoded; beyond it, words met again are encoded again.
 MEMO = 1_000_000
 BLOCKS = "kind int, block long, part int, ids array<long>, lengths binary, data binary, parts binary"
@@ -183,7 +183,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Ids are those of ranks and pattern for the whole text, without special tokens. path: a rank file readable on every executor. Null
     texts are empty and have no ids; ids may be null or repeated; an empty table gives no rows; extra columns are not read.
-    Memory is a block's, whatever the documents: 24 million characters, or the longest document.
+    Memory is a block's, whatever the documents: 32 million characters, or the longest document.
     """
     path, spark = path or public_tokenizers.path(RANKS), docs.sparkSession
     width = shuffle_width(spark)
