@@ -29,3 +29,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+# The modules below register their queries when they are imported.
+from vellum.plans import core  # noqa: E402, F401
