@@ -20,9 +20,9 @@ from vellum.session import shuffle_width, written
 
 BINS = 128
 _HASH = xxhash.xxh3_64_intdigest
-PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 PAIR_NAMES = [x.split()[0] for x in PAIR_SCHEMA.split(", ")]
-PAIR_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+PAIR_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def parse(text: str, known: set[str] | None = None) -> tuple[set[str], str]:
@@ -54,15 +54,15 @@ def parse(text: str, known: set[str] | None = None) -> tuple[set[str], str]:
 
 
 def signature(phrases: set[str], bins: int = BINS) -> np.ndarray:
-    """uint32 minimum of each bin; all ones for no phrases."""
+    """The low 16 bits of each bin's minimum; all ones for no phrases."""
     if not phrases:
-        return np.full(bins, 0xFFFFFFFF, dtype=np.uint32)
+        return np.full(bins, 0xFFFF, dtype=np.uint16)
     hashes = np.fromiter(map(_HASH, phrases), dtype=np.uint64, count=len(phrases))
     low = np.full(bins, 1 << 32, dtype=np.uint64)
     np.minimum.at(low, (hashes % np.uint64(bins)).astype(np.int64), hashes >> np.uint64(32))
     full = np.flatnonzero(low < 1 << 32)
     source = full[np.searchsorted(full, np.arange(bins)) % len(full)]
-    return ((low[source] + (np.arange(bins) != source) * np.uint64(0x9E3779B9)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return ((low[source] + (np.arange(bins) != source) * np.uint64(0x9E37)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def fingerprint(text: str | None, bins: int = BINS) -> np.ndarray:
@@ -89,7 +89,7 @@ def _pair(doc_id, text: str, after: str, own: np.ndarray, next_print: np.ndarray
     kept, tail = _edited(text, after)
     phrases, open_ = head
     other = signature(parse(open_ + tail, phrases)[0])
-    return doc_id, len(text), hashlib.sha256((kept + tail).encode()).hexdigest(), own.tobytes().hex(), other.tobytes().hex(), likeness(own, other), likeness(own, next_print)
+    return doc_id, len(text), hashlib.sha256((kept + tail).encode()).hexdigest(), own.tobytes(), other.tobytes(), likeness(own, other), likeness(own, next_print)
 
 
 def _own(text: str) -> tuple[np.ndarray, tuple[set[str], str]]:
@@ -145,18 +145,19 @@ def _seam(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each whole text and of its edited text, and their likenesses; one row per row of docs.
 
-    The next document is the one with the next lower id (nulls last, equal ids by text), after the last the first; a
+    The next document is the one with the next lower id (nulls last, equal ids by the text's hash), after the last the first; a
     lone document is its own next. Documents are range-partitioned by that order once. Each partition handles its
     own neighbours in a stream; the seams, two rows to a partition, are ordered and handled after it. Null and empty texts are alike:
     no phrases, likeness 1 to each other. An empty table gives no rows; extra columns are not read.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]  # by hash, so that no text is sampled for the ranges
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lined = rows.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
     chained = written(lined.mapInArrow(_chain, f"{PAIR_SCHEMA}, edge string, text string"), "chained")
     # Two rows to a partition: their number is bounded by the number of partitions, not by the documents.
-    w = W.orderBy(F.col("doc_id").desc_nulls_last(), "text", "edge")
+    w = W.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "edge")
     seams = chained.where("edge IS NOT NULL").select("doc_id", "text", "edge", F.lead("text").over(w).alias("after"), F.first("text").over(w).alias("top"))
     seams = seams.where("edge = 'last'").select("doc_id", "text", F.coalesce("after", "top").alias("after"))
     seams = seams.repartition(min(32, shuffle_width(docs.sparkSession)), "doc_id")
-    return chained.where("edge IS NULL").select(*PAIR_NAMES).unionByName(seams.mapInArrow(_seam, PAIR_SCHEMA))
+    pairs = chained.where("edge IS NULL").select(*PAIR_NAMES).unionByName(seams.mapInArrow(_seam, PAIR_SCHEMA))
+    return pairs.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
