@@ -256,10 +256,10 @@ def apportioned_bytes(spark, d):
 
 
 @query("self_citation_totals", """
-SELECT book, count(*) AS citations FROM (SELECT l_orderkey AS book, '/' || (l_partkey % 40) || CASE WHEN l_linenumber % 3 = 0 THEN '/Fn1' ELSE '' END || '#hypercite_' || l_linenumber AS url FROM lineitem WHERE l_orderkey < 2000)
+SELECT book, count(*) AS citations FROM (SELECT l_orderkey AS book, '/' || (l_partkey % 40) || CASE WHEN l_linenumber % 3 = 0 THEN '/Fn1' ELSE '' END || '#cite_' || l_linenumber AS url FROM lineitem WHERE l_orderkey < 2000)
 WHERE regexp_extract(url, '^/([^#]+)#', 1) <> CAST(book % 40 AS VARCHAR) GROUP BY 1""")
 def self_citation_totals(spark, d):
-    url = F.concat(F.lit("/"), (F.col("l_partkey") % 40).cast("string"), F.when(F.col("l_linenumber") % 3 == 0, "/Fn1").otherwise(""), F.lit("#hypercite_"), F.col("l_linenumber").cast("string"))
+    url = F.concat(F.lit("/"), (F.col("l_partkey") % 40).cast("string"), F.when(F.col("l_linenumber") % 3 == 0, "/Fn1").otherwise(""), F.lit("#cite_"), F.col("l_linenumber").cast("string"))
     books = T(spark, d, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("book")).agg(F.to_json(F.collect_list(url)).alias("cited"))
     cited = books.select("book", F.explode(F.from_json("cited", "array<string>")).alias("url"))
     return cited.where(F.regexp_extract("url", "^/([^#]+)#", 1) != (F.col("book") % 40).cast("string")).groupBy("book").agg(F.count("*").alias("citations"))
