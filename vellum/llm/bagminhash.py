@@ -16,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.operators.components import connected_components
 from vellum.session import cut, written
@@ -134,6 +135,12 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _banded(keys: np.ndarray) -> np.ndarray:
+    """Keys that name their band too."""
+    with np.errstate(over="ignore"):
+        return keys ^ np.arange(keys.shape[1], dtype=np.int64) * np.int64(0x1E3779B97F4A7C15)
+
+
 def _sums(values: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
     """Wrapping sums of values by (sorted) document."""
     ends = np.searchsorted(docs, np.arange(n + 1))
@@ -169,7 +176,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
         docs, hashes, occ = counted(*shingles(words, offsets))
         sig = bag_signatures(docs, hashes, occ, batch.num_rows, bands * rows)
         full = np.isfinite(sig[:, 0])
-        keys = band_keys(sig[full], bands, rows)
+        keys = _banded(band_keys(sig[full], bands, rows))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)), pa.array(keys.ravel()))
         yield pa.RecordBatch.from_arrays([batch.column(0), _ids(coded(hashes, occ), docs, batch.num_rows), lists], names=["doc_id", "exact", "bands"])
 
@@ -179,20 +186,20 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _sliced(batches, 1):
         values, offsets = _flat(batch.column(1))
         docs = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        keys = band_keys(bag_signatures(docs, values, np.zeros(len(docs), dtype=np.int64), batch.num_rows, FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS)
-        with np.errstate(over="ignore"):
-            keys = keys ^ np.arange(FINE_BANDS, dtype=np.int64) * np.int64(0x1E3779B97F4A7C15)
+        keys = _banded(band_keys(bag_signatures(docs, values, np.zeros(len(docs), dtype=np.int64), batch.num_rows, FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS))
         lists = pa.ListArray.from_arrays(pa.array((np.arange(batch.num_rows + 1) * FINE_BANDS).astype(np.int32)), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["exact", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "keys"])
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _sliced(batches, 0):
-        words, offsets = _flat(batch.column(0))
+    """(id, items) of the rows whose text has the multiset hash looked for: rows of another text under the same doc_id go."""
+    for batch in _sliced(batches, 2):
+        words, offsets = _flat(batch.column(2))
         docs, hashes, occ = counted(*shingles(words, offsets))
         values = coded(hashes, occ)
         ends = np.searchsorted(docs, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([_ids(values, docs, batch.num_rows), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["exact", "items"])
+        same = pc.equal(_ids(values, docs, batch.num_rows), batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["id", "items"]).filter(same)
 
 
 def word_hashes(text):
@@ -207,10 +214,33 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return words.mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, exact binary, bands array<long>")
 
 
+def _pivoted(placed: DataFrame, order: Column, pivot: Column) -> DataFrame:
+    """(key, id, part, pivot) of the buckets that hold several parts; the pivot is the member of least order."""
+    lead = placed.groupBy("key").agg(F.min(order).alias("least"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    return placed.join(lead.where("lo <> hi").select("key", pivot.alias("pivot")), "key")
+
+
+def _items(docs: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, items): the coded multisets of members, each made from one document."""
+    key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("nul")]
+    wanted = groups.join(members, "id").select("id", "exact", F.col("exact_id").alias("doc_id")).select("id", "exact", *key)
+    texts = docs.select("text", *key).join(wanted.hint("shuffle_hash"), ["k", "nul"])
+    texts = texts.withColumn("h", F.md5("text")).dropDuplicates(["k", "nul", "id", "h"])
+    return texts.select("id", "exact", word_hashes(F.col("text")).alias("w")).mapInArrow(_expand, "id long, items array<long>")
+
+
 def _verified(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    a, b = items.select(F.col("exact").alias("a"), F.col("items").alias("x")), items.select(F.col("exact").alias("b"), F.col("items").alias("y"))
+    """The (pa, pb) of the pairs a, b whose multisets reach the threshold."""
+    a, b = items.select(F.col("id").alias("a"), F.col("items").alias("x")), items.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(b, "b").join(a, "a").where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return pairs.join(b, "b").join(a, "a").where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both)).select("pa", "pb").distinct()
+
+
+def _merged(parts: DataFrame, pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """parts (id, part) after verified pairs (a, b of the parts pa, pb) made parts one."""
+    links = cut(_verified(pairs, items, threshold))
+    into = connected_components(links, "pa", "pb").select(F.col("node").alias("part"), "component")
+    return cut(parts.join(into, "part", "left").select("id", F.coalesce("component", "part").alias("part")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -218,44 +248,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     exact_id is the least doc_id with the same shingle multiset, class_id the least doc_id of the connected component
     over links of weighted Jaccard >= threshold, class_size its number of rows. Only distinct multisets are compared.
-    In each bucket every member is verified against the bucket's pivot. Members of buckets that hold more than one
-    component after that are banded again by finer signatures and verified across components, so no candidate link between components stays
-    unchecked, no bucket is capped, and a large bucket of unlike members is split by its members' likeness. Null and empty texts (no words) are equal to each other and form one class. Repeated rows are copies;
-    a null doc_id counts as greater than any. An empty table gives no rows. Extra columns are not read.
+    In each bucket every member is verified against a pivot, which then has met all the others and leaves the bucket. Buckets
+    that still hold several components do so again with a pivot of the bucket's own. Where several components remain even
+    then, members are banded by finer signatures and verified across components: no bucket is capped, and a large bucket of
+    unlike members is split by its members' likeness. Null and empty texts (no words) are equal to each other and form one
+    class. Repeated rows are copies; a null doc_id counts as greater than any. An empty table gives no rows. Extra columns
+    are not read.
     """
     signed = cut(signatures(docs, id_col, text_col, bands, rows))
-    exact = signed.groupBy("exact").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n"))
-    first = signed.groupBy("exact").agg(F.min("bands").alias("bands"))
-    buckets = first.select("exact", F.posexplode("bands").alias("band", "key"))
-    # A pivot for each bucket, by an order of the band's own: members of one group meet other pivots in other bands.
-    by_band = F.xxhash64("exact", "band")
-    lead = buckets.groupBy("band", "key").agg(F.min_by("exact", by_band).alias("pivot"), F.min("exact").alias("a"), F.max("exact").alias("z"))
-    lead = lead.where("a <> z").select("band", "key", "pivot")
-    shared = cut(buckets.join(lead, ["band", "key"]))  # members of buckets of two and more
-    wanted = shared.select("exact").distinct()
-    rep_ids = exact.join(wanted, "exact").select(F.col("exact_id").alias("rep")).distinct()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = source.join(rep_ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    expanded = chosen.select(word_hashes(F.col("text")).alias("w")).mapInArrow(_expand, "exact binary, items array<long>")
-    items = written(expanded.join(wanted, "exact", "left_semi").dropDuplicates(["exact"]), "items")
-
-    stars = shared.where("exact <> pivot").select(F.least("exact", "pivot").alias("a"), F.greatest("exact", "pivot").alias("b")).distinct()
-    edges = cut(_verified(stars, items, threshold))
-    parts = connected_components(edges, "a", "b")
-    placed = shared.join(parts.withColumnRenamed("node", "exact"), "exact", "left").select("band", "key", "exact", F.coalesce("component", "exact").alias("part"))
-    mixed = placed.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("band", "key")
-    apart = placed.join(mixed, ["band", "key"], "left_semi").select("exact", "part").distinct()
-    keyed = items.join(apart.select("exact"), "exact", "left_semi").select("exact", "items").mapInArrow(_refine, "exact binary, keys array<long>")
-    fine = cut(keyed.join(apart, "exact").select("exact", "part", F.explode("keys").alias("key")))
-    meet = fine.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    fine = fine.join(meet, "key", "left_semi")
-    across = fine.alias("l").join(fine.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.part") < F.col("r.part")))
-    across = across.select(F.least("l.exact", "r.exact").alias("a"), F.greatest("l.exact", "r.exact").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(_verified(across, items, threshold))
-    if more.limit(1).count():
-        parts = connected_components(edges.unionByName(more), "a", "b")
-
-    named = exact.join(parts.withColumnRenamed("node", "exact"), "exact", "left").select("exact", "exact_id", "n", F.coalesce("component", "exact").alias("part"))
-    named = cut(named)
+    groups = signed.groupBy("exact").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n"), F.min("bands").alias("bands"))
+    groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
+    buckets = groups.select("id", F.explode("bands").alias("key")).withColumn("part", F.col("id"))
+    shared = written(_pivoted(buckets, F.col("id"), F.col("least")).select("key", "id", "pivot"), "shared")
+    parts = cut(shared.select("id").distinct().withColumn("part", F.col("id")))
+    items = written(_items(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), groups, parts.select("id")), "items")
+    pairs = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    parts = _merged(parts, pairs.withColumns({"pa": F.col("a"), "pb": F.col("b")}), items, threshold)
+
+    # The order of a bucket's second pivot is its own, so that members of one group meet other pivots in other buckets.
+    of_key = F.col("id").bitwiseXOR(F.col("key"))
+    rest = _pivoted(shared.where("id <> pivot").select("key", "id").join(parts, "id"), of_key, F.col("least").bitwiseXOR(F.col("key")))
+    rest = written(rest.select("key", "id", "part", "pivot"), "rest")
+    pairs = rest.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("part").alias("pb")).distinct()
+    pairs = pairs.join(parts.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").where("pa <> pb")
+    parts = _merged(parts, pairs, items, threshold)
+
+    left = _pivoted(rest.where("id <> pivot").select("key", "id").join(parts, "id"), F.col("id"), F.col("least")).select("id", "part").distinct()
+    left = cut(left)
+    keyed = items.join(left.select("id"), "id", "left_semi").select("id", "items").mapInArrow(_refine, "id long, keys array<long>")
+    fine = written(keyed.join(left, "id").select("id", "part", F.explode("keys").alias("key")), "fine")
+    fine = cut(_pivoted(fine, F.col("id"), F.col("least")).select("key", "id", "part"))
+    l, r = (fine.select("key", F.col("id").alias(x), F.col("part").alias(f"p{x}")) for x in "ab")
+    parts = _merged(parts, l.join(r, "key").where("pa < pb").select("a", "b", "pa", "pb").distinct(), items, threshold)
+
+    named = cut(groups.select("id", "exact", "exact_id", "n").join(parts, "id", "left").select("exact", "exact_id", "n", F.coalesce("part", "id").alias("part")))
     classes = named.groupBy("part").agg(F.min("exact_id").alias("class_id"), F.sum("n").alias("class_size"))
     return signed.select("doc_id", "exact").join(named.join(classes, "part").select("exact", "exact_id", "class_id", "class_size"), "exact").select("doc_id", "class_id", "exact_id", "class_size")
