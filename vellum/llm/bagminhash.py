@@ -13,6 +13,7 @@ Bands of the signature name candidates, exact multiset overlap verifies them, an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ from vellum.session import cut, written
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 #: Bands and rows of the finer signatures for what the pivots leave apart; a pair at the threshold is missed once in 800.
 FINE_BANDS, FINE_ROWS = 150, 14
+#: One bit of each of so many signature components is kept too: pairs that share a fine key are verified only if their bits
+#: agree as those of a pair at the threshold do, or less often by up to SIGMAS standard deviations (one in 3000 falls below).
+SKETCH_BITS, SIGMAS = 2048, 3.4
 #: Words that a worker turns into signatures at once.
 BATCH_WORDS = 400_000
 _U = np.uint64
@@ -182,13 +186,18 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Finer band keys of coded multisets, whose elements all weigh 1."""
+    """Finer band keys and bit sketches of coded multisets, whose elements all weigh 1."""
     for batch in _sliced(batches, 1):
         values, offsets = _flat(batch.column(1))
-        docs = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        keys = _banded(band_keys(bag_signatures(docs, values, np.zeros(len(docs), dtype=np.int64), batch.num_rows, FINE_BANDS * FINE_ROWS), FINE_BANDS, FINE_ROWS))
-        lists = pa.ListArray.from_arrays(pa.array((np.arange(batch.num_rows + 1) * FINE_BANDS).astype(np.int32)), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "keys"])
+        n = batch.num_rows
+        docs = np.repeat(np.arange(n), np.diff(offsets))
+        sig = bag_signatures(docs, values, np.zeros(len(docs), dtype=np.int64), n, FINE_BANDS * FINE_ROWS)
+        bits = (_mix(sig[:, :SKETCH_BITS].copy().view(_U)) >> _U(17)) & _U(1)
+        sketches = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+        columns = [batch.column(0)]
+        for rows in (_banded(band_keys(sig, FINE_BANDS, FINE_ROWS)), sketches):
+            columns.append(pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * rows.shape[1]).astype(np.int32)), pa.array(rows.ravel())))
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "keys", "sketch"])
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +238,13 @@ def _items(docs: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
     return texts.select("id", "exact", word_hashes(F.col("text")).alias("w")).mapInArrow(_expand, "id long, items array<long>")
 
 
+def _alike(x: Column, y: Column, threshold: float) -> Column:
+    """Whether two sketches differ in no more bits than those of a pair at the threshold may."""
+    share = (1 - threshold) / 2
+    most = SKETCH_BITS * share + SIGMAS * (SKETCH_BITS * share * (1 - share)) ** 0.5
+    return reduce(Column.__add__, (F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH_BITS // 64))) <= int(most)
+
+
 def _verified(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """The (pa, pb) of the pairs a, b whose multisets reach the threshold."""
     a, b = items.select(F.col("id").alias("a"), F.col("items").alias("x")), items.select(F.col("id").alias("b"), F.col("items").alias("y"))
@@ -250,7 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     over links of weighted Jaccard >= threshold, class_size its number of rows. Only distinct multisets are compared.
     In each bucket every member is verified against a pivot, which then has met all the others and leaves the bucket. Buckets
     that still hold several components do so again with a pivot of the bucket's own. Where several components remain even
-    then, members are banded by finer signatures and verified across components: no bucket is capped, and a large bucket of
+    then, members are banded by finer signatures, and pairs of different components that meet there and whose sketches
+    agree (see SKETCH_BITS) are verified: no bucket is capped, and a large bucket of
     unlike members is split by its members' likeness. Null and empty texts (no words) are equal to each other and form one
     class. Repeated rows are copies; a null doc_id counts as greater than any. An empty table gives no rows. Extra columns
     are not read.
@@ -275,11 +292,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     left = _pivoted(rest.where("id <> pivot").select("key", "id").join(parts, "id"), F.col("id"), F.col("least")).select("id", "part").distinct()
     left = cut(left)
-    keyed = items.join(left.select("id"), "id", "left_semi").select("id", "items").mapInArrow(_refine, "id long, keys array<long>")
-    fine = written(keyed.join(left, "id").select("id", "part", F.explode("keys").alias("key")), "fine")
-    fine = cut(_pivoted(fine, F.col("id"), F.col("least")).select("key", "id", "part"))
-    l, r = (fine.select("key", F.col("id").alias(x), F.col("part").alias(f"p{x}")) for x in "ab")
-    parts = _merged(parts, l.join(r, "key").where("pa < pb").select("a", "b", "pa", "pb").distinct(), items, threshold)
+    keyed = items.join(left.select("id"), "id", "left_semi").select("id", "items").mapInArrow(_refine, "id long, keys array<long>, sketch array<long>")
+    keyed = written(keyed.dropDuplicates(["id"]).join(left, "id"), "keyed")
+    fine = _pivoted(keyed.select("id", "part", F.explode("keys").alias("key")), F.col("id"), F.col("least")).select("key", "id", "part")
+    fine = written(fine.join(keyed.select("id", "sketch"), "id"), "fine")
+    l, r = (fine.select("key", F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    met = l.join(r, (l["key"] == r["key"]) & F.expr("pa < pb") & _alike(F.col("sa"), F.col("sb"), threshold))
+    parts = _merged(parts, met.select("a", "b", "pa", "pb").distinct(), items, threshold)
 
     named = cut(groups.select("id", "exact", "exact_id", "n").join(parts, "id", "left").select("exact", "exact_id", "n", F.coalesce("part", "id").alias("part")))
     classes = named.groupBy("part").agg(F.min("exact_id").alias("class_id"), F.sum("n").alias("class_size"))
