@@ -266,9 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     over links of weighted Jaccard >= threshold, class_size its number of rows. Only distinct multisets are compared.
     In each bucket every member is verified against a pivot, which then has met all the others and leaves the bucket. Buckets
     that still hold several components do so again with a pivot of the bucket's own. Where several components remain even
-    then, members are banded by finer signatures, and pairs of different components that meet there and whose sketches
-    agree (see SKETCH_BITS) are verified: no bucket is capped, and a large bucket of
-    unlike members is split by its members' likeness. Null and empty texts (no words) are equal to each other and form one
+    then, members are banded by finer signatures, which have a pivot each too; pairs of different components that still meet
+    there are verified one by one. Pairs of finer buckets are verified if their sketches agree (see SKETCH_BITS). No bucket
+    is capped, and a large bucket of unlike members is split by its members' likeness. Null and empty texts (no words) are equal to each other and form one
     class. Repeated rows are copies; a null doc_id counts as greater than any. An empty table gives no rows. Extra columns
     are not read.
     """
@@ -293,9 +293,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = _pivoted(rest.where("id <> pivot").select("key", "id").join(parts, "id"), F.col("id"), F.col("least")).select("id", "part").distinct()
     left = cut(left)
     keyed = items.join(left.select("id"), "id", "left_semi").select("id", "items").mapInArrow(_refine, "id long, keys array<long>, sketch array<long>")
-    keyed = written(keyed.dropDuplicates(["id"]).join(left, "id"), "keyed")
-    fine = _pivoted(keyed.select("id", "part", F.explode("keys").alias("key")), F.col("id"), F.col("least")).select("key", "id", "part")
-    fine = written(fine.join(keyed.select("id", "sketch"), "id"), "fine")
+    keyed = written(keyed.dropDuplicates(["id"]), "keyed")
+
+    # The finer buckets have pivots too; only what these leave apart is compared in pairs.
+    fine = _pivoted(keyed.select("id", F.explode("keys").alias("key")).join(left, "id"), of_key, F.col("least").bitwiseXOR(F.col("key")))
+    fine = written(fine.select("key", "id", "pivot"), "fine")
+    l, r = (keyed.join(left, "id").select(F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    met = fine.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(r, "b").join(l, "a")
+    met = met.where("pa <> pb").where(_alike(F.col("sa"), F.col("sb"), threshold)).select("a", "b", "pa", "pb")
+    parts = _merged(parts, met, items, threshold)
+
+    fine = _pivoted(fine.where("id <> pivot").select("key", "id").join(parts, "id"), F.col("id"), F.col("least")).select("key", "id", "part")
+    fine = written(fine.join(keyed.select("id", "sketch"), "id"), "pairs")
     l, r = (fine.select("key", F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     met = l.join(r, (l["key"] == r["key"]) & F.expr("pa < pb") & _alike(F.col("sa"), F.col("sb"), threshold))
     parts = _merged(parts, met.select("a", "b", "pa", "pb").distinct(), items, threshold)
