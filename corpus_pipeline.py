@@ -29,10 +29,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: that of the least id. Of repeated rows of one id, one stays."""
-    classes = bagminhash.near_duplicates(docs).select("doc_id", "class_id").where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    unique = docs.select(COLUMNS).dropDuplicates(["doc_id"])
-    return unique.join(classes.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+    """One row of each near-duplicate class stays: that of the least id, nulls last, then of the least text hash, language, source and length."""
+    rest = ["lang", "source", "n_chars"]
+    rows = docs.select(COLUMNS).groupBy("doc_id", bagminhash.text_md5().alias("key")).agg(F.first("text").alias("text"), F.min(F.struct(rest)).alias("rest"))
+    kept = bagminhash.representatives(docs).select(F.col("doc_id").alias("kept_id"), F.col("text_md5").alias("kept_key"))
+    chosen = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    return chosen.select("doc_id", "text", *(F.col(f"rest.{c}").alias(c) for c in rest))
 
 
 def _first_words(text: Column, taken: Column, size: Column) -> Column:

@@ -329,6 +329,22 @@ def test_pipeline_stages(spark, docs, empty, sf):
     assert corpus_pipeline.drop_toxic(spark, own, sf).count() == own.count()
 
 
+def test_pipeline_keeps_a_row_of_every_class_whatever_its_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(60)) for _ in range(9)]
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    # Null ids with unlike texts, one id with unlike texts, a near copy of the null-id text under that id, equal rows, null and empty texts.
+    pairs = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:7]] + [(7, near), (7, near), (8, texts[5]), (1, texts[7]), (1, texts[8]), (None, None), (None, ""), (1, "")]
+    own = spark.createDataFrame([(i, t, f"l{k}", f"s{k}", len(t or "")) for k, (i, t) in enumerate(pairs)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter([(None, t) for t in texts[1:4]] + [(7, t) for t in texts[4:7]] + [(7, near), (1, texts[7]), (1, texts[8]), (1, "")])
+    for frame in (own.repartition(1), own.repartition(3)):
+        kept = corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()
+        assert Counter((r.doc_id, r.text) for r in kept) == want
+        assert [(r.lang, r.source) for r in kept if r.text == near] == [("l7", "s7")]
+
+
 def test_pipeline_runs_whole(spark, sf):
     import corpus_pipeline
 

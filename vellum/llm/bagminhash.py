@@ -182,7 +182,8 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
         full = np.isfinite(sig[:, 0])
         keys = _banded(band_keys(sig[full], bands, rows))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), _ids(coded(hashes, occ), docs, batch.num_rows), lists], names=["doc_id", "exact", "bands"])
+        columns = [batch.column(0), _ids(coded(hashes, occ), docs, batch.num_rows), lists, *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "exact", "bands", "text_md5"][: len(columns)])
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +218,15 @@ def word_hashes(text):
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, exact, bands): the multiset's 128-bit hash and the band keys of its signature (none if it is empty)."""
-    words = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("w"))
-    return words.mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, exact binary, bands array<long>")
+def text_md5(text_col: str = "text") -> Column:
+    """The text's MD5; empty for null, which is a text of its own."""
+    return F.coalesce(F.md5(text_col), F.lit(""))
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, hashed: bool = False) -> DataFrame:
+    """(doc_id, exact, bands): the multiset's 128-bit hash and the band keys of its signature (none if it is empty); text_md5 too if hashed."""
+    words = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("w"), *([text_md5(text_col).alias("text_md5")] if hashed else []))
+    return words.mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, exact binary, bands array<long>" + (", text_md5 string" if hashed else ""))
 
 
 def _pivoted(placed: DataFrame, order: Column, pivot: Column) -> DataFrame:
@@ -273,12 +279,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not read.
     """
     signed = cut(signatures(docs, id_col, text_col, bands, rows))
-    groups = signed.groupBy("exact").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n"), F.min("bands").alias("bands"))
+    named = _parts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), signed, threshold)
+    classes = named.groupBy("part").agg(F.min("exact_id").alias("class_id"), F.sum("n").alias("class_size"))
+    return signed.select("doc_id", "exact").join(named.join(classes, "part").select("exact", "exact_id", "class_id", "class_size"), "exact").select("doc_id", "class_id", "exact_id", "class_size")
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, text_md5) of one row of each class: the least doc_id, nulls last, then the least text_md5.
+
+    Unlike class_id, which classes may share where ids are null or repeated, the two name a class's text.
+    """
+    signed = cut(signatures(docs, bands=bands, rows=rows, hashed=True))
+    least = _parts(docs, signed, threshold).groupBy("part").agg(F.min("first").alias("first"))
+    return least.select("first.doc_id", "first.text_md5")
+
+
+def _parts(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """(exact, exact_id, n, part) of each distinct multiset, part naming its class; first, its least row, if signed has hashes."""
+    kept = ["exact", "exact_id", "n"]
+    least = []
+    if "text_md5" in signed.columns:
+        kept.append("first")
+        least = [F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "text_md5")).alias("first")]
+    groups = signed.groupBy("exact").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n"), F.min("bands").alias("bands"), *least)
     groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
     buckets = groups.select("id", F.explode("bands").alias("key")).withColumn("part", F.col("id"))
     shared = written(_pivoted(buckets, F.col("id"), F.col("least")).select("key", "id", "pivot"), "shared")
     parts = cut(shared.select("id").distinct().withColumn("part", F.col("id")))
-    items = written(_items(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), groups, parts.select("id")), "items")
+    items = written(_items(docs, groups, parts.select("id")), "items")
     pairs = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     parts = _merged(parts, pairs.withColumns({"pa": F.col("a"), "pb": F.col("b")}), items, threshold)
 
@@ -309,6 +337,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = l.join(r, (l["key"] == r["key"]) & F.expr("pa < pb") & _alike(F.col("sa"), F.col("sb"), threshold))
     parts = _merged(parts, met.select("a", "b", "pa", "pb").distinct(), items, threshold)
 
-    named = cut(groups.select("id", "exact", "exact_id", "n").join(parts, "id", "left").select("exact", "exact_id", "n", F.coalesce("part", "id").alias("part")))
-    classes = named.groupBy("part").agg(F.min("exact_id").alias("class_id"), F.sum("n").alias("class_size"))
-    return signed.select("doc_id", "exact").join(named.join(classes, "part").select("exact", "exact_id", "class_id", "class_size"), "exact").select("doc_id", "class_id", "exact_id", "class_size")
+    return cut(groups.select("id", *kept).join(parts, "id", "left").select(*kept, F.coalesce("part", "id").alias("part")))
