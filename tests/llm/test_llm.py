@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("vellum.llm")
 
@@ -172,6 +173,50 @@ def test_reshard_is_whole_even_and_gapless(docs, empty, spark, tmp_path):
     assert affected and {(r.doc_id, r.text) for r in back.select("doc_id", "text").collect()} == {(r.doc_id, r.text) for r in unique.collect()}
 
 
+def test_rewrite_keeps_odd_rows_and_untouched_shards(docs, spark, tmp_path):
+    rows = [(*r[:2], k % 3, k) for k, r in enumerate([*[r for r in make_docs() if len(r[1] or "") < 2000], *[(None, f"text {k % 2}") for k in range(6)], *[(5, "same")] * 4])]
+    own = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot int").repartition(3)
+    lies, path = F.col("shard"), str(tmp_path / "shards")
+    placed = reshard.reshard(own, old_shard=lies, new_shards=4).cache()
+    own.where("doc_id = 9").withColumn("_slot", F.lit(0)).withColumn("_shard", F.lit(9)).write.partitionBy("_shard").parquet(path)
+    affected = reshard.rewrite(own, placed, path, old_shard=lies)
+    back = spark.read.parquet(path)
+    assert [r.doc_id for r in back.where("_shard = 9").collect()] == [9]
+    got = back.where("_shard < 9").collect()
+    assert affected == [0, 1, 2, 3] and Counter((r.doc_id, r.text, r.shard, r.slot) for r in got) == Counter(rows)
+    assert Counter((r.doc_id, r._shard, r._slot) for r in got) == Counter((r.doc_id, r.shard, r.slot) for r in placed.collect())
+
+
+def test_resharded_rows_are_read_back_from_the_shards(docs, empty, spark, tmp_path):
+    path = str(tmp_path / "shards")
+    docs, rows = docs.where("length(coalesce(text, '')) < 2000"), [r for r in make_docs() if len(r[1] or "") < 2000]
+    got = reshard.resharded(docs, path, new_shards=4, old_shards=3).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, reshard.reshard(docs, new_shards=4, old_shards=3).collect()))
+    back = spark.read.schema(docs.schema).parquet(path)
+    assert Counter(map(tuple, back.select(*docs.columns).collect())) == Counter(rows)
+    assert reshard.resharded(empty, str(tmp_path / "none")).count() == 0
+    # A shard that loses all its rows goes; one whose rows all stay has no folder.
+    two = spark.createDataFrame([(0, "a" * 9, 1), (1, "b" * 9, 0), (2, "c" * 9, 2)], "doc_id long, text string, lies int")
+    stay = reshard.resharded(two.where("lies < 2"), str(tmp_path / "stay"), old_shard=F.col("lies"), new_shards=2)
+    assert sorted((r.doc_id, r.shard) for r in stay.collect()) == [(0, 1), (1, 0)] and not (tmp_path / "stay").exists()
+    two.withColumn("shard", F.col("lies")).write.partitionBy("shard").parquet(str(tmp_path / "less"))
+    less = reshard.resharded(two, str(tmp_path / "less"), old_shard=F.col("lies"), new_shards=2)
+    assert sorted(r.doc_id for r in less.collect()) == [0, 1, 2] and not (tmp_path / "less" / "shard=2").exists()
+
+
+def test_resharding_query_writes_the_texts(spark, sf, monkeypatch, tmp_path):
+    from vellum.llm.queries import QUERIES
+
+    monkeypatch.setattr(reshard, "scratch", lambda _: str(tmp_path / "shards"))
+    got = QUERIES["op4_flow_resharding"](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    affected = {s for r in got if r.moved for s in (r.old_shard, r.shard)}
+    texts = {r.doc_id: r.text for r in docs}
+    back = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert len(got) == len(docs) == len(texts) and affected
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in back) == Counter((r.doc_id, texts[r.doc_id], r.shard, r.slot) for r in got if r.shard in affected)
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

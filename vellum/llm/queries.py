@@ -23,7 +23,7 @@ def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = reshard.reshard(table(spark, sf_dir, "documents"))
+    placed = reshard.resharded(table(spark, sf_dir, "documents"), reshard.scratch(spark))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 

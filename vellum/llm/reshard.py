@@ -8,13 +8,18 @@ stays comes first. Only rows beyond the first boundary move, and only shards tha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import uuid
 
-from vellum.session import cut
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from vellum.session import cut, shared_dir
 
 OLD_SHARDS, NEW_SHARDS = 12, 16
+PLACED = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot", "moved"]
 #: Rows of a block, about.
 BLOCK_ROWS = 500
+#: Neighbouring blocks that one task rewrites together, as most of them go to one new shard.
+CHUNK_BLOCKS = 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -73,6 +78,58 @@ def _boundaries(plan: dict[int, list[tuple[int, int]]], old: Column, at: Column)
     return chosen
 
 
+def _measured(docs: DataFrame, id_col: str, text_col: str, old_shard: Column | None, old_shards: int, *kept: Column) -> DataFrame:
+    """(doc_id, size, text_crc32, old_shard, hashed) and what else is kept of every row."""
+    size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size")
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32")
+    lies = [old_shard.cast("int").alias("old_shard")] if old_shard is not None else []
+    row = docs.select(F.col(id_col).alias("doc_id"), size, crc, *lies, *kept).withColumn("hashed", F.xxhash64("doc_id", "size", "text_crc32"))
+    return row if lies else row.withColumn("old_shard", F.pmod("hashed", F.lit(old_shards)).cast("int"))
+
+
+def _blocked(row: DataFrame, blocks: int) -> DataFrame:
+    row = row.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "hashed"), F.lit(blocks))).drop("hashed")
+    return row.withColumn("chunk", F.expr(f"block div {CHUNK_BLOCKS}"))
+
+
+def _sharded(row: DataFrame, plan: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """row, whose base is its block's first byte, with shard, and nth: its number from 1 among its block's rows of that shard."""
+    block = ["old_shard", "chunk", "block"]
+    inside = W.partitionBy(*block).orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = row.withColumn("at", F.col("base") + F.sum("size").over(inside) - F.col("size"))
+    placed = placed.withColumn("shard", _boundaries(plan, F.col("old_shard"), F.col("at")))
+    return placed.withColumn("nth", F.row_number().over(W.partitionBy(*block, "shard").orderBy("at"))).drop("base", "at")
+
+
+def _placement(row: DataFrame, new_shards: int, old_shards: int) -> tuple[int, DataFrame, dict[int, list[tuple[int, int]]], DataFrame, DataFrame]:
+    """Number of blocks, their first bytes, the plan, the rows' shards, and the first slot of each block in each shard."""
+    n = row.count()
+    blocks = max(1, n // (BLOCK_ROWS * old_shards))
+    row = cut(_blocked(row, blocks))
+    sums = cut(row.groupBy("old_shard", "chunk", "block").agg(F.sum("size").alias("bytes")))
+    old = {r.old_shard: r.bytes for r in sums.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect()}  # one row per old shard
+    plan = transfers(old, new_shards)
+    base = sums.withColumn("base", F.sum("bytes").over(W.partitionBy("old_shard").orderBy("block")) - F.col("bytes")).drop("bytes")
+    placed = cut(_sharded(row.join(base, ["old_shard", "chunk", "block"]), plan))
+    counts = placed.groupBy("shard", "old_shard", "chunk", "block").agg(F.count("*").alias("rows"))
+    first = counts.withColumn("first", F.sum("rows").over(W.partitionBy("shard").orderBy("old_shard", "block")) - F.col("rows")).drop("rows")
+    return blocks, base, plan, placed, first
+
+
+def _slotted(placed: DataFrame, first: DataFrame) -> DataFrame:
+    return placed.join(first, ["shard", "old_shard", "chunk", "block"]).withColumns({"slot": _slot(), "moved": F.col("shard") != F.col("old_shard")})
+
+
+def _slot() -> Column:
+    return (F.col("first") + F.col("nth") - 1).cast("long")
+
+
+def _looked_up(row: DataFrame, values: DataFrame, key: Column, name: str) -> DataFrame:
+    """row with the value of its key, by one map for each chunk: rows dealt by chunk stay where they are."""
+    maps = values.groupBy("old_shard", "chunk").agg(F.map_from_entries(F.collect_list(F.struct(key, name))).alias("_map"))
+    return row.join(maps, ["old_shard", "chunk"]).withColumn(name, F.col("_map")[key]).drop("_map")
+
+
 def reshard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old_shard: Column | None = None, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, old_shard, shard, slot, moved.
 
@@ -82,34 +139,78 @@ def reshard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old
     that neither a hot id nor a large shard is ordered in one task; equal rows may swap slots between runs. An empty table
     gives no rows.
     """
-    row = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), *([old_shard.cast("int").alias("old_shard")] if old_shard is not None else []))
-    hashed = F.xxhash64("doc_id", "size", "text_crc32")
-    if old_shard is None:
-        row = row.withColumn("old_shard", F.pmod(hashed, F.lit(old_shards)).cast("int"))
-    n = row.count()
-    blocks = max(1, n // (BLOCK_ROWS * old_shards))
-    row = cut(row.withColumn("block", F.pmod(F.xxhash64(F.lit(7), hashed), F.lit(blocks))))
-    sums = cut(row.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")))
-    old = {r.old_shard: r.bytes for r in sums.groupBy("old_shard").agg(F.sum("bytes").alias("bytes")).collect()}  # one row per old shard
-    plan = transfers(old, new_shards)
-    base = sums.withColumn("base", F.sum("bytes").over(W.partitionBy("old_shard").orderBy("block")) - F.col("bytes")).drop("bytes")
-    order = ["doc_id", "text_crc32", "size"]
-    inside = W.partitionBy("old_shard", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = row.join(base, ["old_shard", "block"]).withColumn("at", F.col("base") + F.sum("size").over(inside) - F.col("size"))
-    placed = cut(placed.withColumn("shard", _boundaries(plan, F.col("old_shard"), F.col("at"))).withColumn("nth", F.row_number().over(W.partitionBy("old_shard", "block", "shard").orderBy("at"))))
-    counts = placed.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("rows"))
-    first = counts.withColumn("first", F.sum("rows").over(W.partitionBy("shard").orderBy("old_shard", "block")) - F.col("rows")).drop("rows")
-    slotted = placed.join(first, ["shard", "old_shard", "block"])
-    return slotted.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"), (F.col("shard") != F.col("old_shard")).alias("moved"))
+    *_, placed, first = _placement(_measured(docs, id_col, text_col, old_shard, old_shards), new_shards, old_shards)
+    return _slotted(placed, first).select(*PLACED)
+
+
+def _affected(placed: DataFrame) -> list[int]:
+    """The shards that gain or lose rows: at most as many as there are."""
+    out = placed.where("shard <> old_shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
+    return sorted(r.s for r in out.collect())
+
 
+def _free(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as keep it apart from the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
-def rewrite(rows: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
+
+def _write(rows: DataFrame, shard: str, slot: str, emptied: list[int], path: str) -> None:
+    """Replace the shards' folders that rows has rows for, and delete those of emptied shards; others stay."""
+    spark = rows.sparkSession
+    rows.sortWithinPartitions(shard, slot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(path)
+    for s in emptied:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{shard}={s}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _emptied(placed: DataFrame, affected: list[int]) -> list[int]:
+    return sorted(set(affected) - {r.shard for r in placed.select("shard").distinct().collect()})
+
+
+def rewrite(rows: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", old_shard: Column | None = None) -> list[int]:
     """Write the shards that gain or lose rows under path, one folder each, sorted by slot; returns their numbers.
 
-    rows: the documents; ids are unique there. Shards whose rows all stay are not touched.
+    rows: the documents placed by reshard(), with its columns and old_shard. Null and repeated ids are rows like others:
+    rows of one id, size, CRC and old shard are numbered and meet as many places; as they lie in one old shard, all or none
+    of them are written. Folders of shards whose rows all stay are not touched. Where rows has a column shard or slot,
+    the place's names begin with an underscore.
     """
-    out = placed.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    affected = sorted(r.s for r in out.collect())  # at most as many as there are shards
-    moved = placed.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias(id_col), "shard", "slot")
-    rows.join(moved, id_col).repartition("shard", F.expr("slot div 100000")).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    affected = _affected(placed)
+    shard, slot = _free("shard", rows.columns), _free("slot", rows.columns)
+    key = ["doc_id", "size", "text_crc32", *(["old_shard"] if old_shard is not None else [])]
+    nth = F.row_number().over(W.partitionBy(*key).orderBy("size")).alias("nth")
+    kept = _measured(rows, id_col, text_col, old_shard, 1, F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")).select(*key, "row", nth).alias("k")
+    to = placed.select(*key, "shard", "slot", nth).where(F.col("shard").isin(affected)).alias("t")
+    on = [F.col(f"k.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*key, "nth"]]
+    moved = kept.join(to, on).select("k.row.*", F.col("t.shard").alias(shard), F.col("t.slot").alias(slot))
+    _write(moved.repartition(shard, F.expr(f"{slot} div 100000")), shard, slot, _emptied(placed, affected), path)
     return affected
+
+
+def resharded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", old_shard: Column | None = None, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS) -> DataFrame:
+    """reshard() with the affected shards written under path: their rows are measured as read back, the others where they lie.
+
+    All columns of docs are written, with slot and old_shard. The text is dealt once, by chunks of neighbouring blocks,
+    which is also how it is written; so a shard has a few files for each chunk, and slots rise within a file.
+    """
+    blocks, base, plan, placed, first = _placement(_measured(docs, id_col, text_col, old_shard, old_shards), new_shards, old_shards)
+    slotted, affected = _slotted(placed, first).select(*PLACED), _affected(placed)
+    if not affected:
+        return slotted
+    shard, slot, old = (_free(name, docs.columns) for name in ("shard", "slot", "old_shard"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    whole = _blocked(_measured(docs, id_col, text_col, old_shard, old_shards, row), blocks).where(F.col("old_shard").isin(affected))
+    based = _looked_up(whole.repartition("old_shard", "chunk"), base, F.col("block"), "base")
+    moved = _looked_up(_sharded(based, plan), first, F.col("block") * F.lit(1 << 20) + F.col("shard"), "first")
+    moved = moved.select("row.*", _slot().alias(slot), F.col("old_shard").alias(old), F.col("shard").alias(shard))
+    _write(moved, shard, slot, _emptied(placed, affected), path)
+    back = docs.sparkSession.read.schema(moved.schema).parquet(path).where(F.col(shard).isin(affected))
+    back = _measured(back, id_col, text_col, F.col(old), old_shards, F.col(shard).alias("shard"), F.col(slot).alias("slot"))
+    return back.withColumn("moved", F.col("shard") != F.col("old_shard")).select(*PLACED).unionByName(slotted.where(~F.col("shard").isin(affected)))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for shards in the folder that all executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/vellum-{uuid.uuid4().hex}/shards"
