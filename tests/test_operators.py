@@ -87,6 +87,20 @@ def test_alignment_keeps_order(spark):
     assert [(r.old_pos, r.new_pos) for r in L.monotone_alignment(old, new, "g").orderBy("old_pos").collect()] == [(0, 1), (1, 2)]
 
 
+def test_alignment_finds_blocks_behind_many_inserted_ones(spark):
+    words = [f"own{i} words{i * 7} of{i * 13} block{i * 29}" for i in range(80)]
+    edited = [t.upper() if i == 50 else f"{t} edited" if i == 60 else t for i, t in enumerate(words)]
+    texts = [f"inserted {i * 31} before {i * 17}" for i in range(40)] + edited
+    old = spark.createDataFrame([(1, i, t) for i, t in enumerate(words)], "g long, pos long, text string")
+    new = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "g long, pos long, text string")
+    for a, b, shift in ((old, new, 40), (new, old, -40)):
+        got = {r.old_pos: (r.new_pos, r.score) for r in L.monotone_alignment(a, b, "g").collect()}
+        assert {i: j for i, (j, _) in got.items()} == {i + max(0, -shift): i + max(0, shift) for i in range(80)}
+        assert [i + shift for i, (_, score) in got.items() if score < 1] == [60 + max(0, shift)]
+    twice = spark.createDataFrame([(1, 0, "same text"), (1, 1, "same text"), (1, 2, None)], "g long, pos long, text string")
+    assert [(r.old_pos, r.new_pos) for r in L.monotone_alignment(twice, twice, "g").orderBy("old_pos").collect()] == [(0, 0), (1, 1)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, i % 7, float(i), f"p{i}") for i in range(60)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, value double, props string")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -100,10 +102,21 @@ def metadata_score(title: Column, author: Column, year: Column, journal: Column)
     return F.when(title < TITLE_FLOOR, 0.0).otherwise(s["title"] * title + s["author"] * author + s["year"] * year + s["journal"] * F.when(journal >= 0.4, journal).otherwise(0.0))
 
 
+_DROPPED = re.compile(r"[\u200b-\u200d\ufeff\u2060\u2197\u00b9\u00b2\u00b3\u2070\u2074-\u2079]")
+_STRAIGHT = str.maketrans("\u2018\u2019\u201c\u201d\u2013\u2014", "''\"\"--")
+
+
+def block_normalise(text: str) -> str:
+    """Lower case without zero-width and superscript characters and [N] markers, quotes and dashes straight, spaces collapsed."""
+    return " ".join(re.sub(r"\[[0-9]{1,3}\]", "", _DROPPED.sub("", text)).translate(_STRAIGHT).lower().split())
+
+
 def monotone_alignment(old: DataFrame, new: DataFrame, group: str, threshold: float = 0.6, margin: float = 0.1, radius: int = 25) -> DataFrame:
-    """(group, old_pos, new_pos, score): order-preserving matches of blocks between two versions of a document.
+    """(group, old_pos, new_pos, score): matches of blocks between two versions of a document, each block in one at most.
 
-    Equal texts match first; others by trigram Jaccard within a window, if the best is clear of the second by the margin.
+    First, equal normalised texts match over the whole document, the first of several first (a block that moved may cross
+    others). The rest match by trigram Jaccard between the places of their matched neighbours, within a window around the
+    rank interpolated between these, if the best is clear of the second by the margin.
     Inputs have group, pos, text. One group is one document, held by one task.
     """
 
@@ -112,20 +125,29 @@ def monotone_alignment(old: DataFrame, new: DataFrame, group: str, threshold: fl
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("pos"), b.sort_values("pos")
-        olds, news, out, floor = list(zip(a.pos, a.text.fillna(""), strict=True)), list(zip(b.pos, b.text.fillna(""), strict=True)), [], -1
-        sets = [grams(t) for _, t in news]
-        for i, (pos, text) in enumerate(olds):
-            window = range(max(floor + 1, i - radius), min(len(news), i + radius + 1))
-            exact = next((j for j in window if news[j][1] == text), None)
-            score = 1.0
-            if exact is None:
-                mine = grams(text)
-                ranked = sorted(((len(mine & sets[j]) / max(1, len(mine | sets[j])), -j) for j in window), reverse=True)[:2]
-                if not ranked or ranked[0][0] < threshold or (len(ranked) > 1 and ranked[0][0] - ranked[1][0] < margin):
-                    continue
-                score, exact = ranked[0][0], -ranked[0][1]
-            floor = exact
-            out.append((key[0], pos, news[exact][0], round(score, 6)))
+        olds, news = ([None if pd.isna(t) else block_normalise(t) for t in x.text] for x in (a, b))
+        places: dict[str, deque[int]] = defaultdict(deque)
+        for j, text in enumerate(news):
+            places[text or ""].append(j)
+        match = {i: (places[text].popleft(), 1.0) for i, text in enumerate(olds) if text is not None and places.get(text)}
+        taken, matched, sets = {j for j, _ in match.values()}, list(match), [grams(t or "") for t in news]
+        for i, text in enumerate(olds):
+            mine = grams(text or "")
+            if i in match or not mine:
+                continue
+            at = bisect(matched, i)
+            lo_old, lo = (matched[at - 1], match[matched[at - 1]][0]) if at else (-1, -1)
+            hi_old, hi = (matched[at], match[matched[at]][0]) if at < len(matched) else (len(olds), len(news))
+            between = at and at < len(matched)
+            rank = int((lo + (hi - lo) * (i - lo_old) / (hi_old - lo_old) if between else i / len(olds) * len(news)) + 0.5)
+            window = (j for j in range(max(lo + 1, rank - radius), min(hi, rank + radius + 1)) if j not in taken)
+            ranked = sorted(((len(mine & sets[j]) / len(mine | sets[j]), -j) for j in window), reverse=True)[:2]
+            if not ranked or ranked[0][0] < threshold or (len(ranked) > 1 and ranked[0][0] - ranked[1][0] < margin):
+                continue
+            match[i] = -ranked[0][1], ranked[0][0]
+            taken.add(-ranked[0][1])
+            matched.insert(at, i)
+        out = [(key[0], a.pos.iloc[i], b.pos.iloc[j], round(score, 6)) for i, (j, score) in sorted(match.items())]
         return pd.DataFrame(out, columns=[group, "old_pos", "new_pos", "score"])
 
     # Projected anew, so that two versions derived from one table don't share column identities.
