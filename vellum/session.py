@@ -58,7 +58,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: a lineage cut for wide or compressible rows."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/vellum-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written(), once everything that reads them is written itself; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "scratch_path", None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
