@@ -1,9 +1,10 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are exploded into pre-tokens with their positions, block by block: a block keeps its sequence of word numbers and
-its distinct words go, by hash, to the tasks of a global word shuffle. There every distinct word is encoded once;
-its ids are joined back to the blocks that hold it, and blocks are reassembled by position. Decoding joins ids with the
-token-byte table, whose size is the vocabulary's. Sequences and word lists travel as compressed columns: a row for
+Texts are exploded into pre-tokens with their positions, block by block: a block's sequence of word numbers is kept in
+pieces, and its distinct words go, by hash, to the tasks of a global word shuffle. A word's hash names one task, so every
+distinct word of the whole table is encoded once; its ids are joined back to the blocks that hold it, and blocks are
+reassembled by position. Decoding looks ids up in the token-byte table, an Arrow array of the vocabulary's size in every
+task, as a broadcast join would. Sequences and word lists travel as compressed columns through two shuffles: a row for
 each pre-token, as plain rows would have it, takes several times the input's size.
 """
 
@@ -20,20 +21,22 @@ from itertools import count
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.llm.pretokens import splitter
-from vellum.session import shuffle_width, written
+from vellum.session import shuffle_width
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Characters of a block and the most word partitions.
-BLOCK_CHARS, MAX_PARTS = 32_000_000, 1_024
-#: Distinct words a task remembers as encoded; beyond it, words met again are encoded again.
-MEMO = 1_000_000
-BLOCKS = "kind int, block long, part int, ids array<long>, lengths binary, data binary, parts binary"
+#: Characters of a block, whose words are listed once, and of a piece, whose sequence is held at once.
+BLOCK_CHARS, PIECE_CHARS = 32_000_000, 2_000_000
+#: Kinds of a block's rows: a piece's documents and sequence, the tasks of its words, and a task's words.
+PIECE, PLACES, WORDS = range(3)
+BLOCKS = "kind int, block long, part int, ids array<long>, lengths binary, data binary"
+KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
 
 @cache
@@ -44,11 +47,11 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 @cache
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table by id."""
+def token_bytes(path: str) -> pa.BinaryArray:
+    """The token-byte table; ids are its places."""
     with open(path, "rb") as lines:
         table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
-    return [table.get(i, b"") for i in range(max(table) + 1)]
+    return pa.array([table.get(i, b"") for i in range(max(table) + 1)], pa.binary())
 
 
 def _pack(data: bytes) -> bytes:
@@ -68,46 +71,56 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unpack(data), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+
 def _explode(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    split, task, number = splitter(), TaskContext.get().partitionId(), 0
+    """The rows of each block. Words are numbered as they appear, so frequent ones have low numbers."""
+    split, block, chars = splitter(), TaskContext.get().partitionId() << 32, 0
+    words: defaultdict[str, int] = defaultdict(count().__next__)
     ids: list[int | None] = []
-    lengths: list[int] = []
     codes: list[np.ndarray] = []
-    size = 0
-    words: defaultdict[str, int] = defaultdict(count().__next__)
-
-    def flush() -> pa.RecordBatch:
-        nonlocal number, size, words
-        block, number = (task << 32) + number, number + 1
-        names = list(words)
-        utf8 = [w.encode() for w in names]
-        seq = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32)
-        often = np.argsort(-np.bincount(seq, minlength=len(names)), kind="stable")
-        rank = np.empty(len(names), dtype=np.uint32)
-        rank[often] = np.arange(len(names), dtype=np.uint32)
-        part = np.fromiter((zlib.crc32(utf8[i]) % parts for i in often), dtype="<u2", count=len(names))
-        rows = [(0, block, -1, list(ids), _planes(np.array(lengths)), _planes(rank[seq]), _pack(part.tobytes()))]
+    size, held = 0, False
+
+    def piece() -> pa.RecordBatch:
+        nonlocal size, held
+        held = True
+        lengths = np.fromiter(map(len, codes), dtype=np.uint32, count=len(codes))
+        row = (PIECE, block, block % parts, list(ids), _planes(lengths), _planes(np.concatenate(codes)))
+        ids.clear(), codes.clear()
+        size = 0
+        return _rows([row])
+
+    def dictionary() -> Iterator[pa.RecordBatch]:
+        nonlocal block, chars, words, held
+        held = False
+        utf8 = [w.encode() for w in words]
+        part = np.fromiter((zlib.crc32(w) % parts for w in utf8), dtype=np.uint32, count=len(utf8))
+        yield _rows([(PLACES, block, block % parts, None, None, _planes(part))])
         order = np.argsort(part, kind="stable")
         for p, group in zip(*_grouped(part[order], order), strict=True):
-            mine = [utf8[often[i]] for i in group]
-            rows.append((1, block, int(p), None, _planes(np.fromiter(map(len, mine), dtype=np.uint32, count=len(mine))), _pack(b"".join(mine)), None))
-        ids.clear(), lengths.clear(), codes.clear()
-        size, words = 0, defaultdict(count().__next__)
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            mine = [utf8[i] for i in group]
+            yield _rows([(WORDS, block, int(p), None, _planes(np.fromiter(map(len, mine), dtype=np.uint32, count=len(mine))), _pack(b"".join(mine)))])
+        block, chars, words = block + 1, 0, defaultdict(count().__next__)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
             text = text.as_py() or ""
             pieces = split(text)
             ids.append(doc_id.as_py())
-            lengths.append(len(pieces))
             codes.append(np.fromiter(map(words.__getitem__, pieces), dtype=np.uint32, count=len(pieces)))
-            size += len(text)
-            if size >= BLOCK_CHARS:
-                yield flush()
+            size, chars = size + len(text), chars + len(text)
+            if size >= PIECE_CHARS:
+                yield piece()
+            if chars >= BLOCK_CHARS:
+                if ids:
+                    yield piece()
+                yield from dictionary()
     if ids:
-        yield flush()
+        yield piece()
+    if held:
+        yield from dictionary()
 
 
 def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[list, list[np.ndarray]]:
@@ -123,24 +136,27 @@ def _cuts(lengths: np.ndarray) -> np.ndarray:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Word lists to id lists. Words of equal hash are all in one task, so each is encoded once."""
+    """Word lists to id lists; other rows pass. Words of equal hash are all in this task, so each is encoded once.
+
+    The task holds its distinct words: those of one of the session's shuffle partitions.
+    """
     piece = encoding(path)._encode_single_piece
-    known: dict[bytes, list[int]] = {}
+    known: dict[bytes, bytes] = {}
     for batch in batches:
-        out = []
-        for lengths, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            text, at = _unpack(data), _cuts(_numbers(lengths)).tolist()
+        lists = batch.column(0).to_numpy() == WORDS
+        lengths, data = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        for i in np.flatnonzero(lists):
+            text, at = _unpack(data[i]), _cuts(_numbers(lengths[i])).tolist()
             found = []
             for a, b in zip(at, at[1:]):
                 word = text[a:b]
                 got = known.get(word)
                 if got is None:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    got = known[word] = piece(word)
+                    got = known[word] = np.array(piece(word), dtype="<u4").tobytes()
                 found.append(got)
-            out.append((_planes(np.fromiter(map(len, found), dtype=np.uint32, count=len(found))), _planes(np.fromiter((x for ids in found for x in ids), dtype=np.uint32))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["block", "part", "lengths", "data"])
+            lengths[i] = _planes(np.fromiter(map(len, found), dtype=np.uint32, count=len(found)) // 4)
+            data[i] = _planes(np.frombuffer(b"".join(found), dtype="<u4"))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(lengths, pa.binary()), pa.array(data, pa.binary())], names=batch.schema.names)
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -149,33 +165,41 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _assemble(words: pa.Table, blocks: pa.Table, table: list[bytes], digests: bool) -> pa.Table:
-    """A block's documents: ids by position, and what the token-byte table decodes them to."""
+def _assemble(rows: pa.Table, table: pa.BinaryArray, digests: bool) -> pa.Table:
+    """A block's documents, piece by piece: ids by position, and what the token-byte table decodes them to."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]
     kinds = [pa.int64(), pa.int64(), pa.string() if digests else pa.list_(pa.int32()), pa.string()]
-    rows = []
-    for b in blocks.to_pylist():
-        part = np.frombuffer(_unpack(b["parts"]), dtype="<u2")
-        order = np.argsort(part, kind="stable")  # place in the parts' order -> word by frequency
-        mine = sorted(words.select(["part", "lengths", "data"]).to_pylist(), key=lambda r: r["part"])
-        length = np.zeros(len(part), dtype=np.int64)
-        start = np.zeros(len(part), dtype=np.int64)
-        if mine:
-            by_part = np.concatenate([_numbers(r["lengths"]) for r in mine]).astype(np.int64)
-            ids = np.concatenate([_numbers(r["data"]) for r in mine])
-            length[order], start[order] = by_part, _cuts(by_part)[:-1]
-        else:
-            ids = np.zeros(0, dtype=np.uint32)
-        seq, at = _numbers(b["data"]), _cuts(_numbers(b["lengths"]))
-        for k, doc_id in enumerate(b["ids"]):
-            codes = seq[at[k] : at[k + 1]]
-            tokens = ids[_spread(start[codes], length[codes])].astype("<u4")
-            decoded = b"".join(map(table.__getitem__, tokens.tolist()))
-            if digests:
-                rows.append((doc_id, len(tokens), hashlib.sha256(tokens.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            else:
-                rows.append((doc_id, len(tokens), tokens.astype(np.int32), decoded.decode()))
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
+    kind = rows.column("kind").to_numpy()
+    (part,) = (_numbers(x.as_py()) for x in rows.column("data").filter(pa.array(kind == PLACES)))
+    order = np.argsort(part, kind="stable")  # place in the tasks' order -> word
+    mine = sorted(rows.filter(pa.array(kind == WORDS)).select(["part", "lengths", "data"]).to_pylist(), key=lambda r: r["part"])
+    by_part = np.concatenate([np.zeros(0, dtype=np.uint32), *(_numbers(r["lengths"]) for r in mine)]).astype(np.int64)
+    ids = np.concatenate([np.zeros(0, dtype=np.uint32), *(_numbers(r["data"]) for r in mine)])
+    length, start = np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=np.int64)
+    length[order], start[order] = by_part, _cuts(by_part)[:-1]
+    spelt = pc.binary_length(table).to_numpy()
+    made = []
+    for one in rows.filter(pa.array(kind == PIECE)).select(["ids", "lengths", "data"]).to_batches(max_chunksize=1):
+        (doc_ids,), (lengths,), (data,) = (c.to_pylist() for c in one.columns)
+        seq, words = _numbers(data), _cuts(_numbers(lengths))
+        per_word = length[seq]
+        tokens = ids[_spread(start[seq], per_word)].astype("<u4")
+        at = _cuts(per_word)[words]
+        text, chars = decode(tokens, table), _cuts(spelt[tokens])[at]
+        for k, doc_id in enumerate(doc_ids):
+            own, said = tokens[at[k] : at[k + 1]], text[chars[k] : chars[k + 1]]
+            made.append((doc_id, len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(said).hexdigest()) if digests else (doc_id, len(own), own.astype(np.int32), said.tobytes().decode()))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)] if made else [pa.array([], k) for k in kinds], names=names)
+
+
+def decode(tokens: np.ndarray, table: pa.BinaryArray, at_once: int = 1_000_000) -> memoryview:
+    """The bytes of the tokens' table entries, one after another; gathered in parts, so that no array passes 2 GB."""
+    parts = []
+    for i in range(0, len(tokens), at_once):
+        found = table.take(pa.array(tokens[i : i + at_once]))
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int32)[found.offset : found.offset + len(found) + 1]
+        parts.append(memoryview(found.buffers()[2])[ends[0] : ends[-1]])
+    return memoryview(b"".join(parts))
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, digests: bool = False) -> DataFrame:
@@ -183,15 +207,13 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Ids are those of ranks and pattern for the whole text, without special tokens. path: a rank file readable on every executor. Null
     texts are empty and have no ids; ids may be null or repeated; an empty table gives no rows; extra columns are not read.
-    Memory is a block's, whatever the documents: 32 million characters, or the longest document.
+    Memory is a piece's, two million characters or the longest document, with the words of a block of 32 million, and in the
+    word shuffle the distinct words of one of the session's shuffle partitions.
     """
     path, spark = path or public_tokenizers.path(RANKS), docs.sparkSession
-    width = shuffle_width(spark)
-    parts = min(MAX_PARTS, width)
+    parts = shuffle_width(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = written(rows.mapInArrow(lambda it: _explode(it, parts), BLOCKS), "blocks")
-    words = made.where("kind = 1").select("block", "part", "lengths", "data").repartition(width, "part")
-    encoded = words.mapInArrow(lambda it: _encode(it, path), "block long, part int, lengths binary, data binary")
-    blocks = made.where("kind = 0").select("block", "ids", "lengths", "data", "parts")
+    made = rows.mapInArrow(lambda it: _explode(it, parts), BLOCKS).repartitionById(parts, F.col("part"))
+    encoded = made.mapInArrow(lambda it: _encode(it, path), BLOCKS)
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return encoded.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(lambda w, b: _assemble(w, b, token_bytes(path), digests), schema)
+    return encoded.groupBy("block").applyInArrow(lambda block: _assemble(block, token_bytes(path), digests), schema)
