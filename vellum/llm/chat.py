@@ -1,9 +1,10 @@
 """Chat formatting with a black-box template and incremental rendering.
 
-The formatter knows the template only as a function from turns to text. It renders successive prefixes of a
-conversation and takes what each turn adds as that turn's span; a template whose output for a longer prefix does not begin with its output
-for the shorter one rewrites history, and is reported. Within the spans, the template's own marks are found and texts
-unescaped, so turns and the loss mask are read back from the output.
+The formatter knows the template only as a function from turns to text. It renders every prefix of a conversation, each
+longer by one turn, and takes what each turn adds as that turn's span; a template whose output for a longer prefix does not begin
+with its output for the shorter one rewrites history, and is reported. Within the spans, the template's own marks are found
+and texts unescaped, so turns and the loss mask are read back from the output. A template that rewrites history has no
+spans; its output is searched from the start instead, turn after turn.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from pyspark.sql import DataFrame, functions as F
 from vellum.session import shuffle_width
 
 Turn = tuple[str, str]
+Render = Callable[[list[Turn]], str]
+#: A turn read back: role, text, and where its escaped text lies in the output.
+Read = tuple[str, str, int, int]
 START, MIDDLE, END = "<|turn|>", "<|says|>", "<|over|>"
 #: Strings a text may not hold unescaped: this template's marks, and those of common others.
 CONTROL = [START, MIDDLE, END, "<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
-#: Turns of context in a window; longer conversations are rendered window by window and then checked whole.
-WINDOW = 8
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
 
 
@@ -41,40 +43,48 @@ def template(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape(role)}{MIDDLE}{escape(text)}{END}" for role, text in turns)
 
 
-def spans(turns: list[Turn], render: Callable[[list[Turn]], str] = template, window: int = WINDOW) -> tuple[str, list[tuple[int, int]] | None]:
-    """The whole output, and each turn's span in it; None if the template rewrites history.
+def spans(turns: list[Turn], render: Render = template) -> tuple[str, list[tuple[int, int]] | None]:
+    """The whole output, and each turn's span in it; None if the template rewrites history at any prefix.
 
-    Prefixes up to the window are rendered in full. Beyond, a turn's addition is located against the window turns before it
-    and the result is held against one rendering of the whole; if they differ, every prefix is rendered in full.
+    All prefixes are rendered, so the work grows with the square of a conversation's turns; two renderings are held.
+    """
+    before, found = "", []
+    for k in range(len(turns)):
+        after = render(turns[: k + 1])
+        if not after.startswith(before):
+            return render(turns), None
+        found.append((len(before), len(after)))
+        before = after
+    return before, found
+
+
+def turn_in(piece: str) -> tuple[str, str, int, int] | None:
+    """(role, text, start, end) of the default template's turn in a piece of its output; None if there is none."""
+    a = piece.find(START)
+    b = piece.find(MIDDLE, a + 1)
+    c = piece.find(END, b + 1)
+    if min(a, b, c) < 0:
+        return None
+    return unescape(piece[a + len(START) : b]), unescape(piece[b + len(MIDDLE) : c]), b + len(MIDDLE), c
+
+
+def read_back(formatted: str, found: list[tuple[int, int]] | None, read: Callable[[str], Read | None] = turn_in) -> list[Read]:
+    """(role, text, start, end) of every turn; start and end hold the escaped text.
+
+    Each span holds a turn. Without spans, turns are taken from the output one after another, as far as there are any.
     """
-    whole = render(turns)
-    for limit in dict.fromkeys((window, len(turns))):
-        out, found, last = [], [], ""
-        for k in range(len(turns)):
-            first = max(0, k - limit)
-            before = last if first == 0 else render(turns[first:k])
-            after = render(turns[first : k + 1])
-            if not after.startswith(before):
-                break
-            last = after if k + 1 <= limit else ""
-            out.append(after[len(before) :])
-            at = found[-1][1] if found else 0
-            found.append((at, at + len(out[-1])))
-        if len(found) == len(turns) and "".join(out) == whole:
-            return whole, found
-    return whole, None
-
-
-def read_back(formatted: str, found: list[tuple[int, int]]) -> list[tuple[str, str, int, int]]:
-    """(role, text, start, end) of every turn of the default template; start and end hold the escaped text."""
     rows = []
+    if found is None:
+        at = 0
+        while got := read(formatted[at:]):
+            rows.append((got[0], got[1], at + got[2], at + got[3]))
+            at += got[3] + 1
+        return rows
     for a, b in found:
-        piece = formatted[a:b]
-        cut = piece.index(MIDDLE)
-        if not piece.startswith(START) or not piece.endswith(END):
+        got = read(formatted[a:b])
+        if got is None:
             raise ValueError("no turn at this span")
-        start, end = a + cut + len(MIDDLE), b - len(END)
-        rows.append((unescape(piece[len(START) : cut]), unescape(formatted[start:end]), start, end))
+        rows.append((got[0], got[1], a + got[2], a + got[3]))
     return rows
 
 
@@ -91,7 +101,7 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
         yield key, turns
 
 
-def _format(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.RecordBatch]:
+def _format(batches: Iterator[pa.RecordBatch], digests: bool, render: Render, read: Callable[[str], Read | None]) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()] if digests else [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("role", pa.string())])), pa.bool_()]
     names = [x.split()[0] for x in DIGESTS.split(", ")] if digests else ["conv_id", "formatted", "turns", "rewrites_history"]
@@ -102,8 +112,8 @@ def _format(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.Rec
         return done
 
     for conv, turns in _conversations(batches):
-        formatted, found = spans(turns)
-        back = read_back(formatted, found or [])
+        formatted, found = spans(turns, render)
+        back = read_back(formatted, found, read)
         if digests:
             said, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
             for role, text, _, _ in back:
@@ -122,16 +132,18 @@ def _format(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.Rec
         yield flush()
 
 
-def format_chats(turns: DataFrame, digests: bool = False) -> DataFrame:
+def format_chats(turns: DataFrame, digests: bool = False, render: Render = template, read: Callable[[str], Read | None] = turn_in) -> DataFrame:
     """One row per conv_id: the formatted text with each turn's text span and role, or their digests read back from it.
 
-    Turns go by turn number, nulls first, ties by role and text, repeated rows stay. Null roles and texts are empty; a
-    null conv_id is one conversation. A conversation is one output value and is made by one task, which streams its
-    partition's sorted rows and holds one conversation at a time. An empty table gives no rows; extra columns are not read.
+    render is the template, a black box; read finds one turn in a piece of its output. rewrites_history says that some
+    prefix's output is not the start of the next one's; such a conversation keeps its text, and its turns are those that read
+    finds in it in order. Turns go by turn number, nulls first, ties by role and text, repeated rows stay. Null roles and texts
+    are empty; a null conv_id is one conversation. A conversation is one output value and is made by one task, which
+    streams its partition's sorted rows and holds one conversation at a time. An empty table gives no rows; extra columns are not read.
     """
     rows = turns.select("conv_id", "role", "text", "turn").repartition(shuffle_width(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = DIGESTS if digests else "conv_id long, formatted string, turns array<struct<start:long,end:long,role:string>>, rewrites_history boolean"
-    return rows.select("conv_id", "role", "text").mapInArrow(lambda it: _format(it, digests), schema)
+    return rows.select("conv_id", "role", "text").mapInArrow(lambda it: _format(it, digests, render, read), schema)
 
 
 def probe(spark) -> DataFrame:
