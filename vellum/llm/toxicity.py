@@ -21,6 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vellum.session import discard, written
+
 #: Bounds of the training sample and the number of voters; the sample is the labelled rows of least hash.
 MAX_LABELLED, MAX_VOTERS = 20_000, 256
 PREFIXES = (4, 5, 6, 7)
@@ -145,15 +147,18 @@ def choose_voters(ranked: list[tuple[str, int, int]], most: int) -> list[str]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_voters: int = MAX_VOTERS) -> Model:
     """Fit voters, label model and classifier on at most max_labelled labelled rows.
 
-    Rows with a null label or id are no use and are left out; texts are used whole. Without toxic rows the model has
-    no voters and scores everything low.
+    Rows with a null label or id are no use and are left out; an id that has both labels counts as toxic. Texts are used
+    whole; of documents that share a labelled id the text of least hash is used, so repeated rows count once. Without rows of
+    both labels the model has no voters and scores everything low.
     """
-    ids = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["i"])
+    ids = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     sample = ids.orderBy(F.xxhash64("i"), "i").limit(max_labelled)
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("i")).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y")
+    texts = docs.select(F.col(id_col).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("id_") == F.col("i"))
+    rows = written(texts.groupBy("i", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y"), "sample")
     counts = rows.mapInArrow(_count, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n0, n1 = (sample.where(F.col("y") == y).count() for y in (0, 1))
+    n0, n1 = (rows.where(F.col("y") == y).count() for y in (0, 1))
     if not n1 or not n0:
+        discard(rows)
         return Model()
     support = max(3, n1 // 200)
     lift = F.log(((F.col("n1") + 0.1) / (n1 + 1.0)) / ((F.col("n0") + 0.1) / (n0 + 1.0)))
@@ -163,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not voters:
         return Model()
     share = {r.feature: (r.n0, r.n1) for r in ranked}
-    spoken = _votes(rows, voters).collect()  # at most max_labelled short lists
+    spoken = _votes(rows, voters).collect()  # a short list for each labelled id, at most max_labelled
+    discard(rows)
     votes = np.zeros((len(spoken), len(voters) + 1), dtype=np.float32)
     for i, r in enumerate(spoken):
         votes[i, r.votes or [len(voters)]] = 1
@@ -200,7 +206,12 @@ def training_fold(doc_id: Column) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with score, predicted and held_out added; the model learns from training_fold() rows of labels only."""
-    model = train(docs, labels.where(training_fold(F.col("doc_id"))), id_col, text_col)
-    whole = docs.withColumn("score", score(F.col(text_col), model))
-    return whole.withColumn("predicted", (F.col("score") >= REJECT).cast("int")).withColumn("held_out", F.coalesce(~training_fold(F.col(id_col)), F.lit(False)))
+    """docs with score, predicted and held_out added; the model learns from training_fold() rows of labels only.
+
+    One row per row of docs, repeated rows too, equal texts with equal scores. Null and empty texts get the bias's score; a null id
+    is neither labelled nor held out. Columns of docs named score, predicted or held_out are replaced, others stay. No
+    labels or no documents: every score is low, or there are no rows. No score is null.
+    """
+    model = train(docs, labels.where(training_fold(F.col(id_col))), id_col, text_col)
+    whole = docs.withColumn("score", score(F.col(f"`{text_col}`"), model))
+    return whole.withColumn("predicted", (F.col("score") >= REJECT).cast("int")).withColumn("held_out", F.coalesce(~training_fold(F.col(f"`{id_col}`")), F.lit(False)))
