@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
-from vellum.session import cut, shuffle_width
+from vellum.session import cut, discard, shuffle_width, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SPACE = " \t\n\x0b\x0c\r"
@@ -115,8 +116,9 @@ def _dropped(batches: Iterator[pa.RecordBatch], crossing: dict[tuple[int, int],
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, text_hash, drops): positions of the lines a document loses; documents that lose none have no row."""
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("text_hash"), F.col("pos")]
-    rows = line_rows(docs, id_col, text_col, min_chars)
+    rows = written(line_rows(docs, id_col, text_col, min_chars), "lines")  # once, as ranges are sampled before rows are dealt
     lined = cut(rows.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order))
+    discard(rows)
     # Two rows to a partition at most, min_docs numbers each.
     merged: dict[tuple[int, int], set[int]] = {}
     for r in lined.mapInArrow(lambda it: _edges(it, min_docs), "h1 long, h2 long, docs array<long>").collect():
@@ -127,13 +129,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _keep(text: str, drops: list[int] | None) -> tuple[int, int, bytes, str]:
-    """Lines, lines dropped, the compressed keep bitmap and the text kept."""
+    """Lines, lines dropped, the compressed keep bitmap, and the text that the bitmap gives back."""
+    keep = np.ones(text.count("\n") + 1, dtype=bool)
+    keep[drops or []] = False
+    bitmap = zlib.compress(np.packbits(keep).tobytes())
+    return len(keep), len(drops or ()), bitmap, kept_text(text, bitmap)
+
+
+def kept_text(text: str, bitmap: bytes) -> str:
+    """The lines that a document's bitmap keeps."""
     lines = text.split("\n")
-    keep = np.ones(len(lines), dtype=bool)
-    if drops:
-        keep[drops] = False
-        text = "\n".join([lines[i] for i in np.flatnonzero(keep)])
-    return len(lines), len(drops or ()), zlib.compress(np.packbits(keep).tobytes()), text
+    keep = unpack(bitmap, len(lines))
+    return text if keep.all() else "\n".join([lines[i] for i in np.flatnonzero(keep)])
 
 
 def unpack(bitmap: bytes, n_lines: int) -> np.ndarray:
@@ -155,11 +162,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key is the line without spaces at its ends, A-Z in lower case. Keys of min_chars code points or more found
     in min_docs documents or more lose all their lines but those of the largest id. keep is the zlib-compressed bitmap
     of lines that stay (unpack()). Null and empty texts are one empty line. Documents are told apart by id; a null id is one
-    more document and sorts least; rows of one id and text fare alike. An empty table gives no rows.
+    more document and sorts least (the id -2^63 counts as null); rows of one id and text fare alike. An empty table gives no
+    rows. The text kept, or its digest, is made from the bitmap (kept_text()).
     """
     drops = dropped_lines(docs, id_col, text_col, min_chars, min_docs)
     others = [c for c in docs.columns if c != text_col]
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     joined = left.join(drops.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("row", "text", "drops")
-    kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(lambda it: _finish(it, with_text), f"row {kind}, n_lines long, n_dropped long, keep binary, " + ("kept string" if with_text else "kept_sha256 string"))
+    schema = StructType().add("row", joined.schema["row"].dataType).add("n_lines", LongType()).add("n_dropped", LongType())
+    schema = schema.add("keep", BinaryType()).add("kept" if with_text else "kept_sha256", StringType())
+    return joined.mapInArrow(lambda it: _finish(it, with_text), schema)
