@@ -84,7 +84,8 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, old_shard: Column | N
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32")
     lies = [old_shard.cast("int").alias("old_shard")] if old_shard is not None else []
     row = docs.select(F.col(id_col).alias("doc_id"), size, crc, *lies, *kept).withColumn("hashed", F.xxhash64("doc_id", "size", "text_crc32"))
-    return row if lies else row.withColumn("old_shard", F.pmod("hashed", F.lit(old_shards)).cast("int"))
+    dealt = F.pmod("hashed", F.lit(old_shards)).cast("int")
+    return row.withColumn("old_shard", F.coalesce("old_shard", dealt) if lies else dealt)
 
 
 def _blocked(row: DataFrame, blocks: int) -> DataFrame:
@@ -134,7 +135,7 @@ def reshard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old
     """One row per row of docs: doc_id, size, text_crc32, old_shard, shard, slot, moved.
 
     size is the text's UTF-8 bytes (none for null) plus 1. old_shard: where a row lies now, an expression over docs
-    from 0; by default a hash of the row deals it to one of old_shards. New shards have near equal bytes, each within a
+    from 0; by default, and where it is null, a hash of the row deals it to one of old_shards. New shards have near equal bytes, each within a
     document of its capacity; slot counts a shard's rows from 0 without gaps. Blocks are hash ranges of a bounded number of rows, so
     that neither a hot id nor a large shard is ordered in one task; equal rows may swap slots between runs. An empty table
     gives no rows.

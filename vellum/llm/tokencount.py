@@ -89,7 +89,8 @@ def _run(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatc
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit (more than limit tokens).
 
-    path: a byte-level BPE file of the tokenizers library, readable on every executor. Null texts are empty and count 0; ids may be
+    path: a byte-level BPE file of the tokenizers library, readable on every executor, whose special strings match as they
+    stand (its flags to strip or to match normalised text are not followed). Null texts are empty and count 0; ids may be
     null or repeated; an empty table gives no rows; extra columns are not read. No shuffle.
     """
     path = path or public_tokenizers.path(VOCABULARY)

@@ -64,7 +64,7 @@ def sized(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROU
 
 def schedule(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUNDS) -> DataFrame:
     n = slim.count()
-    digits = max(1, min(6, len(f"{n // RANGE_ROWS:x}")))
+    digits = len(f"{n // RANGE_ROWS:x}")
     ranged = sized(slim, weights, rounds).withColumn("range", F.substring("shuffled", 1, digits))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("part"))
     before = sums.withColumn("base", F.sum("part").over(W.partitionBy("source").orderBy("range")) - F.col("part")).select(F.col("source").alias("s"), F.col("range").alias("r"), "base")
@@ -89,7 +89,12 @@ def _cut_at_budget(sent: DataFrame, slim: DataFrame) -> DataFrame:
 
 
 def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, rounds: int = ROUNDS, seed: str = "") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target and taken, the words the mix takes of it, repeats counted."""
+    """One row per row of docs: doc_id, source, size, source_size, target and taken, the words the mix takes of it, repeats counted.
+
+    Rows are told apart by id, text and source, and repeated rows are numbered, each with a share of its own. Null texts have
+    no words and are never taken; a null source is a source; null ids shuffle as "null". An empty table gives no rows; other
+    columns are not read.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.md5(text).alias("text_md5"), F.col(source_col).alias("source"), words(text).alias("size"))
     slim = slim.withColumn("shuffled", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
