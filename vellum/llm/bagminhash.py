@@ -12,25 +12,29 @@ Bands of the signature name candidates, exact multiset overlap verifies them, an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vellum.operators.components import connected_components
-from vellum.session import cut, written
+from vellum.session import discard, written
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
-#: Bands and rows of the finer signatures for what the pivots leave apart; a pair at the threshold is missed once in 800.
-FINE_BANDS, FINE_ROWS = 150, 14
+#: Bands and rows of the finer signatures for what the pivots leave apart; a pair at the threshold is missed once in 20,000,
+#: as by the first bands.
+FINE_BANDS, FINE_ROWS = 220, 14
 #: One bit of each of so many signature components is kept too: pairs that share a fine key are verified only if their bits
-#: agree as those of a pair at the threshold do, or less often by up to SIGMAS standard deviations (one in 3000 falls below).
-SKETCH_BITS, SIGMAS = 2048, 3.4
+#: agree as those of a pair at the threshold do, or less often by up to SIGMAS standard deviations (one in 50,000 falls below).
+SKETCH_BITS, SIGMAS = 3072, 4.1
 #: Words that a worker turns into signatures at once.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 200_000
+#: A group of exact copies is hot if it holds more than one row in so many; there are fewer hot groups than that.
+HOT = 1_000
 _U = np.uint64
 _GOLD, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _EMPTY = np.zeros(0, dtype=_U)
@@ -182,8 +186,9 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
         full = np.isfinite(sig[:, 0])
         keys = _banded(band_keys(sig[full], bands, rows))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)), pa.array(keys.ravel()))
-        columns = [batch.column(0), _ids(coded(hashes, occ), docs, batch.num_rows), lists, *batch.columns[2:]]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "exact", "bands", "text_md5"][: len(columns)])
+        sizes = pa.array(np.bincount(docs, minlength=batch.num_rows).astype(np.int64))
+        columns = [batch.column(0), _ids(coded(hashes, occ), docs, batch.num_rows), lists, sizes, batch.column(2)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "exact", "bands", "size", "text_md5"])
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +207,19 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, items) of the rows whose text has the multiset hash looked for: rows of another text under the same doc_id go."""
-    for batch in _sliced(batches, 2):
-        words, offsets = _flat(batch.column(2))
+    """(id, items): the coded multisets of texts."""
+    for batch in _sliced(batches, 1):
+        words, offsets = _flat(batch.column(1))
         docs, hashes, occ = counted(*shingles(words, offsets))
-        values = coded(hashes, occ)
         ends = np.searchsorted(docs, np.arange(batch.num_rows + 1)).astype(np.int32)
-        same = pc.equal(_ids(values, docs, batch.num_rows), batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))], names=["id", "items"]).filter(same)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(coded(hashes, occ).view(np.int64)))], names=["id", "items"])
+
+
+def multiset_items(text: str) -> list[int]:
+    """The coded multiset of one text, its words hashed by xxhash as in word_hashes()."""
+    words = np.array([xxhash.xxh64_intdigest(w, seed=42) for w in re.findall(r"[^\W_]+", text.lower())], dtype=_U)
+    docs, hashes, occ = counted(*shingles(words, np.array([0, len(words)])))
+    return coded(hashes, occ).view(np.int64).tolist()
 
 
 def word_hashes(text):
@@ -223,25 +233,40 @@ def text_md5(text_col: str = "text") -> Column:
     return F.coalesce(F.md5(text_col), F.lit(""))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, hashed: bool = False) -> DataFrame:
-    """(doc_id, exact, bands): the multiset's 128-bit hash and the band keys of its signature (none if it is empty); text_md5 too if hashed."""
-    words = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("w"), *([text_md5(text_col).alias("text_md5")] if hashed else []))
-    return words.mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, exact binary, bands array<long>" + (", text_md5 string" if hashed else ""))
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, exact, bands, size, text_md5): the multiset's 128-bit hash, the band keys of its signature (none if it is empty), its size, the text's hash."""
+    words = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("w"), text_md5(text_col).alias("text_md5"))
+    return words.mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, exact binary, bands array<long>, size long, text_md5 string")
 
 
 def _pivoted(placed: DataFrame, order: Column, pivot: Column) -> DataFrame:
-    """(key, id, part, pivot) of the buckets that hold several parts; the pivot is the member of least order."""
-    lead = placed.groupBy("key").agg(F.min(order).alias("least"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    return placed.join(lead.where("lo <> hi").select("key", pivot.alias("pivot")), "key")
+    """(key, id, part, size, pivot, pivot_part, pivot_size) of the buckets that hold several parts; the pivot is the member of least order."""
+    lead = placed.groupBy("key").agg(F.min(F.struct(order.alias("least"), "part", "size")).alias("first"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    lead = lead.where("lo <> hi").select("key", F.col("first.least").alias("least"), F.col("first.part").alias("pivot_part"), F.col("first.size").alias("pivot_size"))
+    return placed.join(lead.withColumn("pivot", pivot).drop("least"), "key").select("key", "id", "part", "size", "pivot", "pivot_part", "pivot_size")
+
+
+def _close(x: str, y: str, threshold: float) -> Column:
+    """Whether two multisets' sizes allow the threshold: the smaller has at least that share of the larger."""
+    return F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
+
+
+def _to_pivot(placed: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b, pa, pb) of a pivot and a member of another part whose sizes allow the threshold."""
+    met = placed.where("part <> pivot_part").where(_close("size", "pivot_size", threshold))
+    return met.select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("pivot_part").alias("pa"), F.col("part").alias("pb")).distinct()
 
 
 def _items(docs: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, items): the coded multisets of members, each made from one document."""
-    key = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("nul")]
-    wanted = groups.join(members, "id").select("id", "exact", F.col("exact_id").alias("doc_id")).select("id", "exact", *key)
-    texts = docs.select("text", *key).join(wanted.hint("shuffle_hash"), ["k", "nul"])
-    texts = texts.withColumn("h", F.md5("text")).dropDuplicates(["k", "nul", "id", "h"])
-    return texts.select("id", "exact", word_hashes(F.col("text")).alias("w")).mapInArrow(_expand, "id long, items array<long>")
+    """(id, items): the coded multisets of members, each made from the text of its group's least row.
+
+    Rows of one id and text are made one before the shuffle, so repeated rows do not gather in a task.
+    """
+    key = ["k", "nul", "text_md5"]
+    of = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("nul"), "text_md5"]
+    wanted = groups.join(members, "id").select("id", "first.doc_id", "first.text_md5").select("id", *of)
+    texts = docs.select("doc_id", "text", text_md5().alias("text_md5")).select("text", *of).groupBy(*key).agg(F.first("text").alias("text"))
+    return texts.join(wanted.hint("shuffle_hash"), key).select("id", word_hashes(F.col("text")).alias("w")).mapInArrow(_expand, "id long, items array<long>")
 
 
 def _alike(x: Column, y: Column, threshold: float) -> Column:
@@ -259,13 +284,15 @@ def _verified(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame
 
 
 def _merged(parts: DataFrame, pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """parts (id, part) after verified pairs (a, b of the parts pa, pb) made parts one."""
-    links = cut(_verified(pairs, items, threshold))
-    into = connected_components(links, "pa", "pb").select(F.col("node").alias("part"), "component")
-    return cut(parts.join(into, "part", "left").select("id", F.coalesce("component", "part").alias("part")))
+    """parts (id, part) after verified pairs (a, b of the parts pa, pb) made parts one; the old table goes."""
+    links = written(_verified(pairs, items, threshold), "links")
+    into = connected_components(links, "pa", "pb")
+    new = written(parts.join(into.select(F.col("node").alias("part"), "component"), "part", "left").select("id", F.coalesce("component", "part").alias("part")), "parts")
+    discard(links, into, parts)
+    return new
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, exact: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, class_id, exact_id, class_size.
 
     exact_id is the least doc_id with the same shingle multiset, class_id the least doc_id of the connected component
@@ -273,15 +300,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     In each bucket every member is verified against a pivot, which then has met all the others and leaves the bucket. Buckets
     that still hold several components do so again with a pivot of the bucket's own. Where several components remain even
     then, members are banded by finer signatures, which have a pivot each too; pairs of different components that still meet
-    there are verified one by one. Pairs of finer buckets are verified if their sketches agree (see SKETCH_BITS). No bucket
-    is capped, and a large bucket of unlike members is split by its members' likeness. Null and empty texts (no words) are equal to each other and form one
-    class. Repeated rows are copies; a null doc_id counts as greater than any. An empty table gives no rows. Extra columns
-    are not read.
+    there are verified one by one if their sketches agree (see SKETCH_BITS). No bucket is capped, and a large bucket of
+    unlike members is split by its members' likeness. A pair at the threshold is missed by each step once in 20,000 or less, others
+    more rarely; exact=True adds a join on rare shingles that misses none (see exact_links).
+
+    Null and empty texts (no words) are equal to each other and form one class. Repeated rows are copies; a null doc_id
+    counts as greater than any; rows of one id are told apart by their texts. An empty table gives no rows. Extra columns are not read.
     """
-    signed = cut(signatures(docs, id_col, text_col, bands, rows))
-    named = _parts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), signed, threshold)
-    classes = named.groupBy("part").agg(F.min("exact_id").alias("class_id"), F.sum("n").alias("class_size"))
-    return signed.select("doc_id", "exact").join(named.join(classes, "part").select("exact", "exact_id", "class_id", "class_size"), "exact").select("doc_id", "class_id", "exact_id", "class_size")
+    signed = written(signatures(docs, id_col, text_col, bands, rows), "signed")
+    named = _parts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), signed, threshold, exact)
+    classes = named.groupBy("part").agg(F.min("first.doc_id").alias("class_id"), F.sum("n").alias("class_size"))
+    named = named.join(classes, "part").select("exact", F.col("first.doc_id").alias("exact_id"), "class_id", "class_size", "n")
+    # Groups that hold more than one row in HOT are fewer than HOT, so they go to the rows; the rest meets by hash.
+    hot = F.col("n") * HOT > signed.count()
+    own, many = signed.select("doc_id", "exact"), F.broadcast(named.where(hot))
+    few = own.join(many.select("exact"), "exact", "left_anti").join(named.where(~hot), "exact")
+    columns = ["doc_id", "class_id", "exact_id", "class_size"]
+    return own.join(many, "exact").select(*columns).unionByName(few.select(*columns))
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -289,52 +324,70 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
     Unlike class_id, which classes may share where ids are null or repeated, the two name a class's text.
     """
-    signed = cut(signatures(docs, bands=bands, rows=rows, hashed=True))
+    signed = written(signatures(docs, bands=bands, rows=rows), "signed")
     least = _parts(docs, signed, threshold).groupBy("part").agg(F.min("first").alias("first"))
     return least.select("first.doc_id", "first.text_md5")
 
 
-def _parts(docs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """(exact, exact_id, n, part) of each distinct multiset, part naming its class; first, its least row, if signed has hashes."""
-    kept = ["exact", "exact_id", "n"]
-    least = []
-    if "text_md5" in signed.columns:
-        kept.append("first")
-        least = [F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "text_md5")).alias("first")]
-    groups = signed.groupBy("exact").agg(F.min("doc_id").alias("exact_id"), F.count("*").alias("n"), F.min("bands").alias("bands"), *least)
+def _parts(docs: DataFrame, signed: DataFrame, threshold: float, exact: bool = False) -> DataFrame:
+    """(exact, n, first, part) of each distinct multiset: its rows, its least row, and the part that names its class."""
+    kept = ["exact", "n", "first"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "text_md5")).alias("first")
+    groups = signed.groupBy("exact").agg(F.count("*").alias("n"), first, F.min("bands").alias("bands"), F.min("size").alias("size"))
     groups = written(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
-    buckets = groups.select("id", F.explode("bands").alias("key")).withColumn("part", F.col("id"))
-    shared = written(_pivoted(buckets, F.col("id"), F.col("least")).select("key", "id", "pivot"), "shared")
-    parts = cut(shared.select("id").distinct().withColumn("part", F.col("id")))
+    sizes = groups.select("id", "size")
+    buckets = groups.select("id", F.explode("bands").alias("key"), F.col("id").alias("part"), "size")
+    shared = written(_pivoted(buckets, F.col("id"), F.col("least")), "shared")
+    members = groups.select("id") if exact else shared.select("id").distinct()
+    parts = written(members.withColumn("part", F.col("id")), "parts")
     items = written(_items(docs, groups, parts.select("id")), "items")
-    pairs = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    parts = _merged(parts, pairs.withColumns({"pa": F.col("a"), "pb": F.col("b")}), items, threshold)
+    parts = _merged(parts, _to_pivot(shared, threshold), items, threshold)
 
     # The order of a bucket's second pivot is its own, so that members of one group meet other pivots in other buckets.
-    of_key = F.col("id").bitwiseXOR(F.col("key"))
-    rest = _pivoted(shared.where("id <> pivot").select("key", "id").join(parts, "id"), of_key, F.col("least").bitwiseXOR(F.col("key")))
-    rest = written(rest.select("key", "id", "part", "pivot"), "rest")
-    pairs = rest.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("part").alias("pb")).distinct()
-    pairs = pairs.join(parts.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").where("pa <> pb")
-    parts = _merged(parts, pairs, items, threshold)
-
-    left = _pivoted(rest.where("id <> pivot").select("key", "id").join(parts, "id"), F.col("id"), F.col("least")).select("id", "part").distinct()
-    left = cut(left)
-    keyed = items.join(left.select("id"), "id", "left_semi").select("id", "items").mapInArrow(_refine, "id long, keys array<long>, sketch array<long>")
-    keyed = written(keyed.dropDuplicates(["id"]), "keyed")
+    of_key, back = F.col("id").bitwiseXOR(F.col("key")), F.col("least").bitwiseXOR(F.col("key"))
+    rest = written(_pivoted(shared.where("id <> pivot").select("key", "id", "size").join(parts, "id"), of_key, back), "rest")
+    discard(shared)
+    parts = _merged(parts, _to_pivot(rest, threshold), items, threshold)
+
+    left = _pivoted(rest.where("id <> pivot").select("key", "id", "size").join(parts, "id"), F.col("id"), F.col("least")).select("id").distinct()
+    keyed = items.join(left, "id", "left_semi").select("id", "items").mapInArrow(_refine, "id long, keys array<long>, sketch array<long>")
+    keyed = written(keyed, "keyed")
+    discard(rest)
 
     # The finer buckets have pivots too; only what these leave apart is compared in pairs.
-    fine = _pivoted(keyed.select("id", F.explode("keys").alias("key")).join(left, "id"), of_key, F.col("least").bitwiseXOR(F.col("key")))
-    fine = written(fine.select("key", "id", "pivot"), "fine")
-    l, r = (keyed.join(left, "id").select(F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    met = fine.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct().join(r, "b").join(l, "a")
-    met = met.where("pa <> pb").where(_alike(F.col("sa"), F.col("sb"), threshold)).select("a", "b", "pa", "pb")
-    parts = _merged(parts, met, items, threshold)
-
-    fine = _pivoted(fine.where("id <> pivot").select("key", "id").join(parts, "id"), F.col("id"), F.col("least")).select("key", "id", "part")
-    fine = written(fine.join(keyed.select("id", "sketch"), "id"), "pairs")
-    l, r = (fine.select("key", F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    met = l.join(r, (l["key"] == r["key"]) & F.expr("pa < pb") & _alike(F.col("sa"), F.col("sb"), threshold))
+    fine = keyed.select("id", F.explode("keys").alias("key")).join(sizes, "id")
+    fine = written(_pivoted(fine.join(parts, "id"), of_key, back), "fine")
+    sketch = keyed.select("id", "sketch")
+    l, r = (sketch.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    met = _to_pivot(fine, threshold).join(r, "b").join(l, "a").where(_alike(F.col("sa"), F.col("sb"), threshold))
+    parts = _merged(parts, met.select("a", "b", "pa", "pb"), items, threshold)
+
+    rest = _pivoted(fine.where("id <> pivot").select("key", "id", "size").join(parts, "id"), F.col("id"), F.col("least"))
+    rest = written(rest.select("key", "id", "part", "size").join(sketch, "id"), "rest")
+    discard(fine, keyed)
+    l, r = (rest.select("key", F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    met = l.join(r, (l["key"] == r["key"]) & F.expr("pa < pb") & _close("na", "nb", threshold) & _alike(F.col("sa"), F.col("sb"), threshold))
     parts = _merged(parts, met.select("a", "b", "pa", "pb").distinct(), items, threshold)
+    if exact:
+        parts = _merged(parts, exact_links(items.join(parts, "id"), threshold), items, threshold)
 
-    return cut(groups.select("id", *kept).join(parts, "id", "left").select(*kept, F.coalesce("part", "id").alias("part")))
+    named = written(groups.select("id", *kept).join(parts, "id", "left").select(*kept, F.coalesce("part", "id").alias("part")), "named")
+    discard(groups, items, rest, parts)
+    return named
+
+
+def exact_links(items: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, pa, pb): candidate pairs of different parts among (id, items, part); none that reaches the threshold is left out.
+
+    Elements are ordered by how many multisets hold them, rare ones first. Two multisets of the threshold's likeness share
+    an element among their first |x| - ceil(threshold |x|) + 1, and neither is smaller than the threshold's share of the other.
+    Counts and order are by a shuffle of all elements, several times the input, and buckets of common elements are joined in
+    pairs: a check of the bands on tables of moderate size, not the way for all of a corpus.
+    """
+    each = items.select("id", "part", F.size("items").alias("n"), F.explode("items").alias("e"))
+    often = each.groupBy("e").agg(F.count("*").alias("df"))
+    ordered = each.join(often.where("df > 1"), "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))
+    first = ordered.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).where("df > 1")
+    l, r = (first.select("e", F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    return l.join(r, (l["e"] == r["e"]) & F.expr("pa < pb") & _close("na", "nb", threshold)).select("a", "b", "pa", "pb").distinct()
