@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -76,6 +77,43 @@ def test_neardup_classes_equal_brute_force(docs, empty):
     assert bagminhash.near_duplicates(empty).count() == 0
 
 
+def test_neardup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(50)) for _ in range(30)]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in texts]
+    rows = [(None, t) for t in texts[:20]] + [(4, t) for t in texts[20:]] + [(100 + k, t) for k, t in enumerate(near)] + [(None, texts[0])] * 50
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sizes = Counter((r.class_id, r.class_size) for r in got)
+    assert len(got) == len(rows) and sum(n for (_, _), n in sizes.items()) == len(rows)
+    assert sizes[(100, 52)] == 52 and all(sizes[(100 + k, 2)] == 2 for k in range(1, 20)) and sizes[(4, 2)] == 20
+
+
+def test_neardup_finer_steps_and_exact_join_equal_brute_force(spark):
+    # Chains of texts that share most of their words: buckets stay mixed after the pivots, so bands, sketches and pairs are all used.
+    rng = random.Random(17)
+    rows = []
+    for g in range(6):
+        base = [rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(150)]
+        for k in range(30):
+            text = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                text[rng.randrange(150)] = f"own{g}x{k}x{rng.randrange(10**6)}"
+            rows.append((g * 100 + k, " ".join(text)))
+    want = brute_classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for exact in (False, True):
+        got = defaultdict(list)
+        for r in bagminhash.near_duplicates(df, exact=exact).collect():
+            got[r.class_id].append(r.doc_id)
+        assert Counter(tuple(sorted(x)) for x in got.values()) == want, exact
+    # The exact join alone: no band, every pair of unlike parts.
+    items = [(i, i, bagminhash.multiset_items(t)) for i, t in rows]
+    frame = spark.createDataFrame(items, "id long, part long, items array<long>")
+    links = bagminhash._verified(bagminhash.exact_links(frame, 0.8), frame.select("id", "items"), 0.8).collect()
+    sets = {i: multiset(t) for i, t in rows}
+    assert {(r.pa, r.pb) for r in links} == {(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+
+
 def test_neardup_on_small_tables(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = defaultdict(list)
@@ -109,13 +147,79 @@ def test_media_round_trip(docs, empty):
     assert media.media_digests(media.store_texts(empty)).count() == 0
 
 
-def test_media_reads_other_layouts_and_rejects_broken_ones():
+def test_media_rejects_broken_containers():
     payload = bytes(range(192)) * 40
     whole = media.write_container(payload)
     assert media.read_payload(whole) == payload
-    t = media.track(whole)
-    assert all(whole[a : a + 192] == bytes(range(192)) for a in t["starts"])
+    t = media.tracks(whole)[0]
+    assert all(whole[a : a + 192] == bytes(range(192)) for a in t.starts)
     assert media._index(whole[:100]) is None and media._index(None) is None and media._index(b"") is None
+    assert media._index(box(b"moov") * 2) is None and media._index(b"not media at all, whatever it says") is None
+    deep = b""
+    for _ in range(5000):
+        deep = box(b"moov", deep)
+    assert media._index(deep) is None
+    for name in (b"stsz", b"stts", b"stsc", b"stco", b"stss"):
+        at = whole.index(name)
+        for forged in (b"\xff\xff\xff\xff", b"\0\0\0\0"):
+            for place in (8, 12):
+                broken = whole[: at + place] + forged + whole[at + place + 4 :]
+                assert broken == whole or (got := media._index(broken)) is None or got[3] <= len(whole)
+
+
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def full(kind, *parts, flags=0):
+    return box(kind, struct.pack(">I", flags), *parts)
+
+
+def numbers(*values):
+    return struct.pack(f">{len(values)}I", *values)
+
+
+def movie_track(number, codec, sizes, chunks, runs, times, sync, scale, kind=b"vide"):
+    """A trak by hand: 32-bit headers, sizes in stsz or given as a box."""
+    sized = sizes if isinstance(sizes, bytes) else full(b"stsz", numbers(0, len(sizes), *sizes))
+    stbl = [full(b"stsd", numbers(1), box(codec, bytes(8))), full(b"stts", numbers(len(times) // 2, *times)), sized]
+    stbl += [full(b"stsc", numbers(len(runs) // 3, *runs)), full(b"stco", numbers(len(chunks), *chunks))]
+    if sync is not None:
+        stbl.append(full(b"stss", numbers(len(sync), *sync)))
+    mdia = box(b"mdia", full(b"mdhd", numbers(0, 0, scale, sum(times))), full(b"hdlr", bytes(4), kind, bytes(12)), box(b"minf", box(b"stbl", *stbl)))
+    return box(b"trak", full(b"tkhd", numbers(0, 0, number, 0, 0)), mdia)
+
+
+def test_media_reads_each_track_by_itself():
+    # The first track has no stss, so all its samples are sync samples; the second has 8-bit sizes in stz2 and one sync sample.
+    data = b"abcdefghijklmnopqrstuvwxyz"
+    stz2 = full(b"stz2", numbers(8, 3), bytes([2, 3, 4]))
+    four = full(b"stz2", numbers(4, 3), bytes([0x23, 0x40]))
+    base = 8
+    one = movie_track(1, b"mp4a", [1, 2, 3, 4], [base, base + 20], [1, 3, 1, 2, 1, 1], [4, 5], None, 100, b"soun")
+    two = movie_track(7, b"avc1", stz2, [base + 6], [1, 3, 1], [1, 10, 2, 20], [2], 1000)
+    file = box(b"mdat", data) + box(b"moov", full(b"mvhd", bytes(96)), one, two)
+    a, b = media.tracks(file)
+    assert (a.track_id, a.kind, a.codec, a.timescale, a.duration, a.sync.tolist()) == (1, "soun", "mp4a", 100, 20, [0, 1, 2, 3])
+    assert media.read_payload(file, a) == b"abcdef" + b"uvwx" and a.keyframes()[3] == (base + 20, base + 24)
+    assert (b.track_id, b.codec, b.duration, b.keyframes()) == (7, "avc1", 50, [(base + 8, base + 11)]) and media.read_payload(file, b) == b"ghijklmno"
+    index = media._index(file)
+    assert index[0] == "mp4a" and [r[0] for r in index[5]] == [1, 7] and index[5][1][6] == [(base + 8, base + 11)]
+    nibbles = box(b"mdat", data) + box(b"moov", movie_track(7, b"avc1", four, [base], [1, 3, 1], [3, 1], [1], 10))
+    assert media.tracks(nibbles)[0].sizes.tolist() == [2, 3, 4]
+    empty = box(b"moov", movie_track(1, b"avc1", [], [], [], [], None, 10))
+    assert media.read_payload(empty) == b"" and media._index(empty)[3] == 0
+    # Fragments: sizes, durations and flags from runs, or from trex where runs have none.
+    trex = box(b"mvex", full(b"trex", numbers(1, 1, 7, 2, media.NOT_SYNC)))
+    moov = box(b"moov", movie_track(1, b"avc1", [], [], [], [], None, 10), trex)
+    def moof(offset):
+        runs = full(b"trun", numbers(3, offset), numbers(0), numbers(4), numbers(5), flags=0x201 | 4)[:0]
+        runs = full(b"trun", numbers(2, offset, 0, 3, 4), flags=0x205) + full(b"trun", numbers(2))
+        return box(b"moof", box(b"traf", full(b"tfhd", numbers(1), flags=0x20000), runs))
+    frag = moov + moof(len(moof(0)) + 8) + box(b"mdat", data)
+    t = media.tracks(frag)[0]
+    assert media.read_payload(frag) == b"abc" + b"defg" + b"hi" + b"jk" and t.duration == 28 and t.sync.tolist() == [0]
 
 
 def naive_phrases(text):
@@ -236,6 +340,17 @@ def test_toxicity_learns_words_it_was_not_told(spark):
     assert all(got[i].predicted == int(i % 5 == 0) for i in range(300)) and got[900].predicted == got[901].predicted == 0
 
 
+def test_toxicity_counts_repeated_rows_once_and_keeps_clashing_columns(spark):
+    rng = random.Random(3)
+    rows = [(i % 20, " ".join(rng.choice(WORDS) for _ in range(10)) + (" grobian" if i % 20 < 8 else "")) for i in range(200)]
+    documents = spark.createDataFrame([(*r, 1, 2, None, "x") for r in rows], "doc_id long, text string, i int, y int, score string, id_ string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(20)] + [(3, 0)], "doc_id long, toxic int")
+    got = toxicity.scored(documents, labels).collect()
+    assert len(got) == 200 and all(r.score is not None and 0 <= r.score <= 1 and r.predicted in (0, 1) for r in got)
+    assert all((r.i, r.y, r.id_) == (1, 2, "x") for r in got)
+    assert toxicity.scored(documents.limit(0), labels).count() == 0
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
@@ -264,12 +379,20 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
-def test_chat_detects_rewritten_history():
+def test_chat_detects_rewritten_history(spark):
     turns = [("user", str(k)) for k in range(20)]
     assert chat.spans(turns, lambda ts: f"{len(ts)}:" + chat.template(ts))[1] is None
     counted = lambda ts: "".join(f"<{i}>{t}" for i, (_, t) in enumerate(ts))  # noqa: E731  far history matters, and is not rewritten
     text, found = chat.spans(turns, counted)
     assert [text[a:b] for a, b in found] == [f"<{i}>{i}" for i in range(20)]
+    # Only one prefix, the tenth, is told otherwise; its turns can still be read from the whole output.
+    tenth = lambda ts: chat.template(ts) if len(ts) != 10 else "!" + chat.template(ts)
+    assert all(chat.spans(turns[:n], tenth)[1] is None for n in range(10, 20)) and chat.spans(turns[:9], tenth)[1] is not None
+    df = spark.createDataFrame([(1, k, *turn) for k, turn in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    (got,) = chat.format_chats(df, render=tenth).collect()
+    assert got.rewrites_history and [chat.unescape(got.formatted[t.start : t.end]) for t in got.turns] == [t for _, t in turns]
+    (got,) = chat.format_chats(df.where("turn < 9"), render=tenth).collect()
+    assert not got.rewrites_history and len(got.turns) == 9
 
 
 def test_bpe_equals_the_library(docs, empty):
