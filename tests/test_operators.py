@@ -51,7 +51,9 @@ def test_versions_and_scd2(spark):
 
 
 def test_query_parser():
-    assert S.parse_query('café "two words" x') == {"any": False, "parts": [("term", "caf"), ("phrase", ["two", "words"]), ("prefix", "x")]}
+    assert S.parse_query('café "two words" x') == {"any": False, "parts": [("phrase", ["two", "words"]), ("term", "caf"), ("prefix", "x")]}
+    assert S.parse_query('x "two words"')["parts"] == [("phrase", ["two", "words"]), ("prefix", "x")]
+    assert S.parse_query('"well-known fact" "one"')["parts"] == [("phrase", ["well", "known", "fact"]), ("prefix", "one")]
     assert len(S.parse_query("a b c d e f g h")["parts"]) == 6 and S.parse_query("  ")["parts"] == []
 
 
@@ -59,7 +61,11 @@ def test_text_similarities():
     assert L.similar_text("World", "Word") == pytest.approx(8 / 9) and L.similar_text("", "") == 0
     assert L.name_similarity("Jon Smith", "Smyth, John") == 0.5 and L.name_similarity("", "x") == 0
     assert L.offset_normalise("a [12]“b”  c") == ('a "b" c', [0, 1, 6, 7, 8, 9, 11])
-    assert L.reference_keys("Smith and Jones 1999a; Other 2001") == ["smith1999a", "jones1999a"] and L.reference_keys("Smith") == []
+    assert L.reference_keys("Smith and Jones 1999a; Other 2001") == ["smith1999a", "jonessmith1999a"] and L.reference_keys("Smith") == []
+    assert L.reference_keys("Müller-Lüdenscheidt, K. (1987). On 1984") == ["mullerludenscheidt1987"]
+    assert L.reference_keys("John Smith, Mary Jones (2001) Title")[:2] == ["smith2001", "john2001"]
+    assert L.reference_keys("(2001)", "as argued by Adorno and Horkheimer ") == ["adorno2001", "adornohorkheimer2001"]
+    assert L.reference_keys("WHO. Report. Geneva, 1999, reprinted 2004") == ["report2004", "who2004", "reportwho2004"]
 
 
 def test_blocks_and_markdown():
@@ -112,3 +118,84 @@ def test_stream_equals_batch(spark, tmp_path):
     last = max((p for p in (tmp_path / "t").iterdir()), key=lambda p: int(p.name[2:]))
     got = spark.read.parquet(str(last))
     assert {(r.user_id, r.value, r.event_id) for r in got.collect()} == {(r.user_id, r.value, r.event_id) for r in sync.coalesce_changes(df, ["user_id"], "event_id", "value", "props").collect()}
+
+
+def test_metadata_scores():
+    assert L.name_similarity("Jean-Paul Sartre", "SARTRE, J.") == 1.0 and L.name_similarity("Ng", "Ng") == 0.0
+    assert L.title_similarity("The Order of Things", "order things") == pytest.approx((0.6 + 0.4 * L.similar_text("the order of things", "order things")))
+    assert L.title_similarity("of the", "of the") == 0.0 and L.title_similarity("", "x") == 0.0
+    assert L.authors_matched(["Smith, J.", "et al."], "Jane Smith; K. Jones") == 1.0 and L.authors_matched(["A. Smith", "B. Smith"], "Smith") == 0.5
+    assert L.text_score("Nature", "Nature") == 1.0 and L.text_score("ab", "ab") == 0.0 and L.text_score("Nature", "xyzqk") == 0.0
+
+
+def test_metadata_score_penalties(spark):
+    rows = [(1.0, 1.0, 1.0, True, True, 0.9), (0.1, 1.0, 1.0, True, True, 0.0), (1.0, 0.0, 1.0, True, True, 0.0), (1.0, 0.0, 1.0, True, False, 0.65 * 0.85), (1.0, 0.25, 0.0, True, True, (0.55 + 0.0625) * 0.85), (1.0, 0.0, 0.0, False, True, 0.55 * 0.75), (1.0, 0.0, 0.0, False, False, 0.55)]
+    df = spark.createDataFrame(rows, "t double, a double, y double, h boolean, c boolean, want double")
+    got = df.select("want", L.metadata_score(F.col("t"), F.col("a"), F.col("y"), F.lit(0.0), F.lit(0.0), F.col("h"), F.col("c")).alias("got")).collect()
+    assert all(r.got == pytest.approx(r.want) for r in got)
+
+
+def test_record_linkage_equals_brute_force(spark, sf):
+    from vellum.plans import registry
+
+    rows = [(r.p_partkey, r.p_name, r.p_brand, r.p_size, r.p_type) for r in spark.read.parquet(f"{sf}/part.parquet").collect()]
+    want = {}
+    for k, t, a, y, j in rows:
+        for k2, t2, a2, y2, j2 in rows:
+            title, author = L.title_similarity(t, t2), L.authors_matched([a], a2)
+            if k != k2 and title >= L.TITLE_FLOOR and author:
+                s = 0.55 * title + 0.25 * author + 0.1 * {0: 1.0, 1: 0.5}.get(abs(y - y2), 0.0) + 0.05 * L.text_score(j, j2)
+                s = round(s * (0.7 + 0.6 * author if author < 0.5 else 1.0), 6)
+                if s >= 0.5 and (-s, k2) < want.get(k, (0, 0)):
+                    want[k] = -s, k2
+    got = {r.cite: (-r.score, r.work) for r in registry.queries()["metadata_score_top1"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=2e-6) for k in want)
+
+
+def test_citations_meet_references_by_key(spark):
+    refs = spark.createDataFrame([(1, "b", "Smith, J. (1999). A title"), (2, "b", "Smith, J. and Jones, K. (1999a). Another"), (3, "b", "Weber, M. (1922)"), (4, "c", "Weber, M. (1920)"), (5, "b", None)], "rid long, book string, text string")
+    cites = spark.createDataFrame([(1, "b", "Smith 1999"), (2, "b", "(Smith and Jones 1999a)"), (3, "b", "Weber 1923"), (4, "c", "Weber 1922"), (5, "b", "no year"), (6, "b", None), (7, "b", "Nobody 1950")], "cid long, book string, text string")
+    got = {(r.cid, r.rid, r.offset) for r in L.link_citations(cites, refs, "cid", "rid", scope="book").collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 3, -1), (4, 4, -2)}
+    assert L.link_citations(cites.limit(0), refs, "cid", "rid").count() == 0
+
+
+def test_linked_citations_equal_brute_force(spark, sf):
+    from vellum.plans import registry
+
+    keys = sorted(r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").collect())
+    got = {r.c_custkey: (r.s_suppkey, r.offset) for r in registry.queries()["linked_citations"](spark, sf).collect()}
+    for c in (r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()):
+        year = 1900 + (c + (c % 5 == 0)) % 100
+        want = next(((s, o) for o in L.YEAR_OFFSETS for s in keys if s % 8 == c % 8 and 1900 + s % 100 == year + o), None)
+        assert got.get(c) == want, c
+
+
+def test_harvest_modes_and_unbounded_reach(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5), (None, 6), (5, None)], "src long, dst long")
+    seed = spark.createDataFrame([(1,)], "node long")
+    assert {tuple(r) for r in graph.harvest(edges, seed).collect()} == {(1, 0, None), (2, 1, 1), (3, 1, 1), (4, 2, 2), (5, 3, 4)}
+    assert {r.node for r in graph.harvest(edges, seed, max_nodes=2).collect()} == {1, 2}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert graph.reach(chain, start).count() == 21 and graph.reach(chain, start, max_depth=3).count() == 4
+    with pytest.raises(RuntimeError):
+        graph.reach(chain, start, limit=5)
+    marked = spark.createDataFrame([(1, 2, "full"), (2, 3, "metadata_only"), (3, 4, "full"), (1, 5, "metadata_only"), (2, 5, "full"), (5, 6, "full"), (6, 1, "full")], "src long, dst long, mode string")
+    got = graph.inherited_modes(marked, spark.createDataFrame([(1, "full")], "node long, mode string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "full"), (2, "full"), (3, "metadata_only"), (4, "metadata_only"), (5, "full"), (6, "full")}
+
+
+def test_text_pieces():
+    text = "One. Two is longer! " * 10 + "\n\n" + "x" * 130 + "\n\n短い。とても短い。"
+    pieces = convert.text_pieces(text, 50)
+    assert all(0 < len(p) <= 50 for p in pieces) and "".join("".join(pieces).split()) == "".join(text.split())
+    assert convert.text_pieces("a\n\nb", 50) == ["a\n\nb"] and convert.text_pieces(None, 5) == [] and convert.text_pieces(" \n\n ", 5) == []
+
+
+def test_waves_stop_at_the_first_that_resolves(spark):
+    pool = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, None, "y"), (4, "c", None)], "id long, doi string, title string")
+    one = spark.createDataFrame([("a", 10, 1.0), ("b", 11, 0.4)], "key string, work long, score double")
+    two = spark.createDataFrame([("x", 20, 0.6), ("x", 21, 0.9), ("x", 19, 0.9), ("y", 22, 0.5)], "key string, work long, score double")
+    got = {(r.id, r.work, r.method, r.score) for r in L.resolve(pool, [("doi", "doi", one), ("title", "title", two)]).collect()}
+    assert got == {(1, 10, "doi", 1.0), (2, 19, "title", 0.9), (3, 22, "title", 0.5)}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCKS = ["p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "blockquote", "pre", "figure", "nav", "header", "footer", "section", "article", "div", "aside", "main", "form", "hr"]
 _SILENT = {"script", "style", "title", "noscript"}
@@ -65,3 +66,32 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             yield pd.DataFrame(rows, columns=["book", "line", "chunk", "node_id", "type", "plain"])
 
     return pages.select(F.col(id_col), F.col(html_col)).mapInPandas(run, "book long, line long, chunk long, node_id string, type string, plain string")
+
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])")
+
+
+def text_pieces(text: str | None, ceiling: int) -> list[str]:
+    """A text in pieces of at most ceiling characters, each as long as the next part allows.
+
+    Parts are paragraphs; a paragraph above the ceiling gives its sentences, a sentence above it runs of that many characters.
+    Spaces at the ends of pieces go; empty texts have no pieces.
+    """
+    parts: list[tuple[str, str]] = []  # what joins a part to the one before it, and the part
+    for paragraph in re.split(r"\n\s*\n", text or ""):
+        sentences = [paragraph] if len(paragraph) <= ceiling else _SENTENCE.split(paragraph)
+        for k, sentence in enumerate(sentences):
+            runs = [sentence[i : i + ceiling] for i in range(0, len(sentence), ceiling)]
+            parts += [("" if j else " " if k else "\n\n", run) for j, run in enumerate(runs) if run.strip()]
+    pieces: list[str] = []
+    for joint, part in parts:
+        if pieces and len(pieces[-1]) + len(joint) + len(part) <= ceiling:
+            pieces[-1] += joint + part
+        else:
+            pieces.append(part)
+    return [p.strip() for p in pieces]
+
+
+def split_text(text: Column, ceiling: int) -> Column:
+    """text_pieces() as an array; null texts have none."""
+    return F.udf(lambda x: text_pieces(x, ceiling), "array<string>", useArrow=True)(text)

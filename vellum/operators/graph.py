@@ -7,23 +7,62 @@ from pyspark.sql import DataFrame, functions as F
 from vellum.session import cut
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, limit: int = 10_000) -> DataFrame:
     """(node, depth): least number of steps from any seed along src -> dst; cycles are fine, seeds have depth 0.
 
-    Every level joins the frontier with the edges and leaves out what was visited; each is cut by a checkpoint.
+    Every level joins the frontier with the edges and leaves out what was visited; each is cut by a checkpoint. Without
+    max_depth the search goes on until nothing new is found, and a graph deeper than limit is an error, not a part of it.
     """
     visited = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
-    for depth in range(1, max_depth + 1):
-        ahead = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+    for depth in range(1, (max_depth or limit) + 1):
+        ahead = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).where("node IS NOT NULL").distinct()
         frontier = cut(ahead.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             return visited
-        visited = visited.unionByName(frontier)
+        visited = cut(visited.unionByName(frontier)) if depth % 10 == 0 else visited.unionByName(frontier)
+    if max_depth is None:
+        raise RuntimeError(f"the graph goes on beyond {limit} steps")
     return visited
 
 
-def focus_network(edges: DataFrame, seed: DataFrame, max_depth: int = 50) -> DataFrame:
+def harvest(edges: DataFrame, seeds: DataFrame, max_nodes: int = 5_000, limit: int = 10_000) -> DataFrame:
+    """(node, depth, parent): a breadth-first network; a node found twice keeps its least depth, then its least parent.
+
+    Levels are taken whole while they fit into max_nodes; of the level that does not, the least nodes fill what is left and the
+    search ends. Seeds have depth 0 and no parent. Dangling and null ends are no nodes.
+    """
+    visited = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
+    frontier, held = visited, visited.count()
+    for depth in range(1, limit + 1):
+        ahead = frontier.join(edges, F.col("node") == F.col("src")).where("dst IS NOT NULL").groupBy("dst").agg(F.min("src").alias("parent"))
+        new = ahead.join(visited.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "parent")
+        frontier = cut(new.orderBy("node").limit(max(0, max_nodes - held)))
+        if not (found := frontier.count()):
+            return visited
+        held, visited = held + found, visited.unionByName(frontier)
+    raise RuntimeError(f"the graph goes on beyond {limit} steps")
+
+
+def inherited_modes(edges: DataFrame, roots: DataFrame, limit: int = 10_000) -> DataFrame:
+    """(node, mode): descendants of the roots along src -> dst, full or metadata_only.
+
+    edges has mode too: a child is metadata_only if its parent or the edge is. A node reached both ways is full. A root's mode
+    is given; cycles end where no mode changes.
+    """
+    best = cut(roots.select("node", (F.col("mode") == "full").alias("full")))
+    frontier = best
+    for _ in range(limit):
+        ahead = frontier.join(edges, F.col("node") == F.col("src")).where("dst IS NOT NULL").groupBy("dst").agg(F.bool_or(F.col("full") & (F.col("mode") == "full")).alias("full"))
+        seen = best.select(F.col("node").alias("dst"), F.col("full").alias("was"))
+        frontier = cut(ahead.join(seen, "dst", "left").where("was IS NULL OR (full AND NOT was)").select(F.col("dst").alias("node"), "full"))
+        if frontier.isEmpty():
+            return best.select("node", F.when(F.col("full"), "full").otherwise("metadata_only").alias("mode"))
+        best = cut(best.unionByName(frontier).groupBy("node").agg(F.bool_or("full").alias("full")))
+    raise RuntimeError(f"the graph goes on beyond {limit} steps")
+
+
+def focus_network(edges: DataFrame, seed: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Edges among the nodes reached from the seed or one step from it, in either direction."""
     near = reach(edges, seed, max_depth).select("node")
     touching = edges.join(seed, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).union(edges.join(seed, F.col("dst") == F.col("node"), "left_semi").select(F.col("src").alias("node")))

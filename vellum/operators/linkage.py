@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -54,18 +55,69 @@ def similar_text(a: str, b: str) -> float:
     return 2 * matched(a, b) / (len(a) + len(b)) if a or b else 0.0
 
 
+#: Words that titles are compared without, ways to write "and others", and words that are no surnames.
+TITLE_STOPS = {"the", "a", "an", "of", "and", "in", "on", "to", "for", "by", "with", "from", "at", "is", "as"}
+ET_AL = {"et al.", "et al", "etal"}
+NOT_NAMES = {"And", "The", "For", "In", "An", "On", "As", "Ed", "Of", "See", "Also"}
+
+
+def folded(text: str) -> str:
+    """Lower case with accents off and letters that don't decompose spelt out."""
+    spelt = text.lower().translate(str.maketrans({"\u00df": "ss", "\u00e6": "ae", "\u0153": "oe", "\u00f8": "o", "\u0142": "l", "\u00f0": "d", "\u00fe": "th", "\u0111": "d"}))
+    return "".join(c for c in unicodedata.normalize("NFD", spelt) if unicodedata.category(c) != "Mn")
+
+
+def plain_words(text: str) -> list[str]:
+    return re.sub(r"[^\w\s]", " ", folded(text)).split()
+
+
 def name_similarity(a: str, b: str) -> float:
-    """Greedy matches of tokens over two characters, equal or, from four on, one edit apart, over the shorter side's."""
-    x, y = ([t for t in re.split(r"[^a-z0-9]+", s.lower()) if len(t) > 2] for s in (a, b))
-    if not x or not y:
+    """Share of the shorter name's tokens that match one of the longer's, each used once: equal, or one edit apart from four letters on.
+
+    Names are folded and parted at commas, dots, hyphens and spaces; tokens of one or two letters don't count.
+    """
+    x, y = ([t for t in re.split(r"[,.\-\s]+", folded(s)) if len(t) > 2] for s in (a, b))
+    few, many = (x, y) if len(x) <= len(y) else (y, x)
+    if not few:
         return 0.0
-    left, hits = list(y), 0
-    for t in x:
-        k = next((u for u in left if u == t or (min(len(u), len(t)) >= 4 and _one_edit(u, t))), None)
+    hits = 0
+    for t in few:
+        k = next((i for i, u in enumerate(many) if u == t or (min(len(u), len(t)) >= 4 and _one_edit(u, t))), None)
         if k is not None:
-            left.remove(k)
+            hits, many = hits + 1, many[:k] + many[k + 1 :]
+    return hits / len(few)
+
+
+def title_similarity(a: str, b: str) -> float:
+    """Blend of word overlap without stop words and similar text, less for titles of unlike numbers of words."""
+    whole = [plain_words(s) for s in (a, b)]
+    x, y = ([w for w in words if w not in TITLE_STOPS] for words in whole)
+    if not x or not y:
+        return 0.0
+    overlap = sum(w in set(y) for w in x) / len({*x, *y})
+    alike = similar_text(*(" ".join(words) for words in whole))
+    return (0.6 * overlap + 0.4 * alike) * (0.5 + 0.5 * min(len(x), len(y)) / max(len(x), len(y)))
+
+
+def text_score(a: str, b: str) -> float:
+    """Similar text of journals or publishers of three bytes or more; nothing below 0.4."""
+    if min(len(a.encode()), len(b.encode())) < 3:
+        return 0.0
+    alike = similar_text(*(" ".join(plain_words(s)) for s in (a, b)))
+    return alike if alike >= 0.4 else 0.0
+
+
+def authors_matched(authors: list[str], candidate: str) -> float:
+    """Share of the authors that have a name of their own, at 0.6 or more, among the candidate's, parted by semicolons."""
+    named = [a for a in authors if a.strip().lower() not in ET_AL]
+    free = [n for n in map(str.strip, candidate.split(";")) if len(n.encode()) >= 2]
+    hits = 0
+    for a in named:
+        score, k = max(((name_similarity(a, n), -i) for i, n in enumerate(free)), default=(0.0, 0))
+        if score >= 0.6:
             hits += 1
-    return hits / min(len(x), len(y))
+            free.pop(-k)
+    return hits / len(named) if named else 0.0
 
 
 def _one_edit(a: str, b: str) -> bool:
@@ -85,10 +137,14 @@ def pairwise(f, a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
-def title_similarity(a: Column, b: Column) -> Column:
-    words = lambda t: F.array_distinct(F.split(t, " "))
-    ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    return (0.6 * jaccard(words(a), words(b)) + 0.4 * pairwise(similar_text, a, b)) * (0.5 + 0.5 * ratio)
+def author_score(authors: Column, candidate: Column) -> Column:
+    """authors_matched() of an array of names and a string; nulls are empty."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([authors_matched([] if p is None else list(p), q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "double")(authors, candidate)
 
 
 def year_score(a: Column, b: Column) -> Column:
@@ -96,10 +152,17 @@ def year_score(a: Column, b: Column) -> Column:
     return F.when(gap == 0, 1.0).when(gap == 1, 0.5).otherwise(0.0)
 
 
-def metadata_score(title: Column, author: Column, year: Column, journal: Column) -> Column:
-    """Weighted score of part similarities in 0 to 1; titles below the floor score 0, journals count from 0.4."""
+def metadata_score(title: Column, author: Column, year: Column, journal: Column, publisher: Column, has_authors: Column, has_candidate: Column) -> Column:
+    """Weighted score of part similarities in 0 to 1. Titles below the floor score 0, and so do authors none of whom matches.
+
+    An unnamed candidate, fewer than half of the authors matched, and authors missing from the record alone each cost a share.
+    has_authors, has_candidate: whether the record and the candidate name authors.
+    """
     s = SCORE_WEIGHTS
-    return F.when(title < TITLE_FLOOR, 0.0).otherwise(s["title"] * title + s["author"] * author + s["year"] * year + s["journal"] * F.when(journal >= 0.4, journal).otherwise(0.0))
+    raw = s["title"] * title + s["author"] * author + s["year"] * year + s["journal"] * journal + s["publisher"] * publisher
+    none = has_authors & (author == 0)
+    share = F.when(none, F.when(has_candidate, 0.0).otherwise(0.85)).when(has_authors & (author < 0.5), 0.7 + 0.6 * author).when(~has_authors & has_candidate, 0.75).otherwise(1.0)
+    return F.when(title < TITLE_FLOOR, 0.0).otherwise(raw * share)
 
 
 _DROPPED = re.compile(r"[\u200b-\u200d\ufeff\u2060\u2197\u00b9\u00b2\u00b3\u2070\u2074-\u2079]")
@@ -177,12 +240,82 @@ def offset_normalise(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-def reference_keys(text: str) -> list[str]:
-    """surname+year keys of a reference: every capitalised word before the first year, with that year."""
-    year = re.search(r"\b(1[5-9]\d\d|20\d\d)[a-z]?\b", text)
-    if not year:
+_CAPITAL = r"[A-Z\u00c0-\u00d6\u00d8-\u00de\u0100-\u017d\u1e9e]"
+_NAME = re.compile(rf"(?<![^\W\d_]){_CAPITAL}[^\W\d_]*(?:['-][^\W\d_]*)*")
+
+
+def _year(text: str) -> tuple[str, bool] | None:
+    """The reference's year and whether it stands in brackets: such a year first, then the first with a letter, then the last."""
+    if found := re.search(r"\((\d{4}[a-z]?)\)", text):
+        return found[1], True
+    years = [y for y in re.findall(r"(?<!\d)(\d{4}[a-z]?)(?!\d)", text) if 1900 <= int(y[:4]) <= 2099]
+    lettered = [y for y in years if y[4:] not in ("", "s")]
+    return ((lettered or years[-1:])[0], False) if years else None
+
+
+def _surnames(text: str) -> list[str]:
+    return [folded(n.replace("'s", "")).replace("-", "").replace("'", "") for n in _NAME.findall(text) if n not in NOT_NAMES and len(n) > 1]
+
+
+def reference_keys(text: str, context: str = "") -> list[str]:
+    """Keys of surname and year by which a citation and its reference meet, the likeliest first.
+
+    Authors stand before the year, up to the end of the author's sentence; a citation of a year alone has them in its context.
+    Keys: the leading author's surname, the first capitalised name, all of them in order, the same of each author's last name,
+    and acronyms. Without a year there are none.
+    """
+    text, context = (s.translate(str.maketrans("\u2018\u2019\u02bc", "'''")) for s in (text, context))
+    if not (found := _year(re.sub(r"\[\d{4}\]\s*", "", text))):
         return []
-    return [f"{w.lower()}{year[0]}" for w in dict.fromkeys(re.findall(r"\b[A-Z][\w'-]+", text[: year.start()]))]
+    year, bracketed = found
+    authors = text.split(year)[0]
+    if not bracketed and (stop := re.search(r"(?<=[a-z]{2})\.\s+[A-Z]", authors)):
+        authors = authors[: stop.start()]
+    if not re.search(r"[^\W\d_]", authors):
+        joined = rf"{_NAME.pattern}(?:(?:\s+and\s+|\s*,\s*(?:and\s+)?){_NAME.pattern})*\s*$"
+        last = re.search(joined, context)
+        authors = last[0] if last else (_NAME.findall(context) or [context])[-1]
+    keys: list[str] = []
+    if names := _surnames(authors):
+        each = [ns[-1] for ns in map(_surnames, re.split(r"\s+and\s+|,\s*and\s+|,\s+(?=[A-Z])", authors)) if ns]
+        leading = names[0] if re.match(rf"\s*{_NAME.pattern}\s*,", authors) or not each else each[0]
+        keys = [leading, names[0], "".join(sorted(names))]
+        if each and set(each) != set(names):
+            keys += [each[0], "".join(sorted(each))]
+    elif len(words := [w for w in re.findall(r"(?<![\w'-])\w[\w'-]*", authors) if not w.isdigit()]) <= 4:
+        small = {n.lower() for n in NOT_NAMES} | {"et", "al"}
+        keys = [folded(w).replace("-", "").replace("'", "") for w in words if len(w) > 2 and w.lower() not in small][:1]
+    keys += [a.lower() for a in re.findall(r"\b[A-Z]{2,}\b", authors)]
+    if "United Nations General Assembly" in text:
+        keys.append("un")
+    return list(dict.fromkeys(k + year for k in keys))
+
+
+def keyed(df: DataFrame, text: Column) -> DataFrame:
+    """df with a row for each of its text's reference keys: key, and rank from 0 for the likeliest."""
+    keys = F.udf(reference_keys, "array<string>", useArrow=True)(F.coalesce(text, F.lit("")))
+    return df.select("*", F.posexplode(keys).alias("rank", "key"))
+
+
+#: How far a citation's year may be from its reference's, in the order in which that is tried.
+YEAR_OFFSETS = (0, 1, -1, 2, -2, 3, -3)
+
+
+def link_citations(citations: DataFrame, references: DataFrame, citation_id: str, reference_id: str, citation: str = "text", reference: str = "text", scope: str | None = None) -> DataFrame:
+    """(citation_id, reference_id, offset): the reference of each citation that meets one by key, within a scope such as a book.
+
+    The citation's likeliest key counts first, then the reference's, then the lesser id; years misread by up to three
+    are tried only where the year itself finds nothing. Null texts and texts without a year link to nothing.
+    """
+    scoped = [F.col(scope).alias("_scope")] if scope else [F.lit(0).alias("_scope")]
+    asked = keyed(citations.select(F.col(citation_id).alias("_c"), *scoped, F.col(citation).alias("_t")), F.col("_t")).select("_c", "_scope", F.col("rank").alias("_first"), "key")
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(y).alias("offset")) for i, y in enumerate(YEAR_OFFSETS)]))
+    name, year, letter = (F.regexp_extract("key", r"^(.*?)(\d{4})([a-z]?)$", i) for i in (1, 2, 3))
+    tried = asked.select("_c", "_scope", "_first", name.alias("name"), year.cast("int").alias("year"), letter.alias("letter"), near.alias("near"))
+    tried = tried.select("_c", "_scope", "_first", "near.*", F.concat("name", (F.col("year") + F.col("near.offset")).cast("string"), "letter").alias("key"))
+    known = keyed(references.select(F.col(reference_id).alias("_r"), *scoped, F.col(reference).alias("_t")), F.col("_t")).select("_r", "_scope", F.col("rank").alias("_second"), "key")
+    met = tried.join(known, ["_scope", "key"]).groupBy("_c").agg(F.min(F.struct("step", "_first", "_second", "_r", "offset")).alias("best"))
+    return met.select(F.col("_c").alias(citation_id), F.col("best._r").alias(reference_id), F.col("best.offset").alias("offset"))
 
 
 def locate_quotes(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: str, doc_id: str, text: str, size: int = 8) -> DataFrame:
@@ -202,3 +335,19 @@ def locate_quotes(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: str,
     found = pairs.join(texts, doc_id).where(F.col("_t").contains(F.col("_q"))).select(quote_id, doc_id)
     short = asked.where(F.size("_w") < size + 2).select(quote_id, "_q")
     return found.unionByName(texts.join(short, F.col("_t").contains(F.col("_q"))).select(quote_id, doc_id))
+
+
+def resolve(pool: DataFrame, waves: list[tuple[str, str, DataFrame]], accept: float = 0.5) -> DataFrame:
+    """The rows of the pool that a wave resolves, with work, method and score.
+
+    waves: (method, the pool's column, a table of key, work, score) in order of trust. A row goes to the first wave with a candidate that
+    scores accept or more, there to the best and then the least; later waves don't see it. Null keys resolve nothing.
+    """
+    best = None
+    for k, (method, column, candidates) in enumerate(waves):
+        top = candidates.where(F.col("score") >= accept).groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("_less"), "work")).alias(f"_w{k}"))
+        pool = pool.join(top, F.col(column) == F.col("key"), "left").drop("key")
+        found = F.when(F.col(f"_w{k}").isNotNull(), F.struct(F.col(f"_w{k}.work").alias("work"), F.lit(method).alias("method"), (-F.col(f"_w{k}._less")).alias("score")))
+        best = found if best is None else F.coalesce(best, found)
+    rows = pool.withColumn("_best", best).where("_best IS NOT NULL")
+    return rows.select(*[c for c in rows.columns if not c.startswith("_")], "_best.*")

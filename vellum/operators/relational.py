@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from vellum.session import cut, shuffle_width
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """The first n rows of each key in a total order (planned as a partial and a final WindowGroupLimit)."""
@@ -84,9 +86,22 @@ def gate(df: DataFrame, viewer: str, hide_ai: bool, hide_anonymous: bool, hide_u
     return df
 
 
+def under(path: Column, root: str) -> Column:
+    """Whether a path is the root or lies below it; every character of the root stands for itself."""
+    return (path == root) | path.startswith(F.lit(root.rstrip("/") + "/"))
+
+
 def rank_positions(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
-    """Dense positions 1..n in a total order over one ranking's rows."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
+    """Dense positions 1..n in a total order over one ranking's rows.
+
+    Rows are range-partitioned by the order and numbered within their range; a range's first number is the count of all rows before
+    it, so no task holds more than its range and one row per range is ordered in one place.
+    """
+    parts = shuffle_width(df.sparkSession)
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_base", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_nth", inside).join(before, "_part").withColumn(name, F.col("_base") + F.col("_nth")).drop("_part", "_nth", "_base")
 
 
 def string_tokens(text: Column) -> Column:

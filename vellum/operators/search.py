@@ -16,17 +16,15 @@ FIELD_WEIGHTS = {"A": 1.0, "B": 0.3, "C": 0.1, "D": 0.05}
 
 
 def parse_query(text: str, any_: bool = False) -> dict:
-    """{'any': bool, 'parts': [('phrase', [..]) | ('term', w) | ('prefix', w)]}; at most six parts, the last plain term is a prefix.
+    """{'any': bool, 'parts': [('phrase', [..]) | ('term', w) | ('prefix', w)]}: quoted phrases first, then the other terms.
 
-    Characters other than ASCII letters, digits and underscore vanish from terms.
+    At most six parts; the last is a prefix unless it is a phrase. Hyphens part words within quotes only; characters other
+    than ASCII letters, digits and underscore vanish from words.
     """
-    parts: list[tuple[str, object]] = []
-    for quoted, plain in re.findall(r'"([^"]*)"|(\S+)', text):
-        words = [w for w in (re.sub(r"[^A-Za-z0-9_]", "", x).lower() for x in (quoted.split() if quoted else [plain])) if w]
-        if quoted and len(words) > 1:
-            parts.append(("phrase", words))
-        else:
-            parts += [("term", w) for w in words]
+    bare = lambda words: [w for w in (re.sub(r"[^A-Za-z0-9_]", "", x).lower() for x in words) if w]
+    quoted = [bare(re.split(r"[\s-]+", q)) for q in re.findall(r'"([^"]+)"', text)]
+    parts: list[tuple[str, object]] = [("phrase", ws) if len(ws) > 1 else ("term", ws[0]) for ws in quoted if ws]
+    parts += [("term", w) for w in bare(re.sub(r'"[^"]+"', "", text).split())]
     parts = parts[:MAX_PARTS]
     if parts and parts[-1][0] == "term":
         parts[-1] = "prefix", parts[-1][1]
@@ -105,7 +103,33 @@ def vector_topk(df: DataFrame, vector: str, probe: list[float], k: int, key: str
 
 
 def occurrences(text: Column, needle: str) -> Column:
-    """Zero-based code point offsets of all overlapping, case-insensitive occurrences."""
-    low, n = F.lower(text), len(needle)
-    places = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
-    return F.transform(F.filter(places, lambda i: F.substr(low, i, F.lit(n)) == needle.lower()), lambda i: i - 1)
+    """Offsets in code points of all occurrences, overlapping ones too, whatever their case; a null text has null.
+
+    The text is parted before each occurrence, so the work grows with its length.
+    """
+    low, want = F.lower(text), needle.lower()
+    parts = F.split(low, r"(?=\Q" + want.replace(r"\E", r"\E\\E\Q") + r"\E)", -1)
+    none = F.array().cast("array<int>")
+    starts = F.aggregate(F.transform(parts, F.length), F.struct(F.lit(0).alias("at"), none.alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))["out"]
+    return F.when(low.startswith(want), starts).otherwise(F.slice(starts, 2, F.size(parts)))
+
+
+def nearest(positions: Column, expected: Column) -> Column:
+    """Of an array of positions the one nearest to where it is expected, the lesser of two; null if there is none."""
+    return F.array_min(F.transform(positions, lambda p: F.struct(F.abs(p - expected).alias("gap"), p.alias("at"))))["at"]
+
+
+def cascade(docs: DataFrame, id_col: str, text: Column, words: list[str], most: int) -> DataFrame:
+    """docs with stage: the rows with all words, or with any of them where no row has all; the most hits, then the least ids.
+
+    Rows are first kept by a plain test for the words' characters, then by their tokens; both stages are one scan. A guard of
+    one row says whether the first stage found anything. Null texts hold no words.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    any_ = reduce(lambda a, b: a | b, (low.contains(w) for w in words))
+    hits = F.size(F.array_intersect(string_tokens(low), F.array(*[F.lit(w) for w in words])))
+    found = docs.where(any_).withColumn("_hits", hits).where("_hits > 0")
+    top = found.agg(F.max("_hits").alias("_top"))
+    staged = found.join(F.broadcast(top)).where((F.col("_top") < len(words)) | (F.col("_hits") == len(words)))
+    stage = F.when(F.col("_hits") == len(words), "all").otherwise("any")
+    return staged.orderBy(F.desc("_hits"), id_col).limit(most).withColumn("stage", stage).drop("_hits", "_top")

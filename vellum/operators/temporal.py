@@ -28,3 +28,13 @@ def scd2(current: DataFrame, history: DataFrame, incoming: DataFrame, key: str,
     closed = both.where(F.col(f"c.{key}").isNotNull() & changed).select(F.col(f"c.{key}"), F.col(f"c.{value}"), F.col("c.valid_from"), end.alias("valid_to"))
     kept = both.where(F.col(f"n.{key}").isNotNull()).select(F.col(f"n.{key}"), F.col(f"n.{value}"), F.when(F.col(f"c.{key}").isNull() | changed, at).otherwise(F.col("c.valid_from")).alias("valid_from"))
     return kept, history.unionByName(closed)
+
+
+def restore(rows: DataFrame, t: Column, at: Column) -> DataFrame:
+    """All versions after a restore at an instant: open ones close then, and those valid at t open again.
+
+    Closed versions stay, so what was undone can be restored too; a table without rows stays empty.
+    """
+    closed = rows.withColumn("valid_to", F.coalesce("valid_to", at))
+    back = as_of(rows, t).withColumns({"valid_from": at, "valid_to": F.lit(None).cast(dict(rows.dtypes)["valid_to"])})
+    return closed.unionByName(back)

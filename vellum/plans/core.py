@@ -109,12 +109,6 @@ def json_predicates(spark, d):
     return T(spark, d, "events").select("event_id", k.alias("k")).where("k > 50")
 
 
-@query("auto_approve", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS line FROM lineitem WHERE l_returnflag = 'R' AND length(l_linestatus || l_returnflag) >= 2 GROUP BY 1, 2 HAVING count(*) = 1")
-def auto_approve(spark, d):
-    hits = T(spark, d, "lineitem").where((F.col("l_returnflag") == "R") & (F.length(F.concat("l_linestatus", "l_returnflag")) >= 2))
-    return hits.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("line"), F.count("*").alias("n")).where("n = 1").drop("n")
-
-
 @query("citable_types", "SELECT p_partkey, coalesce(p_type IN ('ECONOMY', 'STANDARD', 'PROMO'), false) AS citable FROM part")
 def citable_types(spark, d):
     return T(spark, d, "part").select("p_partkey", (F.col("p_type").isNotNull() & F.col("p_type").isin("ECONOMY", "STANDARD", "PROMO")).alias("citable"))
@@ -157,9 +151,9 @@ def coalesced_key_join(spark, d):
     return keyed.join(T(spark, d, "documents").select("doc_id", "lang"), F.col("k") == F.col("doc_id")).select("conv_id", "turn", "lang")
 
 
-@query("bridge_join", "SELECT o_custkey, p_brand, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey < 50 GROUP BY 1, 2")
+@query("bridge_join", "SELECT o_custkey, p_brand, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 def bridge_join(spark, d):
-    o = T(spark, d, "orders").where("o_custkey < 50")
+    o = T(spark, d, "orders")
     return o.join(T(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(T(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("o_custkey", "p_brand").agg(F.count("*").alias("n"))
 
 
@@ -256,11 +250,11 @@ def apportioned_bytes(spark, d):
 
 
 @query("self_citation_totals", """
-SELECT book, count(*) AS citations FROM (SELECT l_orderkey AS book, '/' || (l_partkey % 40) || CASE WHEN l_linenumber % 3 = 0 THEN '/Fn1' ELSE '' END || '#cite_' || l_linenumber AS url FROM lineitem WHERE l_orderkey < 2000)
+SELECT book, count(*) AS citations FROM (SELECT l_orderkey AS book, '/' || (l_partkey % 40) || CASE WHEN l_linenumber % 3 = 0 THEN '/Fn1' ELSE '' END || '#cite_' || l_linenumber AS url FROM lineitem)
 WHERE regexp_extract(url, '^/([^#]+)#', 1) <> CAST(book % 40 AS VARCHAR) GROUP BY 1""")
 def self_citation_totals(spark, d):
     url = F.concat(F.lit("/"), (F.col("l_partkey") % 40).cast("string"), F.when(F.col("l_linenumber") % 3 == 0, "/Fn1").otherwise(""), F.lit("#cite_"), F.col("l_linenumber").cast("string"))
-    books = T(spark, d, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("book")).agg(F.to_json(F.collect_list(url)).alias("cited"))
+    books = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("book")).agg(F.to_json(F.collect_list(url)).alias("cited"))
     cited = books.select("book", F.explode(F.from_json("cited", "array<string>")).alias("url"))
     return cited.where(F.regexp_extract("url", "^/([^#]+)#", 1) != (F.col("book") % 40).cast("string")).groupBy("book").agg(F.count("*").alias("citations"))
 
@@ -273,10 +267,14 @@ def error_signatures(spark, d):
     return T(spark, d, "events").groupBy(sig.alias("signature")).agg(F.count("*").alias("n"), F.min("ts").alias("oldest"))
 
 
-@query("fulltext_grouped", "SELECT lang, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents WHERE n_chars > 8000 GROUP BY 1")
+@query("fulltext_grouped", """
+SELECT lang, n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS ids FROM (SELECT lang, doc_id, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE contains(lower(text), 'license')) WHERE place <= 50 GROUP BY 1, 2""")
 def fulltext_grouped(spark, d):
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("doc_id"))), lambda s: s["doc_id"].cast("string"))
-    return T(spark, d, "documents").where("n_chars > 8000").groupBy("lang").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("ids"))
+    """Hits grouped with their number and the first fifty of each group, as a search page shows them."""
+    hits = T(spark, d, "documents").where(F.lower("text").contains("license")).select("lang", "doc_id")
+    first = hits.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy("doc_id"))).where("place <= 50")
+    shown = first.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
+    return hits.groupBy("lang").agg(F.count("*").alias("n")).join(shown, "lang").select("lang", "n", "ids")
 
 
 @query("node_degree", "SELECT node, count(*) AS degree FROM (SELECT 'b' || l_orderkey AS node FROM lineitem UNION ALL SELECT 'w' || l_partkey FROM lineitem) GROUP BY 1")
@@ -303,14 +301,22 @@ def groups_by_latest(spark, d):
 
 
 @query("percentile_histogram", """
-SELECT lang, n, s[1 + CAST(floor(0.1 * (n - 1)) AS INT)] AS p10, s[1 + CAST(floor(0.5 * (n - 1)) AS INT)] AS p50, s[1 + CAST(floor(0.9 * (n - 1)) AS INT)] AS p90, small, large
-FROM (SELECT lang, count(*) AS n, list(n_chars ORDER BY n_chars) AS s, count(*) FILTER (WHERE n_chars < 1000) AS small, count(*) FILTER (WHERE n_chars >= 5000) AS large FROM documents GROUP BY 1)""")
+WITH v AS (SELECT p_brand, count(l_partkey) AS v FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 GROUP BY p_partkey, p_brand),
+g AS (SELECT p_brand, count(*) AS n, list(v ORDER BY v) AS s, count(*) FILTER (WHERE v = 0) AS h0, count(*) FILTER (WHERE v BETWEEN 1 AND 4) AS h1, count(*) FILTER (WHERE v BETWEEN 5 AND 9) AS h5, count(*) FILTER (WHERE v BETWEEN 10 AND 25) AS h10, count(*) FILTER (WHERE v >= 26) AS h26 FROM v GROUP BY 1)
+SELECT p_brand, n, s[1 + CAST(floor(0.1 * (n - 1)) AS INT)] AS p10, s[1 + CAST(floor(0.25 * (n - 1)) AS INT)] AS p25, s[1 + CAST(floor(0.5 * (n - 1)) AS INT)] AS p50, s[1 + CAST(floor(0.75 * (n - 1)) AS INT)] AS p75, s[1 + CAST(floor(0.9 * (n - 1)) AS INT)] AS p90,
+       h0, h1, h5, h10, h26, round(100.0::DOUBLE * h0 / n, 4) AS share0, round(100.0::DOUBLE * h26 / n, 4) AS share26 FROM g""")
 def percentile_histogram(spark, d):
-    # Discrete lower percentiles by rank, so that no group is collected into one row.
-    w = W.partitionBy("lang")
-    ranked = T(spark, d, "documents").select("lang", "n_chars", (F.row_number().over(w.orderBy("n_chars")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    pick = lambda p: F.max(F.when(F.col("i") == F.floor(p * (F.col("n") - 1)), F.col("n_chars")))
-    return ranked.groupBy("lang").agg(F.max("n").alias("n"), pick(0.1).alias("p10"), pick(0.5).alias("p50"), pick(0.9).alias("p90"), F.count_if(F.col("n_chars") < 1000).alias("small"), F.count_if(F.col("n_chars") >= 5000).alias("large"))
+    """Discrete lower percentiles and fixed bins of works' citations, from counts of values: no group's rows meet in one task."""
+    cited = T(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("v"))
+    value = T(spark, d, "part").select("p_partkey", "p_brand").join(cited, "p_partkey", "left").select("p_brand", F.coalesce("v", F.lit(0)).alias("v"))
+    w = W.partitionBy("p_brand")
+    counts = value.groupBy("p_brand", "v").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
+    pick = lambda p: F.min(F.when(F.col("upto") > F.floor(p * (F.col("n") - 1)), F.col("v")))
+    held = lambda lo, hi: F.coalesce(F.sum(F.when(F.col("v").between(lo, hi), F.col("c"))), F.lit(0))
+    bins = {"h0": (0, 0), "h1": (1, 4), "h5": (5, 9), "h10": (10, 25), "h26": (26, 2**62)}
+    got = counts.groupBy("p_brand").agg(F.max("n").alias("n"), *(pick(q / 100).alias(f"p{q}") for q in (10, 25, 50, 75, 90)), *(held(*b).alias(k) for k, b in bins.items()))
+    share = lambda k: F.round(100.0 * F.col(k) / F.col("n"), 4)
+    return got.withColumns({"share0": share("h0"), "share26": share("h26")})
 
 
 @query("median_outliers", "SELECT doc_id, n_chars FROM documents, (SELECT list(n_chars ORDER BY n_chars)[1 + CAST(floor(count(*) / 2) AS INT)] AS median FROM documents) WHERE n_chars >= greatest(500, 3 * median)")
@@ -462,17 +468,17 @@ def unmatched_refs_defs(spark, d):
 
 @query("upsert_merge", """
 SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_totalprice ELSE t.o_totalprice END AS o_totalprice, CASE WHEN s.o_orderkey IS NULL THEN t.tag WHEN t.o_totalprice IS NOT DISTINCT FROM s.o_totalprice THEN t.tag END AS tag
-FROM (SELECT o_orderkey, o_totalprice, o_orderpriority AS tag FROM orders WHERE o_orderkey < 3000) t FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS o_totalprice FROM orders WHERE o_orderkey BETWEEN 2500 AND 3500) s ON t.o_orderkey = s.o_orderkey""")
+FROM (SELECT o_orderkey, o_totalprice, o_orderpriority AS tag FROM orders WHERE o_orderstatus <> 'P') t FULL JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS o_totalprice FROM orders WHERE o_orderstatus <> 'F') s ON t.o_orderkey = s.o_orderkey""")
 def upsert_merge(spark, d):
     o = T(spark, d, "orders")
-    target = o.where("o_orderkey < 3000").select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("tag"))
-    source = o.where("o_orderkey BETWEEN 2500 AND 3500").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(F.col("o_totalprice") + 1).alias("o_totalprice"))
+    target = o.where("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("tag"))
+    source = o.where("o_orderstatus <> 'F'").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(F.col("o_totalprice") + 1).alias("o_totalprice"))
     return R.upsert(target, source, ["o_orderkey"], {"tag": "o_totalprice"})
 
 
-@query("insert_absent", "SELECT c_custkey AS k, 'old' AS src FROM customer WHERE c_custkey < 100 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey >= 100 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("insert_absent", "SELECT c_custkey AS k, 'old' AS src FROM customer WHERE c_acctbal < 0 UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def insert_absent(spark, d):
-    old = T(spark, d, "customer").where("c_custkey < 100").select(F.col("c_custkey").alias("k"), F.lit("old").alias("src"))
+    old = T(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"), F.lit("old").alias("src"))
     new = T(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.lit("new").alias("src")).distinct()
     return R.insert_absent(old, new, ["k"])
 

@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # The modules below register their queries when they are imported.
-from vellum.plans import core, corpus, more  # noqa: E402, F401
+from vellum.plans import core, corpus, more, resolve  # noqa: E402, F401
