@@ -246,6 +246,12 @@ def _pivoted(placed: DataFrame, order: Column, pivot: Column) -> DataFrame:
     return placed.join(lead.withColumn("pivot", pivot).drop("least"), "key").select("key", "id", "part", "size", "pivot", "pivot_part", "pivot_size")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows (key, id, part ...) of the buckets that hold several parts."""
+    several = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi")
+    return placed.join(several, "key", "left_semi")
+
+
 def _close(x: str, y: str, threshold: float) -> Column:
     """Whether two multisets' sizes allow the threshold: the smaller has at least that share of the larger."""
     return F.least(x, y) >= F.greatest(x, y) * threshold - 1e-9
@@ -297,10 +303,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     exact_id is the least doc_id with the same shingle multiset, class_id the least doc_id of the connected component
     over links of weighted Jaccard >= threshold, class_size its number of rows. Only distinct multisets are compared.
-    In each bucket every member is verified against a pivot, which then has met all the others and leaves the bucket. Buckets
-    that still hold several components do so again with a pivot of the bucket's own. Where several components remain even
-    then, members are banded by finer signatures, which have a pivot each too; pairs of different components that still meet
-    there are verified one by one if their sketches agree (see SKETCH_BITS). No bucket is capped, and a large bucket of
+    In each bucket every member is verified against a pivot, which then has met all the others and leaves the bucket. Members
+    of buckets that still hold several components are banded by finer signatures, whose buckets have a pivot each too; pairs
+    of different components that still meet there are verified one by one if their sketches agree (see SKETCH_BITS). No bucket is capped, and a large bucket of
     unlike members is split by its members' likeness. A pair at the threshold is missed by each step once in 20,000 or less, others
     more rarely; exact=True adds a join on rare shingles that misses none (see exact_links).
 
@@ -343,18 +348,15 @@ def _parts(docs: DataFrame, signed: DataFrame, threshold: float, exact: bool = F
     items = written(_items(docs, groups, parts.select("id")), "items")
     parts = _merged(parts, _to_pivot(shared, threshold), items, threshold)
 
-    # The order of a bucket's second pivot is its own, so that members of one group meet other pivots in other buckets.
-    of_key, back = F.col("id").bitwiseXOR(F.col("key")), F.col("least").bitwiseXOR(F.col("key"))
-    rest = written(_pivoted(shared.where("id <> pivot").select("key", "id", "size").join(parts, "id"), of_key, back), "rest")
-    discard(shared)
-    parts = _merged(parts, _to_pivot(rest, threshold), items, threshold)
-
-    left = _pivoted(rest.where("id <> pivot").select("key", "id", "size").join(parts, "id"), F.col("id"), F.col("least")).select("id").distinct()
+    # Members of buckets that still hold several parts get finer signatures; a bucket's pivot has met all of it and leaves it.
+    left = _mixed(shared.where("id <> pivot").select("key", "id").join(parts, "id")).select("id").distinct()
     keyed = items.join(left, "id", "left_semi").select("id", "items").mapInArrow(_refine, "id long, keys array<long>, sketch array<long>")
     keyed = written(keyed, "keyed")
-    discard(rest)
+    discard(shared)
 
-    # The finer buckets have pivots too; only what these leave apart is compared in pairs.
+    # The finer buckets have pivots too, each by an order of its own, so that members of one group meet other pivots in other
+    # buckets; only what these leave apart is compared in pairs.
+    of_key, back = F.col("id").bitwiseXOR(F.col("key")), F.col("least").bitwiseXOR(F.col("key"))
     fine = keyed.select("id", F.explode("keys").alias("key")).join(sizes, "id")
     fine = written(_pivoted(fine.join(parts, "id"), of_key, back), "fine")
     sketch = keyed.select("id", "sketch")
@@ -362,8 +364,7 @@ def _parts(docs: DataFrame, signed: DataFrame, threshold: float, exact: bool = F
     met = _to_pivot(fine, threshold).join(r, "b").join(l, "a").where(_alike(F.col("sa"), F.col("sb"), threshold))
     parts = _merged(parts, met.select("a", "b", "pa", "pb"), items, threshold)
 
-    rest = _pivoted(fine.where("id <> pivot").select("key", "id", "size").join(parts, "id"), F.col("id"), F.col("least"))
-    rest = written(rest.select("key", "id", "part", "size").join(sketch, "id"), "rest")
+    rest = written(_mixed(fine.where("id <> pivot").select("key", "id", "size").join(parts, "id")).join(sketch, "id"), "rest")
     discard(fine, keyed)
     l, r = (rest.select("key", F.col("id").alias(x), F.col("part").alias(f"p{x}"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     met = l.join(r, (l["key"] == r["key"]) & F.expr("pa < pb") & _close("na", "nb", threshold) & _alike(F.col("sa"), F.col("sb"), threshold))
