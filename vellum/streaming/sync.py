@@ -51,3 +51,53 @@ def sessions(df: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> DataF
     """Extension: sessions by a gap, standing in for a debounced flush."""
     stamped = df.withColumn("_ts", F.col(ts).cast("timestamp"))
     return stamped.groupBy(F.session_window("_ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def committed(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The last committed version of a synchronised table; a version whose sync didn't finish isn't seen."""
+    last = spark.read.parquet(f"{path}/_commits").agg(F.max("number")).first()[0]
+    return spark.read.parquet(f"{path}/{table}/v={last}")
+
+
+def sync_tables(tables: dict[str, DataFrame], changes: DataFrame, keys: dict[str, Sequence[str]], book: str, stamp: str, root: str) -> dict[str, DataFrame]:
+    """The tables after one sync of many books, in the order of keys. tables: by name, each with book, its keys and any other columns.
+
+    changes: kind (the table), book, base (the stamp its writer last saw; null: never), deleted, and row, a JSON object of the
+    table's columns. A book whose row in the root table is newer than its base is rejected as a whole, so its tables stay
+    together; rows of books the root table lacks are taken. Of changes with one key the last base wins, then a deletion, then the row.
+    """
+    current = tables[root].select(F.col(book).alias("_book"), F.col(stamp).alias("_stamp"))
+    stale = changes.join(current, F.col(book) == F.col("_book")).where(F.col("base").isNull() | (F.col("_stamp") > F.col("base"))).select(book).distinct()
+    fresh = changes.join(stale, book, "left_anti")
+    out = {}
+    for name, key in keys.items():
+        old = tables[name]
+        parsed = fresh.where(F.col("kind") == name).select("base", "deleted", "row", F.from_json("row", old.schema).alias("_new"))
+        last = parsed.groupBy(*[F.col(f"_new.{k}").alias(f"_{k}") for k in key]).agg(F.max(F.struct("base", "deleted", "row", "_new")).alias("_last"))
+        last = last.where(" AND ".join(f"_{k} IS NOT NULL" for k in key))
+        kept = old.join(last.select(*[F.col(f"_{k}").alias(k) for k in key]), list(key), "left_anti").select(old.columns)
+        out[name] = kept.unionByName(last.where("NOT _last.deleted").select("_last._new.*"))
+    return out
+
+
+def sync_stream(changes: DataFrame, path: str, keys: dict[str, Sequence[str]], book: str, stamp: str, root: str, checkpoint: str) -> StreamingQuery:
+    """Apply each micro-batch to all tables below path, which must have a committed version 0, and commit them together.
+
+    The tables are written in the order of keys, as versions of their own, and the commit after them, so a reader of
+    committed() sees all tables of a sync or none. A replayed batch starts from the version before it and writes the same rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = {name: spark.read.parquet(f"{path}/{name}/v={number}") for name in keys}
+        new = sync_tables(old, batch, keys, book, stamp, root)
+        for name in keys:
+            new[name].write.mode("overwrite").parquet(f"{path}/{name}/v={number + 1}")
+        commit(spark, path, number + 1)
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def commit(spark: SparkSession, path: str, number: int) -> None:
+    """Mark a version of all tables as whole."""
+    spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("append").parquet(f"{path}/_commits")
