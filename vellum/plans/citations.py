@@ -49,7 +49,7 @@ def detected_quotes(spark, d):
     said = F.regexp_replace(F.coalesce("text", F.lit("")), "['\"‘’“”.!?\\s]+", " ")
     text = F.concat(F.lit("They say "), F.lit("“"), said, F.lit("” (A 2020) and go on"))
     rows = T(spark, d, "conversations").where("turn % 2 = 0").select(F.col("conv_id").alias("book"), F.col("turn").alias("pos"), text.alias("text"), F.array(F.length(said) + 11).alias("marks"), F.lit(False).alias("block"), F.length(said).alias("n"))
-    return C.detect_quotes(rows.where("n BETWEEN 22 AND 290"), "book", "pos", "text", "marks", "block").drop("candidates")
+    return C.detect_quotes(rows.where("n BETWEEN 22 AND 290"), "book", "pos", "text", "marks", "block").drop("candidates").withColumn("mark", F.col("mark").cast("long"))
 
 
 @query("located_quotes")
