@@ -86,11 +86,6 @@ def cover_density(tokens: Column, words: list[str]) -> Column:
     return F.when(every, len(words) / span).otherwise(0.0)
 
 
-def stem(tokens: Column) -> Column:
-    """Light English stemming by suffix rules; a documented stand-in for a full Snowball stemmer."""
-    return F.transform(tokens, lambda t: F.regexp_replace(F.regexp_replace(t, r"(?<=[a-z]{3})(ing|edly|ed|ly|es|s)$", ""), r"([b-df-hj-np-tv-z])\1$", "$1"))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two float arrays in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

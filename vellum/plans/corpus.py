@@ -349,7 +349,10 @@ def headlines(spark, d):
     return docs.select("doc_id", S.headline(F.col("text"), ["license", "licensed"]).alias("headline"))
 
 
-@query("weighted_search")
+@query("weighted_search", """
+WITH t AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, string_split(lower(p_type), ' ') AS b FROM part),
+h AS (SELECT *, list_position(a, 'ring') AS r, list_position(a, 'widget') AS w, list_contains(b, 'ring')::INT + list_contains(b, 'widget')::INT AS n FROM t)
+SELECT p_partkey, round((r IS NOT NULL)::INT / 2 + (w IS NOT NULL)::INT / 2 + 0.3::DOUBLE * n / 2, 6) AS rank, coalesce(round(2.0::DOUBLE / (abs(r - w) + 1), 6), 0.0::DOUBLE) AS density FROM h WHERE r IS NOT NULL OR w IS NOT NULL OR n > 0""")
 def weighted_search(spark, d):
     words = ["ring", "widget"]
     p = T(spark, d, "part")
