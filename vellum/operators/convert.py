@@ -68,6 +68,75 @@ def page_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return pages.select(F.col(id_col), F.col(html_col)).mapInPandas(run, "book long, line long, chunk long, node_id string, type string, plain string")
 
 
+class _Top(HTMLParser):
+    """The children of a body: a row each, with the citations and note markers within."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[dict] = []
+        self.open: list[str] = []
+        self.silent = 0
+
+    def _row(self, tag: str) -> dict:
+        self.rows.append({"type": tag, "text": [], "references": [], "footnotes": []})
+        return self.rows[-1]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _SILENT or tag == "head":
+            self.silent += 1
+        elif not self.silent and tag == "body":
+            self.rows, self.open = [], []
+        elif not self.silent and tag != "html":
+            row = self.rows[-1] if self.open else self._row(tag)
+            have = dict(attrs)
+            kinds = (have.get("class") or "").split()
+            if tag == "a" and "in-text-citation" in kinds:
+                row["references"] += (have.get("data-refs") or (have.get("href") or "").lstrip("#")).split(",")
+            if tag == "sup" and "footnote-ref" in kinds and have.get("id"):
+                row["footnotes"].append((have["id"], have.get("fn-count-id") or ""))
+            if tag not in _VOID:
+                self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        if tag in _SILENT or tag == "head":
+            self.silent = max(0, self.silent - 1)
+        elif tag in self.open:
+            while self.open.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.silent and (self.open or data.strip()):
+            (self.rows[-1] if self.open else self._row("p"))["text"].append(data.strip())
+
+
+def top_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", per_chunk: int = 50) -> DataFrame:
+    """(book, line, chunk, node_id, type, plain, references, footnotes): the children of each page's body, or of the page where it has none.
+
+    Lines count from 1, per_chunk to a chunk; text of its own is a p. plain joins the trimmed pieces of text, scripts and styles are
+    left out. Pages that are null or empty have no rows.
+    """
+    schema = "book long, line long, chunk long, node_id string, type string, plain string, references array<string>, footnotes array<struct<id: string, marker: string>>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for book, html in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
+                parser = _Top()
+                parser.feed(html or "")
+                parser.close()
+                for k, r in enumerate(parser.rows):
+                    notes = [{"id": i, "marker": m} for i, m in r["footnotes"]]
+                    rows.append((book, k + 1, k // per_chunk, f"{book}_{k + 1}", r["type"], "".join(r["text"]), r["references"], notes))
+            yield pd.DataFrame(rows, columns=["book", "line", "chunk", "node_id", "type", "plain", "references", "footnotes"])
+
+    return pages.select(F.col(id_col), F.col(html_col)).mapInPandas(run, schema)
+
+
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])")
 
 

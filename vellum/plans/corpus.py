@@ -312,6 +312,11 @@ def html_blocks(spark, d):
     return convert.page_nodes(T(spark, d, "pages"))
 
 
+@query("top_level_nodes")
+def top_level_nodes(spark, d):
+    return convert.top_nodes(T(spark, d, "pages"))
+
+
 @query("reference_paragraphs", r"SELECT page_id, regexp_matches(html, '(1[5-9]|20)[0-9][0-9]') AND NOT regexp_matches(html, 'cookie') AS reference FROM pages")
 def reference_paragraphs(spark, d):
     return T(spark, d, "pages").select("page_id", (F.col("html").rlike("(1[5-9]|20)[0-9][0-9]") & ~F.col("html").rlike("cookie")).alias("reference"))
