@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import bagminhash, bpe, chat, linededup, lz, media, reshard, tokencount, toxicity, wfq
+from vellum.llm import bagminhash, bpe, chat, filteraudit, fim, htmltext, linededup, lz, media, reshard, tokencount, toxicity, wfq
 from vellum.session import table
 
 
@@ -55,11 +55,25 @@ def op10_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("row.page_id", "row.url", "text", "n_chars")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return made.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bagminhash_neardup, op2_media_columns, op3_lz_fingerprints, op4_flow_resharding, op5_weak_toxicity,
         op6_chat_formatting, op7_byte_bpe, op8_line_dedup, op9_token_counts, op10_weighted_fair_mix,
+        op11_filter_audit, op12_html_text, op13_fill_in_middle,
     )
 }
 
@@ -112,6 +126,71 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+AUDIT_SQL = r"""
+WITH RECURSIVE orders(o) AS (
+  SELECT '' UNION ALL SELECT o || k FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k) WHERE NOT contains(o, k)
+), steps AS (
+  SELECT o, step, substr(o, step, 1) AS filter, substr(o, 1, step - 1) AS earlier
+  FROM (SELECT o, CAST(unnest(range(1, 6)) AS INT) AS step FROM orders WHERE length(o) = 5)
+), words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents
+), marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN words.doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM words LEFT JOIN marks ON marks.doc_id = words.doc_id
+), kinds AS (
+  SELECT part, fails, good, toxic, count(*) AS n FROM failing GROUP BY ALL
+), met AS (
+  SELECT part, o, step, n, good, toxic, contains(fails, filter) AS hit, fails <> '' AND translate(fails, earlier, '') <> fails AS gone, fails = filter AS alone
+  FROM kinds, steps
+), made AS (
+  SELECT part, o AS filter_order, step, substr(o, step, 1) AS filter, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT hit), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (WHERE hit AND gone), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (WHERE alone), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(n * good) FILTER (WHERE hit AND NOT gone), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(n * toxic) FILTER (WHERE hit AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM made
+"""
+
+#: On these tables every article is one element of that name, and its blocks are paragraphs, headings and line breaks.
+PAGES_SQL = r"""
+WITH inner_ AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages
+), bare AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(p|br|h1)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM inner_
+), plain AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS t FROM bare
+), made AS (
+  SELECT page_id, url, coalesce(trim(regexp_replace(t, '\s+', ' ', 'g')), '') AS text FROM plain
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM made
+"""
+
+FIM_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents
+), drawn AS (
+  SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, [CAST('0x' || substr(digest, 8 * k + 1, 8) AS BIGINT) FOR k IN range(0, 4)] AS h FROM hashed
+), cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
 SQL: dict[str, str] = {
     "op8_line_dedup": LINE_SQL.format(docs="documents")
     + r"""
@@ -120,4 +199,7 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM marked GROUP BY rowid_
 """,
     "op10_weighted_fair_mix": WFQ_SQL,
+    "op11_filter_audit": AUDIT_SQL,
+    "op12_html_text": PAGES_SQL,
+    "op13_fill_in_middle": FIM_SQL,
 }
