@@ -55,10 +55,9 @@ def similar_text(a: str, b: str) -> float:
     return 2 * matched(a, b) / (len(a) + len(b)) if a or b else 0.0
 
 
-#: Words that titles are compared without, ways to write "and others", and words that are no surnames.
+#: Words that titles are compared without, and ways to write "and others".
 TITLE_STOPS = {"the", "a", "an", "of", "and", "in", "on", "to", "for", "by", "with", "from", "at", "is", "as"}
 ET_AL = {"et al.", "et al", "etal"}
-NOT_NAMES = {"And", "The", "For", "In", "An", "On", "As", "Ed", "Of", "See", "Also"}
 
 
 def folded(text: str) -> str:
@@ -240,84 +239,6 @@ def offset_normalise(text: str) -> tuple[str, list[int]]:
     return "".join(out), at
 
 
-_CAPITAL = r"[A-Z\u00c0-\u00d6\u00d8-\u00de\u0100-\u017d\u1e9e]"
-_NAME = re.compile(rf"(?<![^\W\d_]){_CAPITAL}[^\W\d_]*(?:['-][^\W\d_]*)*")
-
-
-def _year(text: str) -> tuple[str, bool] | None:
-    """The reference's year and whether it stands in brackets: such a year first, then the first with a letter, then the last."""
-    if found := re.search(r"\((\d{4}[a-z]?)\)", text):
-        return found[1], True
-    years = [y for y in re.findall(r"(?<!\d)(\d{4}[a-z]?)(?!\d)", text) if 1900 <= int(y[:4]) <= 2099]
-    lettered = [y for y in years if y[4:] not in ("", "s")]
-    return ((lettered or years[-1:])[0], False) if years else None
-
-
-def _surnames(text: str) -> list[str]:
-    return [folded(n.replace("'s", "")).replace("-", "").replace("'", "") for n in _NAME.findall(text) if n not in NOT_NAMES and len(n) > 1]
-
-
-def reference_keys(text: str, context: str = "") -> list[str]:
-    """Keys of surname and year by which a citation and its reference meet, the likeliest first.
-
-    Authors stand before the year, up to the end of the author's sentence; a citation of a year alone has them in its context.
-    Keys: the leading author's surname, the first capitalised name, all of them in order, the same of each author's last name,
-    and acronyms. Without a year there are none.
-    """
-    text, context = (s.translate(str.maketrans("\u2018\u2019\u02bc", "'''")) for s in (text, context))
-    if not (found := _year(re.sub(r"\[\d{4}\]\s*", "", text))):
-        return []
-    year, bracketed = found
-    authors = text.split(year)[0]
-    if not bracketed and (stop := re.search(r"(?<=[a-z]{2})\.\s+[A-Z]", authors)):
-        authors = authors[: stop.start()]
-    if not re.search(r"[^\W\d_]", authors):
-        joined = rf"{_NAME.pattern}(?:(?:\s+and\s+|\s*,\s*(?:and\s+)?){_NAME.pattern})*\s*$"
-        last = re.search(joined, context)
-        authors = last[0] if last else (_NAME.findall(context) or [context])[-1]
-    keys: list[str] = []
-    if names := _surnames(authors):
-        each = [ns[-1] for ns in map(_surnames, re.split(r"\s+and\s+|,\s*and\s+|,\s+(?=[A-Z])", authors)) if ns]
-        leading = names[0] if re.match(rf"\s*{_NAME.pattern}\s*,", authors) or not each else each[0]
-        keys = [leading, names[0], "".join(sorted(names))]
-        if each and set(each) != set(names):
-            keys += [each[0], "".join(sorted(each))]
-    elif len(words := [w for w in re.findall(r"(?<![\w'-])\w[\w'-]*", authors) if not w.isdigit()]) <= 4:
-        small = {n.lower() for n in NOT_NAMES} | {"et", "al"}
-        keys = [folded(w).replace("-", "").replace("'", "") for w in words if len(w) > 2 and w.lower() not in small][:1]
-    keys += [a.lower() for a in re.findall(r"\b[A-Z]{2,}\b", authors)]
-    if "United Nations General Assembly" in text:
-        keys.append("un")
-    return list(dict.fromkeys(k + year for k in keys))
-
-
-def keyed(df: DataFrame, text: Column) -> DataFrame:
-    """df with a row for each of its text's reference keys: key, and rank from 0 for the likeliest."""
-    keys = F.udf(reference_keys, "array<string>", useArrow=True)(F.coalesce(text, F.lit("")))
-    return df.select("*", F.posexplode(keys).alias("rank", "key"))
-
-
-#: How far a citation's year may be from its reference's, in the order in which that is tried.
-YEAR_OFFSETS = (0, 1, -1, 2, -2, 3, -3)
-
-
-def link_citations(citations: DataFrame, references: DataFrame, citation_id: str, reference_id: str, citation: str = "text", reference: str = "text", scope: str | None = None) -> DataFrame:
-    """(citation_id, reference_id, offset): the reference of each citation that meets one by key, within a scope such as a book.
-
-    The citation's likeliest key counts first, then the reference's, then the lesser id; years misread by up to three
-    are tried only where the year itself finds nothing. Null texts and texts without a year link to nothing.
-    """
-    scoped = [F.col(scope).alias("_scope")] if scope else [F.lit(0).alias("_scope")]
-    asked = keyed(citations.select(F.col(citation_id).alias("_c"), *scoped, F.col(citation).alias("_t")), F.col("_t")).select("_c", "_scope", F.col("rank").alias("_first"), "key")
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(y).alias("offset")) for i, y in enumerate(YEAR_OFFSETS)]))
-    name, year, letter = (F.regexp_extract("key", r"^(.*?)(\d{4})([a-z]?)$", i) for i in (1, 2, 3))
-    tried = asked.select("_c", "_scope", "_first", name.alias("name"), year.cast("int").alias("year"), letter.alias("letter"), near.alias("near"))
-    tried = tried.select("_c", "_scope", "_first", "near.*", F.concat("name", (F.col("year") + F.col("near.offset")).cast("string"), "letter").alias("key"))
-    known = keyed(references.select(F.col(reference_id).alias("_r"), *scoped, F.col(reference).alias("_t")), F.col("_t")).select("_r", "_scope", F.col("rank").alias("_second"), "key")
-    met = tried.join(known, ["_scope", "key"]).groupBy("_c").agg(F.min(F.struct("step", "_first", "_second", "_r", "offset")).alias("best"))
-    return met.select(F.col("_c").alias(citation_id), F.col("best._r").alias(reference_id), F.col("best.offset").alias("offset"))
-
-
 def locate_quotes(quotes: DataFrame, docs: DataFrame, quote_id: str, quote: str, doc_id: str, text: str, size: int = 8) -> DataFrame:
     """(quote_id, doc_id) where the document contains the quote, by an equi-join on words inside the quote.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from vellum.operators import convert, graph, linkage as L, relational as R, search as S, temporal as V
+from vellum.operators import convert, graph, linkage as L, references as Refs, relational as R, search as S, temporal as V
 from vellum.plans.registry import query
 from vellum.session import table as T
 
@@ -202,4 +202,4 @@ def linked_citations(spark, d):
     s, c = F.col("s_suppkey"), F.col("c_custkey")
     references = T(spark, d, "supplier").select("s_suppkey", F.concat(name(s), F.lit(", A. ("), year(s), F.lit("). "), "s_name").alias("text"))
     citations = T(spark, d, "customer").select("c_custkey", F.concat(F.lit("see "), name(c), F.lit(" "), year(c + F.when(c % 5 == 0, 1).otherwise(0)), F.lit(", 12")).alias("text"))
-    return L.link_citations(citations, references, "c_custkey", "s_suppkey")
+    return Refs.link_citations(citations, references, "c_custkey", "s_suppkey")
