@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vellum.session import shuffle_width, written
@@ -107,8 +108,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str]]
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order. Each but a partition's last is compared with the row after it; the partition's first and last texts come out too."""
-    names, kinds = [*PAIR_NAMES, "edge", "text"], [*PAIR_KINDS, pa.string(), pa.string()]
+    """Rows in order. Each but a partition's last is compared with the row after it; the partition's first and last texts come out too, with its number."""
+    names, kinds = [*PAIR_NAMES, "edge", "text", "part"], [*PAIR_KINDS, pa.string(), pa.string(), pa.int32()]
+    part = TaskContext.get().partitionId()
     out: list[tuple] = []
 
     def flush():
@@ -120,14 +122,14 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for doc_id, text in _rows(batches):
         own, head = _own(text)
         if held is None:
-            out.append((doc_id, *[None] * 6, "first", text))
+            out.append((doc_id, *[None] * 6, "first", text, part))
         else:
-            out.append((*_pair(held[0], held[1], text, held[2], own, held[3]), None, None))
+            out.append((*_pair(held[0], held[1], text, held[2], own, held[3]), None, None, None))
         held = doc_id, text, own, head
         if len(out) >= 1000:
             yield flush()
     if held is not None:
-        out.append((held[0], *[None] * 6, "last", held[1]))
+        out.append((held[0], *[None] * 6, "last", held[1], part))
         yield flush()
 
 
@@ -147,17 +149,20 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The next document is the one with the next lower id (nulls last, equal ids by the text's hash), after the last the first; a
     lone document is its own next. Documents are range-partitioned by that order once. Each partition handles its
-    own neighbours in a stream; the seams, two rows to a partition, are ordered and handled after it. Null and empty texts are alike:
+    own neighbours in a stream; the seams, one to a partition, are handled after it, the two texts of each joined by the partition's number. Null and empty texts are alike:
     no phrases, likeness 1 to each other. An empty table gives no rows; extra columns are not read.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]  # by hash, so that no text is sampled for the ranges
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lined = rows.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
-    chained = written(lined.mapInArrow(_chain, f"{PAIR_SCHEMA}, edge string, text string"), "chained")
-    # Two rows to a partition: their number is bounded by the number of partitions, not by the documents.
-    w = W.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "edge")
-    seams = chained.where("edge IS NOT NULL").select("doc_id", "text", "edge", F.lead("text").over(w).alias("after"), F.first("text").over(w).alias("top"))
-    seams = seams.where("edge = 'last'").select("doc_id", "text", F.coalesce("after", "top").alias("after"))
-    seams = seams.repartition(min(32, shuffle_width(docs.sparkSession)), "doc_id")
+    chained = written(lined.mapInArrow(_chain, f"{PAIR_SCHEMA}, edge string, text string, part int"), "chained")
+    # The numbers of partitions with rows are put in order, one short row each; the texts at their edges meet by them, a seam to a task.
+    parts = chained.where("edge = 'first'").select("part")
+    order_of = W.orderBy("part")
+    after = parts.select("part", F.coalesce(F.lead("part").over(order_of), F.min("part").over(W.partitionBy(F.lit(0)))).alias("next"))
+    firsts = chained.where("edge = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    lasts = chained.where("edge = 'last'").select("part", "doc_id", "text").join(after, "part")
+    seams = lasts.join(firsts.hint("shuffle_hash"), "next").select("doc_id", "text", "after", "part")
+    seams = seams.repartition(shuffle_width(docs.sparkSession), "part").select("doc_id", "text", "after")
     pairs = chained.where("edge IS NULL").select(*PAIR_NAMES).unionByName(seams.mapInArrow(_seam, PAIR_SCHEMA))
     return pairs.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})

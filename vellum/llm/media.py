@@ -217,7 +217,7 @@ def _run(data: bytes, moof: int, header: dict, body: int, stop: int, after: int)
         _need(at + 4 <= stop, "truncated run")
         own, at = struct.unpack_from(">I", data, at)[0], at + 4
     fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
-    _need(4 * n * len(fields) <= stop - at and (bool(fields) or n * header["size"] <= len(data)), "run exceeds its box")
+    _need(4 * n * len(fields) <= stop - at and (bool(fields) or n * max(1, header["size"]) <= len(data)), "run exceeds its box")
     rows = np.frombuffer(data, dtype=">u4", count=n * len(fields), offset=at).astype(np.int64).reshape(n, len(fields)) if fields else np.zeros((n, 0), dtype=np.int64)
     value = lambda bit, default: rows[:, fields.index(bit)] if bit in fields else np.full(n, default, dtype=np.int64)
     sizes, marks = value(0x200, header["size"]), value(0x400, header["flags"])
@@ -259,7 +259,7 @@ def tracks(data: bytes) -> list[Track]:
             number, _, *rest = struct.unpack_from(">5I", data, body + 4)
             defaults[number] = tuple(rest)
         elif kind == b"moof":
-            moof = after = body - 8
+            moof = after = body - (8 if data[body - 4 : body] == b"moof" else 16)  # a box of 64-bit size has a longer header
         elif path[-2:] == (b"traf", b"tfhd"):
             header = _fragment_header(data, body, stop, moof, defaults)
             after = header["base"]
@@ -286,6 +286,7 @@ def _fragment_header(data: bytes, body: int, stop: int, moof: int, defaults: dic
             (value,) = struct.unpack_from(form, data, at)
             at += struct.calcsize(form)
             base, duration, size, marks = (value if name == "base" else base), (value if name == "duration" else duration), (value if name == "size" else size), (value if name == "flags" else marks)
+    _need(base <= len(data), "fragment beyond the file")
     return {"track": number, "base": base, "duration": duration, "size": size, "flags": marks}
 
 
