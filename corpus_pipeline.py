@@ -44,10 +44,14 @@ def _first_words(text: Column, taken: Column, size: Column) -> Column:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights: a row each time a document is taken; one taken in part keeps its first words, so many, with single spaces between."""
+    """The mix to target weights: a row each time a document is taken; one taken in part keeps its first words, so many, with single spaces between.
+
+    Null and empty texts have no words and are never taken. Rows alike in id, text and source are one document, of the least language.
+    """
     key = F.md5(F.coalesce("text", F.lit("")))
     sent = wfq.mix(docs).select(F.col("doc_id").alias("id_"), "text_md5", F.col("source").alias("source_"), "size", "taken")
-    rows = docs.select(COLUMNS).dropDuplicates(["doc_id", "text", "source"]).withColumn("key", key)
+    rest = ["lang", "n_chars"]  # of rows alike in id, text and source the least stays, so that reruns agree
+    rows = docs.select(*COLUMNS, key.alias("key")).groupBy("doc_id", "source", "key").agg(F.first("text").alias("text"), F.min(F.struct(rest)).alias("rest")).select("doc_id", "source", "key", "text", "rest.lang")
     on = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("text_md5")) & F.col("source").eqNullSafe(F.col("source_"))
     text = _first_words(F.col("text"), F.col("taken"), F.col("size"))
     mixed = rows.join(sent.hint("shuffle_hash"), on).withColumn("text", text)
@@ -72,6 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage after the other. Null ids, texts, languages and sources are kept as such by each stage until the mix, which takes texts with words alone; no documents give no rows."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
