@@ -4,8 +4,10 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from vellum.operators.commits import Commits
 from vellum.sources import archives
 from vellum.streaming import sync
 
@@ -69,24 +71,43 @@ def test_archives_from_files(spark, tmp_path):
 
 def test_one_sync_moves_all_tables_of_a_book_or_none(spark, tmp_path):
     path, keys = str(tmp_path / "db"), {"nodes": ["book", "node"], "library": ["book"]}
-    nodes = spark.createDataFrame([("a", 1, "old a1"), ("a", 2, "old a2"), ("b", 1, "old b1")], "book string, node long, text string")
+    nodes = spark.createDataFrame([("a", 1, "old a1"), ("a", 2, "old a2"), ("b", 1, "old b1"), ("d", 1, "d1")], "book string, node long, text string")
     library = spark.createDataFrame([("a", 10, "A"), ("b", 20, "B")], "book string, stamp long, title string")
-    for name, df in {"nodes": nodes, "library": library}.items():
-        df.write.parquet(f"{path}/{name}/v=0")
-    sync.commit(spark, path, 0)
+    sync.create_store(spark, path, {"nodes": nodes, "library": library}, "book", buckets=8)
     change = lambda kind, book, base, row, deleted=False: (kind, book, base, deleted, json.dumps({"book": book, **row}))
     batch = [
-        change("nodes", "a", 10, {"node": 1, "text": "new a1"}), change("nodes", "a", 10, {"node": 2}, True), change("nodes", "a", 10, {"node": 3, "text": "a3"}), change("library", "a", 10, {"stamp": 11, "title": "A2"}),
+        change("nodes", "a", 10, {"node": 1, "text": "new a1"}, None), change("nodes", "a", 10, {"node": 2}, True), change("nodes", "a", 10, {"node": 3, "text": "a3"}), change("library", "a", 10, {"stamp": 11, "title": "A2"}),
         change("nodes", "b", 19, {"node": 1, "text": "stale"}), change("library", "b", 19, {"stamp": 21, "title": "stale"}),
         change("nodes", "c", None, {"node": 1, "text": "c1"}), change("library", "c", None, {"stamp": 1, "title": "C"}), change("nodes", "c", None, {"text": "no key"}),
+        change("nodes", "a", 10, {"book": "d", "node": 1, "text": "of another book"}), ("nodes", "a", 10, False, "no JSON"), ("nodes", "a", 10, False, None), change("pages", "a", 10, {"node": 1}), change(None, "a", 10, {"node": 1}),
     ]
     schema = "kind string, book string, base long, deleted boolean, row string"
-    spark.createDataFrame(batch, schema).write.parquet(f"{path}/changes")
+    spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{path}/changes")
+    before = Commits(spark, path).last()
     stream = spark.readStream.schema(schema).parquet(f"{path}/changes")
     sync.sync_stream(stream, path, keys, "book", "stamp", "library", f"{path}/checkpoint").awaitTermination()
     rows = lambda t: sorted(tuple(r) for r in sync.committed(spark, path, t).collect())
-    assert rows("nodes") == [("a", 1, "new a1"), ("a", 3, "a3"), ("b", 1, "old b1"), ("c", 1, "c1")]
+    assert rows("nodes") == [("a", 1, "new a1"), ("a", 3, "a3"), ("b", 1, "old b1"), ("c", 1, "c1"), ("d", 1, "d1")]
     assert rows("library") == [("a", 11, "A2"), ("b", 20, "B"), ("c", 1, "C")]
-    # A version without its commit is not seen.
-    nodes.where(F.lit(False)).write.parquet(f"{path}/nodes/v=2")
-    assert len(rows("nodes")) == 4
+    lost = sorted((r.reason, r.kind or "", r.book) for r in sync.rejected(spark, path).collect())
+    assert lost == [("book", "nodes", "a"), ("key", "nodes", "a"), ("key", "nodes", "a"), ("key", "nodes", "c"), ("kind", "", "a"), ("kind", "pages", "a"), ("stale", "library", "b"), ("stale", "nodes", "b")]
+    # Folders of books that no change names are the same files; tables written without a commit aren't seen, and a batch counts once.
+    after = Commits(spark, path).last()
+    same = {b for b, f in before["tables"]["nodes"]["folders"].items() if after["tables"]["nodes"]["folders"].get(b) == f}
+    touched = {str(r[0]) for r in spark.createDataFrame([(x,) for x in "abc"], "book string").select(sync._bucket(F.col("book"), 8)).collect()}
+    assert same == set(before["tables"]["nodes"]["folders"]) - touched
+    Commits(spark, path).write(nodes)
+    sync.sync_store(spark.createDataFrame([change("nodes", "a", 11, {"node": 9})], schema), path, keys, "book", "stamp", "library", batch=0)
+    assert len(rows("nodes")) == 5
+    sync.sync_store(spark.createDataFrame([change("nodes", "a", 11, {"node": k}, True) for k in (1, 3)], schema), path, keys, "book", "stamp", "library", batch=1)
+    assert rows("nodes") == [("b", 1, "old b1"), ("c", 1, "c1"), ("d", 1, "d1")]
+
+
+def test_sync_of_nothing(spark, tmp_path):
+    path = str(tmp_path / "db")
+    schema = "kind string, book string, base long, deleted boolean, row string"
+    sync.create_store(spark, path, {"library": spark.createDataFrame([], "book string, stamp long")}, "book")
+    sync.sync_store(spark.createDataFrame([], schema), path, {"library": ["book"]}, "book", "stamp", "library")
+    assert sync.committed(spark, path, "library").count() == 0 and sync.rejected(spark, path).count() == 0
+    with pytest.raises(ValueError):
+        sync.create_store(spark, path, {}, "book")

@@ -19,6 +19,13 @@ def test_batches_follow_their_cursors(spark, tmp_path):
     assert [(r.batch, r.page, r.n, r.id) for r in rows] == [(0, 0, 0, 1), (0, 0, 1, 2), (0, 1, 0, 3), (1, 0, 0, 4)]
 
 
+def test_numbers_are_cursors(spark, tmp_path):
+    for at, (ids, cursor) in {"0": ([1], 25), "25": ([2], 50), "50": ([3], False)}.items():
+        (tmp_path / f"p{at}.json").write_text(json.dumps({"results": [{"id": i} for i in ids], "meta": {"next_cursor": cursor}}))
+    df = rest.read_pages(spark, f"file://{tmp_path}/p{{cursor}}.json", first="0")
+    assert sorted(r.record for r in df.collect()) == ['{"id": 1}', '{"id": 2}', '{"id": 3}']
+
+
 def test_a_page_that_goes_on_failing_fails(spark, tmp_path):
     with pytest.raises(PythonException):
         rest.read_pages(spark, f"file://{tmp_path}/none_{{cursor}}.json", pause="0").collect()

@@ -27,12 +27,17 @@ class Commits:
         lines = self.spark.read.text(f"{self.folder}/{done[-1]}").collect()  # one short line
         return json.loads(lines[0][0])
 
-    def write(self, df: DataFrame) -> str:
-        """A table under a name of its own; no reader sees it until a commit names it."""
+    def write(self, df: DataFrame, by: str | None = None) -> str:
+        """A table under a name of its own, in a folder for each value of by; no reader sees it until a commit names it."""
         name = f"table-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{name}")
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.folder}/{name}")
         return name
 
+    def folders(self, name: str) -> dict[str, str]:
+        """The folders of a table written by a column, by value."""
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{name}"))]
+        return {f.split("=", 1)[1]: f"{name}/{f}" for f in found if "=" in f}
+
     def read(self, names: list[str], schema) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], schema)

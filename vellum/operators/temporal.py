@@ -38,3 +38,24 @@ def restore(rows: DataFrame, t: Column, at: Column) -> DataFrame:
     closed = rows.withColumn("valid_to", F.coalesce("valid_to", at))
     back = as_of(rows, t).withColumns({"valid_from": at, "valid_to": F.lit(None).cast(dict(rows.dtypes)["valid_to"])})
     return closed.unionByName(back)
+
+
+def captured(changes: DataFrame, key: str, order: list[str], stamp: str, value: str, deleted: str) -> DataFrame:
+    """(key, value, valid_from, valid_to): the versions that changes to rows leave, each taken in order of arrival.
+
+    A change that leaves a row as it is, and the deletion of a row that isn't there, leave nothing. A row changed at or before the instant at which its
+    version opened closes a microsecond after that, so no version is empty and none overlaps; a row inserted after its deletion opens at its
+    own stamp. A key's changes are numbered within each of its lives, and the bumps are a running maximum of stamp less number.
+    """
+    arrived = W.partitionBy(key).orderBy(*order)
+    gone = F.coalesce(F.col(deleted), F.lit(False))
+    state = F.when(~gone, F.struct(F.col(value).alias("value")))
+    rows = changes.select(key, *order, F.unix_micros(F.col(stamp).cast("timestamp")).alias("_at"), state.alias("_state"))
+    rows = rows.withColumn("_was", F.lag("_state").over(arrived)).where(~F.col("_state").eqNullSafe(F.col("_was")))
+    upto = arrived.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_life", F.sum(F.col("_was").isNull().cast("int")).over(upto))
+    life = W.partitionBy(key, "_life").orderBy(*order)
+    rows = rows.withColumn("_nth", F.row_number().over(life))
+    opened = F.col("_nth") + F.max(F.col("_at") - F.col("_nth")).over(life.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_from", opened).withColumn("_to", F.lead(opened).over(life))
+    return rows.where("_state IS NOT NULL").select(key, F.col("_state.value").alias(value), F.timestamp_micros("_from").cast("timestamp_ntz").alias("valid_from"), F.timestamp_micros("_to").cast("timestamp_ntz").alias("valid_to"))

@@ -49,9 +49,9 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: Batch) -> Iterator[tuple]:
         cursor, page, seen = self.first, 0, set()
-        while cursor and cursor not in seen:
+        while cursor is not None and cursor is not False and cursor != "" and cursor not in seen:  # a number is a cursor too, and 0 is one
             seen.add(cursor)
-            body = self._page(self.url.replace("{ids}", quote(self.joint.join(partition.ids), safe="")).replace("{cursor}", quote(cursor, safe="")))
+            body = self._page(self.url.replace("{ids}", quote(self.joint.join(partition.ids), safe="")).replace("{cursor}", quote(str(cursor), safe="")))
             records = body.get(self.results) or []
             for n, record in enumerate(records):
                 yield partition.number, page, n, json.dumps(record)
