@@ -95,7 +95,7 @@ def cover_rank(text: Column, words: list[str], weight: float = 0.1) -> Column:
 
 #: The public English (Porter 2) stemmer's letter classes, suffixes, irregular words.
 _VOWEL = "[aeiouy]"
-_IRREGULAR = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+IRREGULAR_STEMS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
 _UNCHANGED = {"sky", "news", "howe", "atlas", "cosmos", "bias", "andes"}
 _UNCHANGED_1A = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
 _STEP2 = {
@@ -122,8 +122,8 @@ def stem_word(word: str) -> str:
     w = word.replace("’", "'").removeprefix("'")
     if len(w) <= 2 or w in _UNCHANGED:
         return w
-    if w in _IRREGULAR:
-        return _IRREGULAR[w]
+    if w in IRREGULAR_STEMS:
+        return IRREGULAR_STEMS[w]
     w = re.sub("^y|(?<=[aeiouy])y", "Y", w)
     r1, r2 = _regions(w)
     w = re.sub("('s'|'s|')$", "", w)

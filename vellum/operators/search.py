@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vellum.operators.ranking import cover_rank
 from vellum.operators.relational import string_tokens
 
 MAX_PARTS = 6
@@ -45,6 +46,52 @@ def matches(tokens: Column, query: dict) -> Column:
     return reduce((lambda a, b: a | b) if query["any"] else (lambda a, b: a & b), found) if found else F.lit(False)
 
 
+def possible(text: Column, query: dict) -> Column:
+    """Whether a text may match a query, by the characters of its words alone: far cheaper than tokens, and true for every match."""
+    low = F.lower(text)
+    parts = [reduce(lambda a, b: a & b, [low.contains(w) for w in (value if kind == "phrase" else [value])]) for kind, value in query["parts"]]
+    return reduce((lambda a, b: a | b) if query["any"] else (lambda a, b: a & b), parts) if parts else F.lit(False)
+
+
+def node_page(hits: DataFrame, nodes: DataFrame, library: DataFrame, words: list[str], most: int, user: str | None = None, token: str | None = None) -> DataFrame:
+    """(node, book, title, is_subbook, subbook_kind, parent_book, parent_title, rank, headline): a page of a search of nodes.
+
+    hits (node): what the query matches; nodes (node, book, text); library (book, title, visibility, listed, creator, creator_token). Nodes of public listed books
+    count, and of the reader's own that aren't deleted. The best by cover_rank come first, then the least ids. Parents of sub-books
+    (book names with a slash; kind highlight where the last part begins with HL_, else footnote) are looked up for the page alone.
+    """
+    books = library.where(_readable(user, token)).select("book", "title")
+    found = hits.select("node").join(nodes.select("node", "book", "text"), "node").join(books, "book")
+    rank = F.round(cover_rank(F.col("text"), words), 6)
+    page = found.withColumn("rank", rank).orderBy(F.desc("rank"), "node").limit(most)
+    sub = F.col("book").contains("/")
+    page = page.select(
+        "node", "book", "title", sub.alias("is_subbook"), F.when(F.col("book").rlike("HL_[^/]*$"), "highlight").otherwise("footnote").alias("subbook_kind"),
+        F.split_part("book", F.lit("/"), F.lit(1)).alias("parent_book"), "rank", headline(F.col("text"), words).alias("headline"),
+    )
+    parents = library.select(F.col("book").alias("_parent"), F.col("title").alias("parent_title"))
+    joined = page.join(parents, F.col("is_subbook") & (F.col("parent_book") == F.col("_parent")), "left")
+    return joined.select("node", "book", "title", "is_subbook", "subbook_kind", "parent_book", "parent_title", "rank", "headline")
+
+
+def _readable(user: str | None, token: str | None) -> Column:
+    """Public listed books, and the reader's own by name or token unless deleted; null is not readable."""
+    open_ = F.col("listed") & ~F.col("visibility").isin("private", "deleted")
+    own = F.lit(False)
+    if user is not None:
+        own = own | (F.col("creator") == user)
+    if token is not None:
+        own = own | (F.col("creator_token") == token)
+    return F.coalesce(open_, F.lit(False)) | F.coalesce(own & (F.col("visibility") != "deleted"), F.lit(False))
+
+
+def grouped_by_book(page: DataFrame) -> DataFrame:
+    """(book, title, best, hits): a page's rows by book, each book's hits an array of structs, the best first; books by their best hit."""
+    hit = F.struct((-F.col("rank")).alias("_less"), "node", "rank", "headline")
+    rows = page.groupBy("book", "title").agg(F.max("rank").alias("best"), F.sort_array(F.collect_list(hit)).alias("_hits"))
+    return rows.select("book", "title", "best", F.transform("_hits", lambda h: F.struct(h["node"].alias("node"), h["rank"].alias("rank"), h["headline"].alias("headline"))).alias("hits")).orderBy(F.desc("best"), "book")
+
+
 def weighted_rank(fields: dict[str, Column], words: list[str]) -> Column:
     """Sum over fields of weight times the share of words the field holds: an approximation of weighted text rank."""
     score = F.lit(0.0)

@@ -14,8 +14,9 @@ _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-
 def _searched(name, text, sql, any_=False):
     @query(name, f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS toks FROM documents) WHERE {sql}")
     def run(spark, d):
-        docs = T(spark, d, "documents").select("doc_id", R.string_tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-        return docs.where(S.matches(F.col("toks"), S.parse_query(text, any_))).select("doc_id")
+        parsed, body = S.parse_query(text, any_), F.coalesce(F.col("text"), F.lit(""))
+        docs = T(spark, d, "documents").select("doc_id", body.alias("text")).where(S.possible(F.col("text"), parsed))
+        return docs.where(S.matches(R.string_tokens(F.col("text")), parsed)).select("doc_id")
 
 
 _searched("node_search_and", "license versi", "list_contains(toks, 'license') AND len(list_filter(toks, lambda t: starts_with(t, 'versi'))) > 0")
