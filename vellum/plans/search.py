@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vellum.operators import search as S
 from vellum.operators.termindex import TermIndex
+from vellum.operators.vectors import VectorIndex, match_scores, widened
 from vellum.plans.registry import query
 from vellum.session import shared_dir, table as T
 
@@ -89,3 +90,57 @@ def search_stages(spark, d):
     index.build(T(spark, d, "documents").select("doc_id", "text"), "doc_id", F.col("text"), buckets=64)
     found = [index.cascade({"any": False, "parts": [("term", w)]}).select(F.lit(w).alias("query"), F.col("doc").alias("doc_id"), "stage") for w in ("licensing", "license")]
     return found[0].unionByName(found[1])
+
+
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+
+
+def _sim(a: str, b: str) -> str:
+    dot = lambda x, y: _DOT.format(a=x, b=y)
+    return f"({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
+
+
+#: A search of several thoughts: the sum of three vectors.
+_PROBE = "(SELECT list_transform(list_zip(a.embedding, b.embedding, c.embedding), lambda z: CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE) + CAST(z[3] AS DOUBLE)) AS embedding, b.label AS label FROM embeddings a, embeddings b, embeddings c WHERE a.vec_id = 0 AND b.vec_id = 3 AND c.vec_id = 6)"
+
+
+def _near(among: str, k: int) -> str:
+    return f"SELECT e.vec_id, 1 - {_sim('e.embedding', 'q.embedding')} AS distance FROM embeddings e, {_PROBE} q WHERE {among} ORDER BY distance, e.vec_id LIMIT {k}"
+
+
+def _probe(spark, d) -> tuple[list[float], int]:
+    """The sum of three vectors, and the label of the second."""
+    rows = {r.vec_id: r for r in T(spark, d, "embeddings").where(F.col("vec_id").isin(0, 3, 6)).collect()}
+    return [x + y + z for x, y, z in zip(rows[0].embedding, rows[3].embedding, rows[6].embedding, strict=True)], rows[3].label
+
+
+def _index(spark, d) -> VectorIndex:
+    index = VectorIndex(spark, f"{shared_dir(spark).rstrip('/')}/vellum-vectors-{uuid.uuid4().hex}")
+    index.build(T(spark, d, "embeddings"), "vec_id", "embedding", cells=32)
+    return index
+
+
+@query("semantic_page", f"""
+SELECT vec_id, round(1 - distance, 3) AS similarity, CAST(round(greatest(0, (1 - distance - 0.55) / 0.45) * 100) AS INT) AS match FROM ({_near("e.label % 3 <> 1", 20)}) WHERE distance <= 0.6""")
+def semantic_page(spark, d):
+    """The nearest vectors among visible labels, through the index: those near enough, with the share of the way from the floor."""
+    visible = T(spark, d, "embeddings").select("label").distinct().where("label % 3 <> 1")
+    found = _index(spark, d).nearest(_probe(spark, d)[0], 20, visible, "label")
+    return match_scores(found).select("vec_id", "similarity", "match")
+
+
+@query("semantic_nearest", f"SELECT vec_id, round(distance, 6) AS distance FROM ({_near('true', 50)})")
+def semantic_nearest(spark, d):
+    """The fifty nearest vectors, whatever their distance."""
+    return _index(spark, d).nearest(_probe(spark, d)[0], 50).select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("retrieval_widened", f"""
+WITH narrow AS (SELECT * FROM ({_near("e.label = q.label", 10)}) WHERE distance <= 0.6), wide AS (SELECT * FROM ({_near("true", 10)}) WHERE distance <= 0.6)
+SELECT vec_id, 'narrow' AS scope FROM narrow UNION ALL SELECT vec_id, 'wide' FROM wide WHERE (SELECT count(*) FROM narrow) < 3 AND vec_id NOT IN (SELECT vec_id FROM narrow)""")
+def retrieval_widened(spark, d):
+    """Nearest vectors of one label, an author's; as these are few, those of all."""
+    probe, label = _probe(spark, d)
+    index = _index(spark, d)
+    narrow, wide = (match_scores(index.nearest(probe, 10, where=w)).select("vec_id") for w in (F.col("label") == label, None))
+    return widened(narrow, wide, "vec_id")
