@@ -26,18 +26,18 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, limi
     return visited
 
 
-def harvest(edges: DataFrame, seeds: DataFrame, max_nodes: int = 5_000, limit: int = 10_000) -> DataFrame:
+def harvest(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None, limit: int = 10_000) -> DataFrame:
     """(node, depth, parent): a breadth-first network; a node found twice keeps its least depth, then its least parent.
 
-    Levels are taken whole while they fit into max_nodes; of the level that does not, the least nodes fill what is left and the
-    search ends. Seeds have depth 0 and no parent. Dangling and null ends are no nodes.
+    With max_nodes, levels are taken whole while they fit into it; of the level that does not, the least nodes fill what is left and the
+    search ends. Without, all that can be reached is. Seeds have depth 0 and no parent. Dangling and null ends are no nodes.
     """
     visited = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
     frontier, held = visited, visited.count()
     for depth in range(1, limit + 1):
         ahead = frontier.join(edges, F.col("node") == F.col("src")).where("dst IS NOT NULL").groupBy("dst").agg(F.min("src").alias("parent"))
         new = ahead.join(visited.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "parent")
-        frontier = cut(new.orderBy("node").limit(max(0, max_nodes - held)))
+        frontier = cut(new if max_nodes is None else new.orderBy("node").limit(max(0, max_nodes - held)))
         if not (found := frontier.count()):
             return visited
         held, visited = held + found, visited.unionByName(frontier)

@@ -215,12 +215,12 @@ def ibid_resolution(spark, d):
     return T(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") != "click", F.col("event_id")), True).over(w).alias("antecedent"))
 
 
-#: A work cites older ones only: its number is above theirs, so the graph has no cycles and SQL needs no bound of depth.
-_EDGES = "(SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey > l_partkey)"
+#: All references, cycles too: orders and parts share their numbers as books and works do.
+_EDGES = "(SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem)"
 
 
 def _edges(spark, d):
-    li = T(spark, d, "lineitem").where("l_orderkey > l_partkey")
+    li = T(spark, d, "lineitem")
     return li.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
 
 
@@ -229,7 +229,7 @@ def graph_edges(spark, d):
     return _edges(spark, d)
 
 
-_REACH = f"WITH RECURSIVE e AS MATERIALIZED {_EDGES}, seen(node, depth) AS (SELECT 1400::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM seen JOIN e ON e.src = seen.node)"
+_REACH = f"WITH RECURSIVE e AS MATERIALIZED {_EDGES}, seen(node, depth) USING KEY (node) AS (SELECT 1400::BIGINT, 0 UNION SELECT e.dst, min(depth) + 1 FROM seen JOIN e ON e.src = seen.node WHERE e.dst NOT IN (SELECT node FROM recurring.seen) GROUP BY e.dst)"
 
 
 @query("citation_reach", f"{_REACH} SELECT node, min(depth) AS depth FROM seen GROUP BY 1")

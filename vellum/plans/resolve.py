@@ -148,20 +148,21 @@ def page_signals(spark, d):
     return by.join(spread, "book").select("book", "pages", "resets", F.round(F.col("resets") / F.col("pages"), 6).alias("reset_ratio"), "widest")
 
 
-@query("connected_works", "SELECT p_partkey, p_brand, array_to_string(list(DISTINCT l_suppkey ORDER BY l_suppkey), ',') AS versions FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_orderkey > l_partkey GROUP BY 1, 2")
+@query("connected_works", "SELECT p_partkey, p_brand, array_to_string(list(DISTINCT l_suppkey ORDER BY l_suppkey), ',') AS versions FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2")
 def connected_works(spark, d):
     """Works with at least one edge, with their versions; a work has as many as suppliers."""
-    edges = T(spark, d, "lineitem").where("l_orderkey > l_partkey").select("l_partkey", "l_suppkey").distinct()
+    edges = T(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     versions = edges.groupBy("l_partkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l_suppkey")), lambda x: x.cast("string")), ",").alias("versions"))
     return T(spark, d, "part").join(versions, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "p_brand", "versions")
 
 
 @query("harvested_network", """
-WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_orderkey > l_partkey),
-seen(node, depth, parent) AS (SELECT 1400::BIGINT, 0, NULL::BIGINT UNION SELECT e.dst, depth + 1, e.src FROM seen JOIN e ON e.src = seen.node)
-SELECT node, min(depth) AS depth, arg_min(parent, (depth, coalesce(parent, 0))) AS parent FROM seen GROUP BY 1""")
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem),
+seen(node, depth, parent) USING KEY (node) AS (
+  SELECT 1400::BIGINT, 0, NULL::BIGINT UNION SELECT e.dst, min(depth) + 1, min(e.src) FROM seen JOIN e ON e.src = seen.node WHERE e.dst NOT IN (SELECT node FROM recurring.seen) GROUP BY e.dst)
+SELECT node, depth, parent FROM seen""")
 def harvested_network(spark, d):
-    edges = T(spark, d, "lineitem").where("l_orderkey > l_partkey").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    edges = T(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
     return graph.harvest(edges, spark.createDataFrame([(1400,)], "node long"))
 
 
