@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from vellum.operators import search as S
+from vellum.operators.passages import citation_page, claim_passages, library_page
 from vellum.operators.termindex import TermIndex
 from vellum.operators.vectors import VectorIndex, match_scores, widened
 from vellum.plans.registry import query
@@ -144,3 +145,72 @@ def retrieval_widened(spark, d):
     index = _index(spark, d)
     narrow, wide = (match_scores(index.nearest(probe, 10, where=w)).select("vec_id") for w in (F.col("label") == label, None))
     return widened(narrow, wide, "vec_id")
+
+
+def _rank_sql(name: str, rows: str) -> str:
+    """CTEs that rank rows (id, title, author) for "small" and a word that starts with "ri", both wanted."""
+    toks = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9_]+'), lambda x: x <> '')"
+    return f"""
+{name}_f AS (SELECT id, {toks('title')} AS a, {toks('author')} AS b FROM {rows}),
+{name}_e AS (SELECT id, unnest(list_concat(a, b)) AS w, unnest(range(1, len(a) + len(b) + 1)) AS pos, len(a) AS n_a FROM {name}_f),
+{name}_h AS (SELECT id, CASE WHEN w = 'small' THEN 'small' ELSE 'ri' END AS w, pos, CASE WHEN pos <= n_a THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS weight FROM {name}_e WHERE w = 'small' OR starts_with(w, 'ri')),
+{name} AS (SELECT x.id, round(1 - product(1 - sqrt(x.weight * y.weight / (1.005 + 0.05 * exp(abs(x.pos - y.pos) / 1.5 - 2)))), 6) AS rank FROM {name}_h x JOIN {name}_h y ON x.id = y.id AND x.w = 'small' AND y.w = 'ri' GROUP BY 1)"""
+
+
+_PARTS = "(SELECT p_partkey AS id, p_name AS title, p_type AS author, CASE WHEN p_size % 9 = 0 THEN 'sub_book' WHEN p_size % 11 <> 0 THEN 'book' END AS type, CASE WHEN p_size < 40 THEN 'public' ELSE 'private' END AS visibility, p_size % 4 <> 0 AS listed, p_brand AS creator FROM part)"
+
+
+@query("library_scopes", f"""
+WITH p AS {_PARTS}, {_rank_sql("r", "p")}, ok AS (SELECT p.*, rank FROM p JOIN r USING (id) WHERE visibility = 'public' AND type <> 'sub_book')
+""" + " UNION ALL ".join(f"SELECT '{name}' AS scope, * FROM (SELECT id AS book, title, author, rank FROM ok WHERE {where} ORDER BY rank DESC, id LIMIT 12)" for name, where in {"public": "listed", "mine": "creator = 'Brand#12'", "books": "id % 7 = 0"}.items()))
+def library_scopes(spark, d):
+    """One search in three scopes: public listed books, the reader's own, a shelf's."""
+    size = F.col("p_size")
+    library = T(spark, d, "part").select(
+        F.col("p_partkey").alias("book"), F.col("p_name").alias("title"), F.col("p_type").alias("author"), F.when(size % 9 == 0, "sub_book").when(size % 11 != 0, "book").alias("type"),
+        F.when(size < 40, "public").otherwise("private").alias("visibility"), (size % 4 != 0).alias("listed"), F.col("p_brand").alias("creator"),
+    )
+    shelf = library.where("book % 7 = 0").select("book")
+    pages = {"public": library_page(library, "small ri", 12), "mine": library_page(library, "small ri", 12, "mine", "Brand#12"), "books": library_page(library, "small ri", 12, "books", books=shelf)}
+    return reduce(DataFrame.unionByName, [page.select(F.lit(name).alias("scope"), "book", "title", "author", "rank") for name, page in pages.items()])
+
+
+_COLOURS, _THINGS = ["small", "red", "old"], ["ring", "rod", "rivet", "gear"]
+_ORDERS = f"(SELECT o_orderkey AS id, {_COLOURS!r}[o_orderkey % 3 + 1] || ' ' || {_THINGS!r}[o_orderkey % 4 + 1] AS title, o_orderpriority AS author, CASE WHEN o_orderkey % 13 = 0 THEN 'sub_book' END AS type, CASE WHEN o_orderstatus = 'P' THEN 'private' ELSE 'public' END AS visibility, o_orderkey % 5 <> 0 AS listed, CASE WHEN o_custkey % 10 = 0 THEN 'me' END AS creator, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS canonical_id FROM orders)"
+
+
+def _citation_sql(scope: str) -> str:
+    mine = {"public": "visibility = 'public' AND listed", "mine": "creator = 'me'", "shelf": "id % 50 = 2"}[scope]
+    works = "true" if scope == "public" else f"id IN (SELECT w FROM (SELECT id AS w, unnest(versions) AS v FROM work) JOIN (SELECT id AS v FROM book WHERE {mine}) USING (v)) OR id IN (SELECT canonical_id FROM book WHERE {mine} AND canonical_id IS NOT NULL)"
+    return f"""
+SELECT '{scope}' AS scope, * FROM (SELECT * FROM (
+  SELECT * FROM (SELECT 'canonical' AS row_type, CAST(w.id AS VARCHAR) AS id, w.title, w.author, CAST(w.best AS VARCHAR) AS best_version_book, w.best IS NOT NULL OR w.id IN (SELECT canonical_id FROM book WHERE canonical_id IS NOT NULL) AS has_version,
+    coalesce(b.visibility = 'private', false) AS is_private, w.rank FROM (SELECT * FROM (SELECT work.*, rank FROM work JOIN rw USING (id)) WHERE {works} ORDER BY rank DESC, id LIMIT 15) w LEFT JOIN book b ON b.id = w.best)
+  UNION ALL SELECT * FROM (SELECT 'library', CAST(id AS VARCHAR), title, author, CAST(id AS VARCHAR), true, visibility = 'private', rank FROM book JOIN rb USING (id) WHERE {mine} AND type IS DISTINCT FROM 'sub_book' AND {"true" if scope == "shelf" else "canonical_id IS NULL"} ORDER BY rank DESC, id LIMIT 15))
+ORDER BY rank DESC, row_type, id LIMIT 15)"""
+
+
+@query("citation_pages", f"""
+WITH work AS (SELECT *, list_filter(versions, lambda v: v IS NOT NULL)[1] AS best FROM (SELECT p_partkey AS id, p_name AS title, p_type AS author, [CASE WHEN p_size % 3 = 0 THEN p_partkey END, CASE WHEN p_size % 5 = 0 THEN p_partkey + 1 END] AS versions FROM part)),
+book AS {_ORDERS}, {_rank_sql("rw", "work")}, {_rank_sql("rb", "book")}
+""" + " UNION ALL ".join(map(_citation_sql, ("public", "mine", "shelf"))))
+def citation_pages(spark, d):
+    """Works and unlinked books for a citation, in three scopes."""
+    size, key, k = F.col("p_size"), F.col("p_partkey"), F.col("o_orderkey")
+    works = T(spark, d, "part").select(key.alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("author"), F.array(F.when(size % 3 == 0, key), F.when(size % 5 == 0, key + 1)).alias("versions"))
+    of = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (k % n + 1).cast("int"))
+    library = T(spark, d, "orders").select(
+        k.alias("book"), F.concat(of(_COLOURS, 3), F.lit(" "), of(_THINGS, 4)).alias("title"), F.col("o_orderpriority").alias("author"), F.when(k % 13 == 0, "sub_book").alias("type"), F.when(F.col("o_orderstatus") == "P", "private").otherwise("public").alias("visibility"),
+        (k % 5 != 0).alias("listed"), F.when(F.col("o_custkey") % 10 == 0, "me").alias("creator"), F.when(k % 4 == 0, F.col("o_custkey")).alias("canonical_id"),
+    )
+    shelf = library.where("book % 50 = 2").select("book")
+    pages = {s: citation_page(works, library, "small ri", 15, scope=s, creator="me", shelf=shelf) for s in ("public", "mine", "shelf")}
+    return reduce(DataFrame.unionByName, [page.withColumn("scope", F.lit(s)) for s, page in pages.items()])
+
+
+@query("claim_passages")
+def claims_borne_out(spark, d):
+    """The benchmark's texts as claims, each held against the documents of one source."""
+    claims = T(spark, d, "benchmark").select(F.col("item_id").alias("claim"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("book"), "text")
+    nodes = T(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("node"), "text")
+    return claim_passages(claims, nodes)
