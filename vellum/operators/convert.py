@@ -164,3 +164,10 @@ def text_pieces(text: str | None, ceiling: int) -> list[str]:
 def split_text(text: Column, ceiling: int) -> Column:
     """text_pieces() as an array; null texts have none."""
     return F.udf(lambda x: text_pieces(x, ceiling), "array<string>", useArrow=True)(text)
+
+
+def inverted_text(index: Column) -> Column:
+    """The text of an inverted index, a JSON object of words with their positions: the words in order of position, one space between. Null, and what is no such object, is null."""
+    entries = F.map_entries(F.from_json(index, "map<string, array<int>>"))
+    placed = F.flatten(F.transform(entries, lambda e: F.transform(F.coalesce(e["value"], F.array().cast("array<int>")), lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " ")
