@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import notes
 from vellum.plans.registry import query
-from vellum.session import table as T
+from vellum.session import table as T, written
 
 _TAG = "CASE WHEN l_linenumber = 1 AND l_partkey % 4 = 0 THEN 'h2' WHEN l_linenumber > 3 AND l_suppkey % 11 = 0 THEN 'hr' ELSE 'p' END"
 _TEXT = """CASE WHEN l_linenumber = 1 AND l_partkey % 4 = 0 THEN (CASE l_suppkey % 3 WHEN 0 THEN 'Notes' WHEN 1 THEN 'Further reading' ELSE 'Chapter' END) WHEN l_linenumber > 3 AND l_suppkey % 11 = 0 THEN ''
@@ -57,7 +57,7 @@ def note_strategies(spark, d):
 
 
 def _linked(spark, d):
-    blocks = notes.sectioned(_blocks(spark, d), "doc")
+    blocks = written(notes.sectioned(_blocks(spark, d), "doc"), "note-blocks")  # once for definitions and markers
     defs = notes.definitions(blocks, "doc")
     body = blocks.where(~F.col("definition") & (F.col("kind") == "block"))
     return defs, notes.markers(body.where("reference"), "doc")
