@@ -212,8 +212,9 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Ids are those of ranks and pattern for the whole text, without special tokens. path: a rank file readable on every executor. Null
     texts are empty and have no ids; ids may be null or repeated; an empty table gives no rows; extra columns are not read.
-    Memory is a piece's, two million characters or the longest document, with the words of a block of 32 million, and in the
-    word shuffle the distinct words of one of the session's shuffle partitions.
+    With digests, memory is a piece's, two million characters or the longest document, with the words of a block of 32 million, and in the
+    word shuffle the distinct words of one of the session's shuffle partitions; without, the ids and texts of a block are held too. Words are numbered in the
+    order in which a partition is read: docs must be a table as written, or made by steps that give the same rows in the same order when a lost partition is made anew.
     """
     path, spark = path or public_tokenizers.path(RANKS), docs.sparkSession
     parts = shuffle_width(spark)
