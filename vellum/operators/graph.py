@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.session import cut
 
@@ -69,3 +69,67 @@ def focus_network(edges: DataFrame, seed: DataFrame, max_depth: int | None = Non
     inside = cut(near.union(touching).distinct())
     a, b = inside.withColumnRenamed("node", "src"), inside.withColumnRenamed("node", "dst")
     return edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst")
+
+
+#: The widths of a layout, how high a degree lifts a node, how far an undated node strays from its neighbours, and the steps of a year axis.
+X_SPAN, Y_GAIN, Z_SPAN, STRAY, STEPS = 160.0, 16.0, 90.0, 4.0, (1, 2, 5, 10)
+
+
+def layers(bibliography: DataFrame, footnotes: DataFrame, hypercites: DataFrame, library: DataFrame) -> DataFrame:
+    """(source, target, kind): the edges of three layers between works, each once, without loops.
+
+    library (book, canonical_id): a book stands for its work, or for itself without one; books it lacks are no nodes. bibliography (book, canonical_id,
+    foundation, verified) gives citation_verified or citation_auto to its work, else to that of its foundation; footnotes (book, is_citation, foundation)
+    that are citations give citation_auto; hypercites (book, cited_in: array of addresses such as /book_1/2#id) give hypercite to the books of
+    their addresses. Sub-books, whose names go on after a slash, stand for the book they are of.
+    """
+    nodes = library.select("book", F.coalesce(F.nullif("canonical_id", F.lit("")), F.col("book")).alias("node"))
+    root = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
+
+    def of(df: DataFrame, book: str, name: str) -> DataFrame:
+        return df.join(nodes.select(F.col("book").alias(book), F.col("node").alias(name)), book, "left")
+
+    def cited(df: DataFrame) -> DataFrame:
+        return of(of(df.withColumn("_root", root(F.col("book"))), "_root", "source"), "foundation", "_stub")
+
+    listed = cited(bibliography).select("source", F.coalesce(F.nullif("canonical_id", F.lit("")), F.col("_stub")).alias("target"), F.when(F.coalesce("verified", F.lit(False)), "citation_verified").otherwise("citation_auto").alias("kind"))
+    noted = cited(footnotes.where("is_citation")).select("source", F.col("_stub").alias("target"), F.lit("citation_auto").alias("kind"))
+    addresses = hypercites.select(root(F.col("book")).alias("_root"), F.explode("cited_in").alias("_url"))
+    path = F.regexp_replace(F.regexp_replace("_url", r"[?#].*$", ""), r"^(?:[a-z]+://[^/]*)?/*", "")
+    linked = of(of(addresses.withColumn("_to", root(path)), "_root", "source"), "_to", "target").select("source", "target", F.lit("hypercite").alias("kind"))
+    return listed.unionByName(noted).unionByName(linked).where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct()
+
+
+def id_hash(name: Column) -> Column:
+    """A name as a number of -1 to 1: 31 times the number so far and each character's code, as 32 bits with a sign, by its last three digits."""
+    codes = F.transform(F.split(name, ""), lambda c: F.ascii(c).cast("long"))
+    folded = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.shiftright(F.shiftleft(h * 31 + c, 32), 32))
+    return (folded % 1000) / 1000.0
+
+
+def layout(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, x, y, z): nodes (node: string, year) of a graph (source, target) in space, the same each time.
+
+    x goes by year over the span of years; a node without one has the mean of its dated neighbours, an edge a count, a little off, or by its name alone; y by the
+    logarithm of its edges; z by its name. A self-loop counts twice, edges of unknown nodes count for those that are known.
+    """
+    span = nodes.agg(F.min("year").alias("_low"), F.max("year").alias("_high"))
+    dated = nodes.where("year IS NOT NULL").join(F.broadcast(span)).select("node", F.when(F.col("_high") == F.col("_low"), 0.0).otherwise((F.col("year") - F.col("_low")) / (F.col("_high") - F.col("_low")) * X_SPAN - X_SPAN / 2).alias("_x"))
+    ends = edges.select(F.col("source").alias("node"), F.col("target").alias("_other")).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("_other")))
+    around = ends.join(dated.select(F.col("node").alias("_other"), F.col("_x").alias("_ox")), "_other", "left").groupBy("node").agg(F.count("*").alias("_degree"), F.avg("_ox").alias("_mean"))
+    both = nodes.select("node").join(dated, "node", "left").join(around, "node", "left")
+    name = id_hash(F.col("node"))
+    x = F.coalesce(F.col("_x"), F.col("_mean") + name * STRAY, name * (X_SPAN / 4))
+    return both.select("node", x.alias("x"), (F.log2(1 + F.coalesce("_degree", F.lit(0))) * Y_GAIN).alias("y"), (name * (Z_SPAN / 2)).alias("z"))
+
+
+def year_axis(nodes: DataFrame, target: int = 8) -> DataFrame:
+    """(year, x): about target ticks at multiples of 1, 2, 5 or 10 times a power of ten; none for fewer than two different years."""
+    span = nodes.agg(F.min("year").alias("low"), F.max("year").alias("high")).where("high > low").withColumn("span", F.col("high") - F.col("low"))
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.col("span") / target)))
+    step = F.coalesce(*[F.when(F.col("span") / (power * m) <= target, power * m) for m in STEPS], power * 10)
+    ticks = span.withColumn("step", step).withColumn("first", F.ceil(F.col("low") / F.col("step")) * F.col("step"))
+    count = F.floor((F.col("high") - F.col("first")) / F.col("step"))
+    each = ticks.where("first <= high").select("low", "span", "first", "step", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("k"))
+    year = F.col("first") + F.col("k") * F.col("step")
+    return each.select(year.alias("year"), ((year - F.col("low")) / F.col("span") * X_SPAN - X_SPAN / 2).alias("x"))

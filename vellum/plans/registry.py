@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # The modules below register their queries when they are imported.
-from vellum.plans import citations, core, corpus, more, notes, ranking, resolve, scans, search, signals, works  # noqa: E402, F401
+from vellum.plans import citations, core, corpus, more, network, notes, ranking, resolve, scans, search, signals, works  # noqa: E402, F401
