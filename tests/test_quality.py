@@ -112,3 +112,16 @@ def test_stems_of_all_documents_equal_a_count(spark, sf):
                 want[r.doc_id, ranking.stem_word(w)] += 1
     got = {(r.doc_id, r.stem): r.n for r in registry.queries()["stemmed_terms"](spark, sf).collect()}
     assert got == dict(want)
+
+
+def test_json_documents(spark):
+    from vellum.functions import documents as D
+
+    rows = ['{"a": 1, "b": [1, 2], "c": {"d": null}, "e": "x", "f": true, "g": 1.5}', "[1]", '"s"', "no json", None, "null"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k long, t string")
+    whole = {r.k: r.v for r in df.select("k", D.json_typeof(F.col("t")).alias("v")).collect()}
+    assert [whole[k] for k in range(6)] == ["object", "array", "string", None, None, "null"]
+    first = df.where("k = 0")
+    assert [first.select(D.json_typeof(F.col("t"), f"$.{p}")).first()[0] for p in ("a", "b", "c", "c.d", "e", "f", "g", "z")] == ["number", "array", "object", "null", "string", "boolean", "number", None]
+    put = {r.k: r.v for r in df.select("k", D.json_set(F.col("t"), "a", F.lit('{"n": 2}')).alias("v")).collect()}
+    assert put[0] == '{"a":{"n":2},"b":[1,2],"c":{"d":null},"e":"x","f":true,"g":1.5}' and [put[k] for k in range(1, 6)] == [None] * 5

@@ -3,6 +3,7 @@
 import random
 import re
 
+from vellum.functions import identifiers as I
 from vellum.operators import linkage as L, resolution as R
 
 WORDS = "river stone lamp carries between morning house order theory of the and".split()
@@ -20,7 +21,7 @@ def test_identifiers(spark):
     df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k long, t string")
     from pyspark.sql import functions as F
 
-    got = {r.k: (r.d, r.i, r.a) for r in df.select("k", R.doi(F.col("t")).alias("d"), R.isbn(F.col("t")).alias("i"), R.arxiv(F.col("t")).alias("a")).collect()}
+    got = {r.k: (r.d, r.i, r.a) for r in df.select("k", I.doi(F.col("t")).alias("d"), I.isbn(F.col("t")).alias("i"), I.arxiv(F.col("t")).alias("a")).collect()}
     for k, c in enumerate(cases):
         assert got[k] == tuple(c[1:]), c
 

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from vellum.operators import convert, quality as Q, resolution as R
+from vellum.functions import documents as D, identifiers as R
+from vellum.operators import convert, quality as Q, resolution
 from vellum.plans.registry import query
 from vellum.session import table as T
 
@@ -121,4 +122,14 @@ def resolved_entries(spark, d):
         F.when(k % 2 == 0, F.concat(F.lit("doi:"), "_d")).alias("text"), F.when(k % 31 == 0, F.col("work")).alias("linked"),
     )
     cited = rows.where("o_orderstatus = 'P'").select(c.alias("parent"), "work").distinct()
-    return R.resolve_entries(entries, parts, cited).resolved
+    return resolution.resolve_entries(entries, parts, cited).resolved
+
+
+@query("json_documents", """
+SELECT event_id, lower(json_type(props)) AS whole, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE lower(json_type(props, '$.k')) END AS k, CAST(json_array_length('[' || event_id || ',' || user_id || ',"' || event_type || '"]') AS INT) AS n,
+  CAST(json_merge_patch(props, '{"seen":' || CASE WHEN user_id % 2 = 0 THEN 'true' ELSE '"no"' END || '}') AS VARCHAR) AS marked FROM events""")
+def json_documents(spark, d):
+    """Types within documents, lengths of arrays, and a key set in each document."""
+    props, seen = F.col("props"), F.when(F.col("user_id") % 2 == 0, "true").otherwise('"no"')
+    listed = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(","), F.col("user_id").cast("string"), F.lit(',"'), "event_type", F.lit('"]'))
+    return T(spark, d, "events").select("event_id", D.json_typeof(props).alias("whole"), D.json_typeof(props, "$.k").alias("k"), F.json_array_length(listed).alias("n"), D.json_set(props, "seen", seen).alias("marked"))
