@@ -308,7 +308,14 @@ def stale_write_rejection(spark, d):
     return T(spark, d, "events").select("event_id", (F.col("ts") <= F.coalesce(before, F.col("ts") - F.expr("INTERVAL 1 SECOND"))).alias("rejected"))
 
 
-@query("html_blocks")
+#: On these tables blocks are list items, headings, paragraphs, divisions and the footer; links, bold, breaks and comments lie within them.
+@query("html_blocks", r"""
+WITH b AS (SELECT page_id AS book, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*?<body>', '<body>'), '(?s)<!--.*?-->', '', 'g'), '<br>', ' ', 'g'), '</?(a|b)( [^>]*)?>', '', 'g') AS body FROM pages),
+p AS (SELECT book, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS ix FROM (SELECT book, regexp_extract_all(body, '<[^>]*>[^<]*') AS pieces FROM b)),
+t AS (SELECT book, ix, CASE WHEN starts_with(piece, '<li>') THEN 'li' WHEN starts_with(piece, '<h1>') THEN 'h1' ELSE 'p' END AS type,
+  trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(piece, '^<[^>]*>', ''), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS plain FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY ix) AS line FROM t WHERE plain <> '')
+SELECT book, line, (line - 1) // 50 AS chunk, book || '_n' || line AS node_id, type, plain FROM n""")
 def html_blocks(spark, d):
     return convert.page_nodes(T(spark, d, "pages"))
 
