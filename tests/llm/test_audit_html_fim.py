@@ -109,6 +109,8 @@ PAGES = {
     "<article>a < b and c > d <3</article>": "a < b and c > d <3",
     "<article><p title='a>b' data-x=it's>it's</p><p title=\"<i>\">c</p></article>": "it's c",
     "<article><header><h2>T</h2></header><p>x</p></article><header>site</header>": "T x",
+    "<article><div class='entry-header'><h2>T</h2></div><section id='discussion'>d</section><section id='related-work'>r</section><div class='related-posts'>no</div><ins class='adsbygoogle'>no</ins></article>": "T d r",
+    "<div class='site-header'>no</div><div class='post'><header class='post-header'><h1>T</h1></header><p>body of it</p><p class='notice'>no<p>more</div>": "T body of it more",
     "<article>" + "<div>" * 3000 + "deep" + "</div>" * 2000 + "</article>": "deep",
     f"<div id='menu'><a href=a>A</a> <a href=b>B</a></div><div class='txt'>{BODY}<div class='ad-box'>buy</div><p>Short.</p></div><div>© 2020</div><div>x</div>": "Title The first paragraph, long enough that a window of lines surges above all else on the page. Short. © 2020 x",
     f"<body class='has-sidebar'><div class='cookie-notice'>We use cookies, and say so at such a length that this line alone would surge, as it should not.</div><div class='post-content'>{BODY}<p>End.</p></div><div class='comments'>No!</div></body>": "Title The first paragraph, long enough that a window of lines surges above all else on the page. End.",

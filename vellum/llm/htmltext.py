@@ -38,13 +38,16 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 _BOXES = {"article", "body", "center", "div", "main", "section", "td"}
 #: Words of classes and ids that name chrome, and classes that only say what a page has.
 _NAMES = set(
-    """ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promoted promotion
+    """ad ads adsbygoogle adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promoted promotion
     sidebar rail nav navbar navigation menu submenu breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr
     notice notices notification alert popup modal overlay newsletter subscribe signup login share sharing social comment comments
-    discussion disqus respond reply replies related recommended recommendations widget widgets toolbar pagination pager search copyright""".split()
+    disqus respond reply replies related recommended recommendations widget widgets toolbar pagination pager search copyright""".split()
 )
+#: With these beside them the names above mean parts of an article; within an article a header is its own.
+_PARTS = {"work", "works", "informed", "strategy"}
+_HEADERS = {"header", "masthead", "banner"}
 _STATES = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|is|layout|js)[-_]\S*")
-_REMARKS = {"comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "related", "recommended", "sponsored", "promo", "promoted", "ad", "advert", "teaser"}
+_REMARKS = {"comment", "comments", "reply", "replies", "disqus", "respond", "related", "recommended", "sponsored", "promo", "promoted", "ad", "advert", "teaser"}
 _HOLDERS = {"content", "article", "main", "post", "entry", "story", "maincontent", "articlebody", "articlecontent", "postcontent", "postbody", "entrycontent", "storybody", "pagecontent", "articletext"}
 
 
@@ -82,7 +85,8 @@ def _role(name: str, attributes: str, within: bool) -> tuple[bool, int]:
         return True, 0
     if have.get("itemprop") == "articleBody" or any(re.sub(r"[-_]", "", c).lower() in _HOLDERS for c in called.split()):
         return False, 1
-    return bool(words & _NAMES) and not (name == "header" and within), 0
+    names = _NAMES - _HEADERS if within else _NAMES
+    return bool(words & names) and not words & _PARTS, 0
 
 
 def page_lines(page: str, window: int = WINDOW) -> _Page:
@@ -142,7 +146,7 @@ def page_lines(page: str, window: int = WINDOW) -> _Page:
                 pop(stack[-1][0])
         if name in _VOID:
             continue
-        hidden, kind = _role(name, m[4], any(out.kinds[h] > 1 for h in holders)) if not chrome or name == "main" else (False, 0)
+        hidden, kind = _role(name, m[4], bool(holders)) if not chrome or name == "main" else (False, 0)
         if block or hidden or (chrome and opened[name]):
             stack.append((name, chrome, holders, box))
             opened[name] += 1
