@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from vellum.functions import documents as D, identifiers as R
-from vellum.operators import convert, quality as Q, resolution
+from vellum.operators import convert, copies, quality as Q, resolution
 from vellum.plans.registry import query
 from vellum.session import table as T
 
@@ -133,3 +133,41 @@ def json_documents(spark, d):
     props, seen = F.col("props"), F.when(F.col("user_id") % 2 == 0, "true").otherwise('"no"')
     listed = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(","), F.col("user_id").cast("string"), F.lit(',"'), "event_type", F.lit('"]'))
     return T(spark, d, "events").select("event_id", D.json_typeof(props).alias("whole"), D.json_typeof(props, "$.k").alias("k"), F.json_array_length(listed).alias("n"), D.json_set(props, "seen", seen).alias("marked"))
+
+
+@query("open_copies", """
+WITH l AS (SELECT p_partkey AS work, 0 AS n, 'https://arxiv.org/pdf/' || p_size AS pdf, 'https://www.jstor.org/stable/' || p_size || '/' AS landing, NULL AS host_type, 'publishedVersion' AS version, CASE WHEN p_size % 2 = 0 THEN 'CC-BY' END AS license FROM part
+UNION ALL SELECT p_partkey, 1, CASE WHEN p_size % 3 = 0 THEN 'https://www.jstor.org/stable/' || p_size || '?download=1' ELSE 'https://files.example.net/' || p_brand END, CASE WHEN p_size % 5 > 0 THEN 'https://library.example.edu/x' ELSE '' END, CASE WHEN p_size % 4 = 0 THEN 'journal' END, CASE WHEN p_size % 7 > 2 THEN 'acceptedVersion' END, 'other-oa' FROM part
+UNION ALL SELECT p_partkey, 2, NULL, 'no address', 'repository', 'submittedVersion', 'pd' FROM part),
+c AS (SELECT work, n, 0 AS k, 'pdf' AS kind, pdf AS url, host_type, version, license FROM l UNION ALL SELECT work, n, 1, 'landing', landing, host_type, version, license FROM l),
+h AS (SELECT *, CASE WHEN contains(url, '://') THEN split_part(split_part(url, '://', 2), '/', 1) ELSE '' END AS host, CASE WHEN contains(url, '://') THEN rtrim(split_part(split_part(url, '://', 2), '?', 1), '/') ELSE '' END AS key FROM c WHERE url IS NOT NULL AND url <> ''),
+f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY work, key ORDER BY n, k) = 1),
+s AS (SELECT *, CASE WHEN host = '' THEN 'unknown' WHEN host_type = 'repository' THEN 'repository' WHEN contains(host, 'jstor.org') THEN 'publisher' WHEN host = 'arxiv.org' OR contains(host, '.edu') THEN 'repository' WHEN host_type = 'journal' THEN 'publisher' ELSE 'unknown' END AS host_class FROM f),
+p AS (SELECT *, CASE host_class WHEN 'repository' THEN 200 WHEN 'unknown' THEN 100 ELSE 0 END + CASE kind WHEN 'pdf' THEN 10 ELSE 0 END + CASE version WHEN 'publishedVersion' THEN 6 WHEN 'acceptedVersion' THEN 4 WHEN 'submittedVersion' THEN 1 ELSE 2 END + CASE WHEN license IN ('CC-BY', 'pd') THEN 3 WHEN license IS NULL THEN 0 ELSE 1 END AS score FROM s)
+SELECT work, CAST(row_number() OVER (PARTITION BY work ORDER BY score DESC, n, k) AS INT) AS place, url, kind, host, host_class, score FROM p""")
+def open_copies(spark, d):
+    """Copies of each part from three sources, the same address among them in two forms."""
+    size, lit = F.col("p_size"), F.lit
+    s = lambda c: c.cast("string")
+    none = lit(None).cast("string")
+    rows = [
+        (F.concat(lit("https://arxiv.org/pdf/"), s(size)), F.concat(lit("https://www.jstor.org/stable/"), s(size), lit("/")), none, lit("publishedVersion"), F.when(size % 2 == 0, "CC-BY")),
+        (F.when(size % 3 == 0, F.concat(lit("https://www.jstor.org/stable/"), s(size), lit("?download=1"))).otherwise(F.concat(lit("https://files.example.net/"), "p_brand")), F.when(size % 5 > 0, "https://library.example.edu/x").otherwise(""), F.when(size % 4 == 0, "journal"), F.when(size % 7 > 2, "acceptedVersion"), lit("other-oa")),
+        (none, lit("no address"), lit("repository"), lit("submittedVersion"), lit("pd")),
+    ]
+    names = ("pdf_url", "landing_page_url", "host_type", "version", "license")
+    each = F.posexplode(F.array(*[F.struct(*[c.cast("string").alias(k) for k, c in zip(names, r, strict=True)]) for r in rows])).alias("n", "l")
+    return copies.ranked_copies(T(spark, d, "part").select(F.col("p_partkey").alias("work"), each).select("work", "n", "l.*"))
+
+
+@query("body_verdicts", r"""
+WITH b AS (SELECT doc_id, trim(regexp_replace(line, '\s+', ' ', 'g')) AS t FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+c AS (SELECT doc_id, length(t) AS size, length(t) >= 200 AND NOT regexp_matches(t, '(?i)(\{[^}]*[\w-]+\s*:\s*[^};]+;)|(\bfunction\s*\()|(\bwindow\.)|(\bdocument\.)|(\bvar\s+\w+\s*=)|(dataLayer)|(@media\b)|(!important)') AND NOT regexp_matches(t, '^\s*\[?\d{0,3}\]?\s*[A-Z][A-Za-z''’-]+,\s+[A-Z]\.')
+  AND NOT regexp_matches(t, '(?i)\bdoi:\s*10\.|https?://doi\.org/10\.') AND NOT regexp_matches(t, '(?i)\bRetrieved from\s+https?:') AS counts FROM b),
+g AS (SELECT doc_id, count(*) FILTER (WHERE counts AND size >= 400) AS prose_blocks, CAST(coalesce(sum(size) FILTER (WHERE counts), 0) AS BIGINT) AS prose_chars FROM c GROUP BY 1)
+SELECT 'scholarly' AS profile, *, CASE WHEN prose_blocks < 5 AND prose_chars < 10000 THEN 'absent' ELSE 'present' END AS verdict FROM g UNION ALL SELECT 'web', *, CASE WHEN prose_blocks < 2 AND prose_chars < 1500 THEN 'absent' ELSE 'present' END FROM g""")
+def body_verdicts(spark, d):
+    """Whether documents, of lines as blocks, have their body, by both profiles."""
+    lines = T(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    of = lambda p: copies.body_verdict(lines, "doc_id", "line", p).withColumn("profile", F.lit(p))
+    return of("scholarly").unionByName(of("web"))
