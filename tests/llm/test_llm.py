@@ -528,7 +528,8 @@ def test_queries_equal_their_sql(spark):
 
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet')")
+    for table in ("documents", "labels", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{d}/{table}.parquet')")
     for name, sql in SQL.items():
         want = con.execute(sql)
         columns = [c[0] for c in want.description]
