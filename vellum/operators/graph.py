@@ -7,12 +7,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vellum.session import cut
 
 
+def _once(edges: DataFrame) -> DataFrame:
+    """Distinct edges with both ends, cut, so that no level makes them anew."""
+    return cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, limit: int = 10_000) -> DataFrame:
     """(node, depth): least number of steps from any seed along src -> dst; cycles are fine, seeds have depth 0.
 
-    Every level joins the frontier with the edges and leaves out what was visited; each is cut by a checkpoint. Without
+    Every level joins the frontier with the edges, which are read and made distinct once, and leaves out what was visited; each is cut by a checkpoint. Without
     max_depth the search goes on until nothing new is found, and a graph deeper than limit is an error, not a part of it.
     """
+    edges = _once(edges)
     visited = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for depth in range(1, (max_depth or limit) + 1):
@@ -32,6 +38,7 @@ def harvest(edges: DataFrame, seeds: DataFrame, max_nodes: int | None = None, li
     With max_nodes, levels are taken whole while they fit into it; of the level that does not, the least nodes fill what is left and the
     search ends. Without, all that can be reached is. Seeds have depth 0 and no parent. Dangling and null ends are no nodes.
     """
+    edges = _once(edges)
     visited = cut(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
     frontier, held = visited, visited.count()
     for depth in range(1, limit + 1):
