@@ -194,11 +194,12 @@ def body_presence(spark, d):
 
 @query("stale_span_pruning", "SELECT e.event_id, count(*) AS kept FROM (SELECT event_id, unnest([0, CAST(value * 10 AS BIGINT), CAST(value * 40 AS BIGINT)]) AS s FROM events) e JOIN documents d ON d.doc_id = e.event_id WHERE s < d.n_chars GROUP BY 1")
 def stale_span_pruning(spark, d):
-    starts = F.map_from_arrays(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit(0).cast("long"), F.round(F.col("value") * 10).cast("long"), F.round(F.col("value") * 40).cast("long")))
+    """Spans that begin within their document. Halves round to the even number, as the SQL's casts do; rows of one event count together."""
+    starts = F.map_from_arrays(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit(0).cast("long"), F.rint(F.col("value") * 10).cast("long"), F.rint(F.col("value") * 40).cast("long")))
     spans = T(spark, d, "events").select("event_id", starts.alias("spans"))
     joined = spans.join(T(spark, d, "documents").select("doc_id", "n_chars"), F.col("event_id") == F.col("doc_id"))
     pruned = joined.select("event_id", F.map_filter("spans", lambda k, v: v < F.col("n_chars")).alias("spans"))
-    return pruned.select("event_id", F.size("spans").cast("long").alias("kept")).where("kept > 0")
+    return pruned.groupBy("event_id").agg(F.sum(F.size("spans")).alias("kept")).where("kept > 0")
 
 
 @query("best_open_copy", "SELECT p_partkey, url FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, pos) AS rn FROM (SELECT p_partkey, 'http://a/' || p_size AS url, CASE WHEN p_type = 'PROMO' THEN 200 ELSE 100 END AS score, 0 AS pos FROM part UNION ALL SELECT p_partkey, 'http://b/' || p_brand, CASE WHEN p_size > 25 THEN 210 ELSE 10 END, 1 FROM part)) WHERE rn = 1")
