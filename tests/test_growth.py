@@ -42,3 +42,12 @@ def test_halves_round_to_even_and_rows_of_an_event_count_together(spark, tmp_pat
     d = tables(tmp_path, events="SELECT unnest([1, 2, 2, 3, 4])::BIGINT AS event_id, unnest([0.25, 0.35, 0.05, NULL, 9]) :: DOUBLE AS value", documents="SELECT i AS doc_id, 3::BIGINT AS n_chars FROM range(4) t(i)")
     got = registry.queries()["stale_span_pruning"](spark, d)
     assert Counter(tuple(r) for r in got.collect()) == rows_by_sql(d, "stale_span_pruning") == Counter([(1, 2), (2, 4), (3, 1)])
+
+
+def test_pointers_meet_a_row_for_each_key(spark, tmp_path):
+    customers = "SELECT i * 50 + 1 AS c_custkey, 3 AS c_nationkey FROM range(60) t(i) UNION ALL SELECT 2, 3 UNION ALL SELECT 4, 3 UNION ALL SELECT 4, 5"
+    parts = "SELECT i AS p_partkey, 'Brand#3' AS p_brand, 1 AS p_size FROM range(60) t(i) UNION ALL SELECT 100, 'Brand#3', 2 UNION ALL SELECT 101, 'Brand#3', 4 UNION ALL SELECT 102, 'Brand#5', 4"
+    d = tables(tmp_path, customer=customers, part=parts)
+    df = registry.queries()["pointer_unique_match"](spark, d)
+    assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(d, "pointer_unique_match") == Counter([(2, 100)])
+    assert joined_rows(df) <= 63

@@ -152,8 +152,9 @@ def year_gap_reject(spark, d):
 @query("pointer_unique_match", "SELECT c_custkey, p_partkey FROM (SELECT c_custkey, p_partkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer JOIN part ON p_brand = 'Brand#' || c_nationkey AND p_size = c_custkey % 50) WHERE n = 1")
 def pointer_unique_match(spark, d):
     c = T(spark, d, "customer").select("c_custkey", F.concat(F.lit("Brand#"), F.col("c_nationkey").cast("string")).alias("p_brand"), (F.col("c_custkey") % 50).alias("p_size"))
-    n = F.count("*").over(W.partitionBy("c_custkey"))
-    return c.join(T(spark, d, "part"), ["p_brand", "p_size"]).select("c_custkey", "p_partkey", n.alias("n")).where("n = 1").drop("n")
+    parts = T(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"), F.min("p_partkey").alias("p_partkey"))  # a row for each key that customers meet
+    met = c.join(parts, ["p_brand", "p_size"]).groupBy("c_custkey").agg(F.sum("n").alias("n"), F.min("p_partkey").alias("p_partkey"))
+    return met.where("n = 1").select("c_custkey", "p_partkey")
 
 
 @query("match_waves", """
