@@ -51,3 +51,11 @@ def test_pointers_meet_a_row_for_each_key(spark, tmp_path):
     df = registry.queries()["pointer_unique_match"](spark, d)
     assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(d, "pointer_unique_match") == Counter([(2, 100)])
     assert joined_rows(df) <= 63
+
+
+def test_citations_meet_one_reference_for_each_key(spark, tmp_path):
+    d = tables(tmp_path, supplier="SELECT i * 200 AS s_suppkey, 'S' AS s_name FROM range(60) t(i)", customer="SELECT i * 200 AS c_custkey FROM range(1, 60) t(i)")
+    df = registry.queries()["linked_citations"](spark, d)
+    got = {(r.c_custkey, r.s_suppkey, r.offset) for r in df.collect()}
+    assert got == {(i * 200, 0, -1) for i in range(1, 60)}
+    assert joined_rows(df) <= 59 * 7

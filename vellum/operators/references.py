@@ -166,8 +166,9 @@ def link_citations(citations: DataFrame, references: DataFrame, citation_id: str
     asked = keyed(citations.select(F.col(citation_id).alias("_c"), *scoped, F.col(citation).alias("_t")), F.col("_t")).select("_c", "_scope", F.col("rank").alias("_first"), "key")
     tried = _near(asked, F.lit(False))
     known = keyed(references.select(F.col(reference_id).alias("_r"), *scoped, F.col(reference).alias("_t")), F.col("_t")).select("_r", "_scope", F.col("rank").alias("_second"), "key")
-    met = tried.join(known, ["_scope", "key"]).groupBy("_c").agg(F.min(F.struct("step", "_first", "_second", "_r", "offset")).alias("best"))
-    return met.select(F.col("_c").alias(citation_id), F.col("best._r").alias(reference_id), F.col("best.offset").alias("offset"))
+    known = known.groupBy("_scope", "key").agg(F.min(F.struct("_second", "_r")).alias("_known"))  # of references that share a key only the first can win
+    met = tried.join(known, ["_scope", "key"]).groupBy("_c").agg(F.min(F.struct("step", "_first", "_known", "offset")).alias("best"))
+    return met.select(F.col("_c").alias(citation_id), F.col("best._known._r").alias(reference_id), F.col("best.offset").alias("offset"))
 
 
 _YEAR = re.compile(r"(?<!\d)\d{4}[a-z]?(?![\d\w])")
