@@ -59,3 +59,31 @@ def test_citations_meet_one_reference_for_each_key(spark, tmp_path):
     got = {(r.c_custkey, r.s_suppkey, r.offset) for r in df.collect()}
     assert got == {(i * 200, 0, -1) for i in range(1, 60)}
     assert joined_rows(df) <= 59 * 7
+
+
+def test_blocks_of_notes_are_dealt_by_their_number(spark, sf, monkeypatch):
+    from vellum import session
+    from vellum.plans import notes
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert notes._blocks(spark, sf).rdd.getNumPartitions() == -(-lines // 500)
+
+
+def test_sections_follow_stretches_with_notes(spark):
+    import random
+
+    from vellum.operators import notes
+
+    rng = random.Random(3)
+    rows = [(doc, at, *rng.choice([("block", True), ("block", False), ("block", False), ("heading", False), ("rule", False)])) for doc in range(30) for at in range(20)]
+    want = {}
+    for doc in range(30):
+        section, noted = 0, False
+        for _, at, kind, definition in (r for r in rows if r[0] == doc):
+            if kind != "block":
+                section, noted = section + noted, False
+            noted |= definition
+            want[doc, at] = section
+    got = notes.sectioned(spark.createDataFrame(rows, "doc long, at long, kind string, definition boolean"), "doc").collect()
+    assert {(r.doc, r.at): r.section for r in got} == want

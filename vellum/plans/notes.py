@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import notes
 from vellum.plans.registry import query
-from vellum.session import table as T, written
+from vellum.session import spread, table as T, written
 
 _TAG = "CASE WHEN l_linenumber = 1 AND l_partkey % 4 = 0 THEN 'h2' WHEN l_linenumber > 3 AND l_suppkey % 11 = 0 THEN 'hr' ELSE 'p' END"
 _TEXT = """CASE WHEN l_linenumber = 1 AND l_partkey % 4 = 0 THEN (CASE l_suppkey % 3 WHEN 0 THEN 'Notes' WHEN 1 THEN 'Further reading' ELSE 'Chapter' END) WHEN l_linenumber > 3 AND l_suppkey % 11 = 0 THEN ''
@@ -35,7 +35,7 @@ links AS (SELECT marks.*, defs.ix AS note_at, defs.content FROM marks LEFT JOIN
 def _blocks(spark, d):
     lines = T(spark, d, "orders").join(T(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = lines.select(F.col("o_custkey").alias("doc"), "l_orderkey", "l_linenumber", F.expr(_TAG).alias("tag"), F.expr(_TEXT).alias("text"))
-    return notes.marked(rows, "doc", ["l_orderkey", "l_linenumber", "tag", "text"])
+    return notes.marked(spread(rows, T(spark, d, "lineitem").count(), "doc"), "doc", ["l_orderkey", "l_linenumber", "tag", "text"])
 
 
 @query("note_strategies", f"""{_B},
@@ -58,7 +58,7 @@ def note_strategies(spark, d):
 
 def _linked(spark, d):
     blocks = written(notes.sectioned(_blocks(spark, d), "doc"), "note-blocks")  # once for definitions and markers
-    defs = notes.definitions(blocks, "doc")
+    defs = notes.definitions(spread(blocks, blocks.count(), "doc"), "doc")
     body = blocks.where(~F.col("definition") & (F.col("kind") == "block"))
     return defs, notes.markers(body.where("reference"), "doc")
 

@@ -77,5 +77,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that one task sorts or holds where spread() deals them.
+TASK_ROWS = 300_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by its keys in partitions of some TASK_ROWS of its rows, one a core at least: these stay as many where a shuffle of well compressed
+    rows would be merged into few, so that a task's memory doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
