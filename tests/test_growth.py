@@ -100,3 +100,12 @@ def test_titles_meet_by_long_pieces(spark):
     want = [(k, k) for k in range(600)] + [(-1, k) for k in range(600)] + [(-4, k) for k in range(100, 200)]
     assert got == Counter(want)
     assert joined_rows(df) < 5_000
+
+
+def test_works_alike_are_compared_once(spark, tmp_path):
+    d = tables(tmp_path, part="SELECT i AS p_partkey, ['red ring', 'blue bolt'][1 + i % 2] AS p_name, 'Brand#1' AS p_brand, 'SMALL' AS p_type, (10 + i % 3)::INT AS p_size FROM range(120) t(i) UNION ALL SELECT 5, 'red ring', 'Brand#1', 'SMALL', NULL")
+    df = registry.queries()["metadata_score_top1"](spark, d)
+    got = {r.cite: (r.work, r.score) for r in df.collect()}
+    least = lambda k: next(w for w in range(120) if w != k and w % 6 == k % 6)  # noqa: E731  of its title and year
+    assert len(got) == 120 and all(got[k] == (least(k), 0.95) for k in range(120) if k != 5)
+    assert joined_rows(df) < 1_000

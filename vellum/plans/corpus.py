@@ -336,7 +336,8 @@ def reference_paragraphs(spark, d):
 def metadata_score_top1(spark, d):
     """Record linkage: every work against the others whose author allows a score over 0, the best over 0.5 of each.
 
-    Similarities are of distinct titles and of distinct authors, each pair of them once, and are joined to the rows.
+    Similarities are of distinct titles and of distinct authors, each pair of them once. They are joined to the distinct title, author and journal of works,
+    each with its two least works in all and of each year, so that works alike in these are compared once, however many they are.
     """
     p = T(spark, d, "part")
     titles, authors, journals = (p.select(F.col(c).alias("x")).distinct() for c in ("p_name", "p_brand", "p_type"))
@@ -344,11 +345,30 @@ def metadata_score_top1(spark, d):
     title = pairs(titles).select(F.col("x").alias("t"), F.col("y").alias("t2"), L.pairwise(L.title_similarity, F.col("x"), F.col("y")).alias("title")).where(F.col("title") >= L.TITLE_FLOOR)
     author = pairs(authors).select(F.col("x").alias("a"), F.col("y").alias("a2"), L.author_score(F.array("x"), F.col("y")).alias("author")).where("author > 0")
     journal = pairs(journals).select(F.col("x").alias("j"), F.col("y").alias("j2"), L.pairwise(L.text_score, F.col("x"), F.col("y")).alias("journal"))
-    cite = p.select(F.col("p_partkey").alias("cite"), F.col("p_name").alias("t"), F.col("p_brand").alias("a"), F.col("p_size").alias("y"), F.col("p_type").alias("j"))
-    work = p.select(F.col("p_partkey").alias("work"), F.col("p_name").alias("t2"), F.col("p_brand").alias("a2"), F.col("p_size").alias("y2"), F.col("p_type").alias("j2"))
-    met = cite.join(author, "a").join(title, "t").join(work, ["a2", "t2"]).where("cite <> work").join(journal, ["j", "j2"])
-    score = L.metadata_score(F.col("title"), F.col("author"), L.year_score(F.col("y"), F.col("y2")), F.col("journal"), F.lit(0.0), F.lit(True), F.lit(True))
-    return R.first_per_key(met.withColumn("score", F.round(score, 6)).where("score >= 0.5"), ["cite"], [F.desc("score"), "work"]).select("cite", "work", "score")
+    kind = ["t", "a", "j"]
+    works = p.select(F.col("p_partkey").alias("work"), F.col("p_name").alias("t"), F.col("p_brand").alias("a"), F.col("p_type").alias("j"), F.col("p_size").alias("y"))
+    two = lambda *keys: R.first_per_key(works.select(*keys, "work").distinct().where("work IS NOT NULL"), keys, ["work"], 2).groupBy(*keys).agg(F.sort_array(F.collect_list("work")).alias("works"))  # noqa: E731  a work itself is none of its candidates
+    by_kind, by_year = two(*kind), two(*kind, "y")
+    score = lambda year: F.round(L.metadata_score(F.col("title"), F.col("author"), year, F.col("journal"), F.lit(0.0), F.lit(True), F.lit(True)), 6)
+    kinds = by_kind.select(*kind, (F.size("works") > 1).alias("sure"))
+    other = kinds.select(*(F.col(c).alias(f"{c}2") for c in kind), F.col("sure").alias("sure2"))
+    met = kinds.join(author, "a").join(title, "t").join(other, ["a2", "t2"]).join(journal, ["j", "j2"])
+    met = met.select(*kind, "t2", "a2", "j2", "sure2", score(F.lit(0.0)).alias("s0"), score(F.lit(0.5)).alias("s1"), score(F.lit(1.0)).alias("s2")).where("s2 >= 0.5")
+    floor = F.max(F.when(F.col("sure2"), F.col("s0"))).over(W.partitionBy(*kind))  # what a work of these values finds in any case
+    met = met.withColumn("floor", floor).where("floor IS NULL OR s2 >= floor")
+    there = lambda df: df.select(*(F.col(c).alias(f"{c}2") for c in kind), "works", *[c for c in df.columns if c == "y"])
+    gaps = F.explode(F.array(*[F.struct(F.lit(g).alias("gap"), F.col(s).alias("score")) for g, s in ((0, "s2"), (1, "s1"), (-1, "s1"))])).alias("g")
+    asked = by_year.select(*kind, F.col("y").alias("asked"))
+    near = asked.join(met.select(*kind, "t2", "a2", "j2", gaps), kind).withColumn("y", F.col("asked") + F.col("g.gap")).join(there(by_year), ["t2", "a2", "j2", "y"]).select(*kind, "asked", "works", "g.score")
+    # Any year scores 0 here: a work of a nearer year is there with its higher score too.
+    far = met.join(there(by_kind), ["t2", "a2", "j2"]).select(*kind, "works", F.col("s0").alias("score"))
+    best = lambda df, *keys: R.first_per_key(df.where("score >= 0.5").select(*keys, "score", F.explode("works").alias("work")), keys, [F.desc("score"), "work"], 2).groupBy(*keys).agg(F.collect_list(F.struct((-F.col("score")).alias("less"), "work")).alias("found"))
+    near, far = best(near, *kind, "asked"), best(far, *kind)
+    cite = works.select(F.col("work").alias("cite"), *kind, F.col("y").alias("asked"))
+    none = F.array().cast("array<struct<less: double, work: bigint>>")
+    both = cite.join(near, [*kind, "asked"], "left").withColumnRenamed("found", "near").join(far, kind, "left")
+    top = F.array_min(F.filter(F.concat(F.coalesce("near", none), F.coalesce("found", none)), lambda x: x["work"] != F.col("cite")))
+    return both.groupBy("cite").agg(F.min(top).alias("top")).where("top IS NOT NULL").select("cite", "top.work", (-F.col("top.less")).alias("score"))
 
 
 @query("align_blocks")
