@@ -109,3 +109,11 @@ def test_works_alike_are_compared_once(spark, tmp_path):
     least = lambda k: next(w for w in range(120) if w != k and w % 6 == k % 6)  # noqa: E731  of its title and year
     assert len(got) == 120 and all(got[k] == (least(k), 0.95) for k in range(120) if k != 5)
     assert joined_rows(df) < 1_000
+
+
+def test_copies_of_parts_are_dealt_by_their_number(spark, sf, monkeypatch):
+    from vellum import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert registry.queries()["open_copies"](spark, sf).rdd.getNumPartitions() == -(-6 * parts // 100)

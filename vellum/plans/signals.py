@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from vellum.functions import documents as D, identifiers as R
 from vellum.operators import convert, copies, quality as Q, resolution
 from vellum.plans.registry import query
-from vellum.session import table as T
+from vellum.session import spread, table as T
 
 
 @query("document_flags", rf"""
@@ -157,7 +157,8 @@ def open_copies(spark, d):
     ]
     names = ("pdf_url", "landing_page_url", "host_type", "version", "license")
     each = F.posexplode(F.array(*[F.struct(*[c.cast("string").alias(k) for k, c in zip(names, r, strict=True)]) for r in rows])).alias("n", "l")
-    return copies.ranked_copies(T(spark, d, "part").select(F.col("p_partkey").alias("work"), each).select("work", "n", "l.*"))
+    parts = T(spark, d, "part")
+    return copies.ranked_copies(spread(parts.select(F.col("p_partkey").alias("work"), each).select("work", "n", "l.*"), 6 * parts.count(), "work"))
 
 
 @query("body_verdicts", r"""
