@@ -117,3 +117,10 @@ def test_copies_of_parts_are_dealt_by_their_number(spark, sf, monkeypatch):
     monkeypatch.setattr(session, "TASK_ROWS", 100)
     parts = spark.read.parquet(f"{sf}/part.parquet").count()
     assert registry.queries()["open_copies"](spark, sf).rdd.getNumPartitions() == -(-6 * parts // 100)
+
+
+def test_indexes_are_made_within_their_rows(spark, sf, tmp_path):
+    d = tables(tmp_path, documents="SELECT unnest([1, 1, 2, 3, 4])::BIGINT AS doc_id, unnest(['b a  b', 'c', NULL, ' ', 'x' || chr(10) || 'y x é \"q\" x']) AS text")
+    df = registry.queries()["abstracts_from_json"](spark, d)
+    assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(d, "abstracts_from_json")
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()

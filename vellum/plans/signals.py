@@ -105,9 +105,14 @@ def identifier_forms(spark, d):
 @query("abstracts_from_json", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> ''), ' ') AS abstract FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]')")
 def abstracts_from_json(spark, d):
     """Texts as inverted indexes in JSON, read back from it."""
-    words = T(spark, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("at", "word"))
-    places = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "places")))).alias("json"))
-    return places.select("doc_id", convert.inverted_text(F.col("json")).alias("abstract"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))  # a word's places stand together; no row leaves its task
+    by = lambda f, x: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  x is made once
+    first = lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i)["word"] != F.get(p, i - 1)["word"]))
+    entry = lambda p, f: lambda i, k: F.struct(F.get(p, i)["word"].alias("word"), F.transform(F.slice(p, i + 1, F.coalesce(F.get(f, k + 1), F.size(p)) - i), lambda x: x["at"]).alias("places"))
+    index = by(lambda p: by(lambda f: F.transform(f, entry(p, f)), first(p)), placed)
+    docs = T(spark, d, "documents").where(F.size(words) > 0)
+    return docs.select("doc_id", F.to_json(F.map_from_entries(index)).alias("json")).select("doc_id", convert.inverted_text(F.col("json")).alias("abstract"))
 
 
 @query("resolved_entries")
