@@ -124,3 +124,25 @@ def test_indexes_are_made_within_their_rows(spark, sf, tmp_path):
     df = registry.queries()["abstracts_from_json"](spark, d)
     assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(d, "abstracts_from_json")
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_dealt_once_and_ranges_hand_on_at_their_edges(spark, monkeypatch):
+    import random
+
+    from vellum.operators import ocr, scan
+    from vellum.session import cut
+
+    cuts = []
+    monkeypatch.setattr(scan, "cut", lambda df: cuts.append(1) or cut(df))
+    rng = random.Random(5)
+    rows = [(book, k, rng.choice([None, k])) for book, n in ((None, 40), (1, 300), (2, 3), (3, 1), (4, 90)) for k in range(n)]
+    want, latest, total = {}, {}, Counter()
+    for book, k, v in rows:
+        want[book, k] = latest.get(book), total[book]
+        latest[book], total[book] = v if v is not None else latest.get(book), total[book] + k
+    df = scan.ranged(spark.createDataFrame(rows, "book long, page long, v long"), "book", ["page"])
+    once = scan.carried(df, "book", ["page"], {"was": df["v"]})
+    got = scan.carried(once, "book", ["page"], sums={"upto": once["page"]}).collect()
+    assert {(r.book, r.page): (r.was, r.upto) for r in got} == want and len(got) == len(rows) and len(cuts) == 1
+    ocr.assemble(spark.createDataFrame([(1, 1, "A page.", None, None)], "book long, page long, markdown string, footer string, style string"))
+    assert len(cuts) == 2

@@ -12,7 +12,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.operators.scan import carried
+from vellum.operators.scan import carried, ranged
+from vellum.session import written
 
 #: Forms of markers and of what opens a definition, the ends of sentences, and the least line that may go on after a gap.
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
@@ -28,19 +29,28 @@ LEAST_LINE = 20
 _SUPER = re.compile(f"[{SUPERSCRIPTS}]+")
 _LATEX = re.compile(r"\$\^\{?\s*(\d{1,3}(?:\s*,\s*\d{1,3})*)\s*\}?\$")
 _CARET = re.compile(r"(?<!\[)\^(\d{1,3})(?![\w}])")
+_NOTE = re.compile(NOTE)
+_OPENING, _CLOSING, _LAST_NOTE = re.compile(rf"^\s*{NOTE}"), re.compile(rf"(?:\s*{NOTE})+\s*$"), re.compile(rf"{NOTE}\s*$")
 
 
 def marked(text: str) -> str:
     """A page with its note markers, superscript, LaTeX or bare carets, as [^N]."""
     text = _SUPER.sub(lambda m: f"[^{m[0].translate(str.maketrans(SUPERSCRIPTS, '0123456789'))}]", text)
+    if "^" not in text:
+        return text
     text = _LATEX.sub(lambda m: "".join(f"[^{n}]" for n in re.findall(r"\d+", m[1])), text)
     return _CARET.sub(r"[^\1]", text)
 
 
 def mid_sentence(text: str) -> bool:
     """Whether a note stops in mid sentence: it ends with a word in lower case, markers at its end aside."""
-    bare = re.sub(r"<[^>]+>", "", re.sub(rf"(?:\s*{NOTE})+\s*$", "", text.strip())).rstrip()
-    return bool(bare) and not bare.endswith(TERMINAL) and bool(re.search(r"[a-z]{2,}$", bare))
+    bare = text.strip()
+    if bare.endswith("]"):
+        bare = _CLOSING.sub("", bare)
+    if "<" in bare:
+        bare = re.sub(r"<[^>]+>", "", bare)
+    bare = bare.rstrip()
+    return len(bare) > 1 and "a" <= bare[-1] <= "z" and "a" <= bare[-2] <= "z"
 
 
 def goes_on(text: str) -> str | None:
@@ -50,7 +60,7 @@ def goes_on(text: str) -> str | None:
         return None
     if line.endswith("-") and not line.endswith("---"):
         return ""
-    bare = re.sub(rf"{NOTE}\s*$", "", line).rstrip()
+    bare = _LAST_NOTE.sub("", line).rstrip() if line.endswith("]") else line
     return " " if len(line) > LEAST_LINE and not bare.endswith(STOPS) else None
 
 
@@ -61,7 +71,7 @@ def bottom_notes(text: str) -> str:
     the last ones as long as a marker names each.
     """
     lines = text.split("\n")
-    named = {int(n) for k, line in enumerate(lines) for n in re.findall(NOTE, re.sub(rf"^\s*{NOTE}", "", line))}
+    named = {int(n) for line in lines if "[^" in line for n in _NOTE.findall(_OPENING.sub("", line))}
     block: list[tuple[int, int, str]] = []
     for k in range(len(lines) - 1, -1, -1):
         if not lines[k].strip():
@@ -93,7 +103,7 @@ def page_paragraphs(text: str, footer: str, style: str) -> tuple[list[tuple[str,
         if first:  # every line of notes is a paragraph of its own
             text = text[: first.start()] + re.sub(rf"(?m)\n(?={NOTE}:)", "\n\n", text[first.start() :])
     paragraphs = [p.strip("\n") for p in re.split(r"\n\s*\n", text) if p.strip()]
-    return [(p, bool(OPENER.match(p))) for p in paragraphs], list(dict.fromkeys(re.findall(NOTE, text)))
+    return [(p, bool(OPENER.match(p))) for p in paragraphs], list(dict.fromkeys(_NOTE.findall(text)))
 
 
 _PAGE = "struct<paragraphs: array<struct<text: string, opens: boolean, mid: boolean, lower: boolean, joint: string>>, numbers: array<string>>"
@@ -129,8 +139,9 @@ def assemble(pages: DataFrame) -> DataFrame:
     Null texts are empty; an empty page changes nothing; a null style is any other; a page number that repeats in a book is an error of its maker and of no defined order.
     """
     text, style = F.coalesce(F.col("markdown"), F.lit("")), F.coalesce(F.col("style"), F.lit(""))
-    read = pages.select("book", "page", (style == "page_bottom").alias("anew"), _read(text, F.coalesce(F.col("footer"), F.lit("")), style).alias("_r"))
-    read = read.select("book", "page", "anew", "_r.paragraphs", "_r.numbers")
+    dealt = ranged(pages.select("book", "page", text.alias("text"), F.coalesce(F.col("footer"), F.lit("")).alias("footer"), style.alias("style")), "book", ["page"])
+    read = dealt.select("book", "page", "_part", "_edge", (F.col("style") == "page_bottom").alias("anew"), _read(F.col("text"), F.col("footer"), F.col("style")).alias("_r"))
+    read = written(read.select("book", "page", "_part", "_edge", "anew", "_r.paragraphs", "_r.numbers"), "pages-read")
     shut, opened = _open_after(F.col("paragraphs"), F.lit(False)), _open_after(F.col("paragraphs"), F.lit(True))
     # A page after which a note is open or not whatever was before it settles the state; others hand it on.
     first = carried(read, "book", ["page"], {"was_open": F.when(F.col("anew"), F.lit(False)).when(shut == opened, shut)}, {"counted": F.when(F.col("anew"), F.size("numbers")).otherwise(0)})
@@ -143,9 +154,9 @@ def assemble(pages: DataFrame) -> DataFrame:
     )
     anew = F.map_from_arrays("numbers", F.transform("numbers", lambda x, i: (F.col("counted") + i + 1).cast("string")))
     pieces = first.withColumn("_told", told).withColumn("_anew", F.when(F.col("anew"), anew))
-    pieces = pieces.select("book", "page", "_anew", F.transform("paragraphs", lambda p, i: F.struct(i.alias("i"), p["text"].alias("text"), p["opens"].alias("opens"), p["lower"].alias("lower"), p["joint"].alias("joint"), F.element_at("_told", i + 1).alias("note"))).alias("all"))
+    pieces = pieces.select("book", "page", "_part", "_edge", "_anew", F.transform("paragraphs", lambda p, i: F.struct(i.alias("i"), p["text"].alias("text"), p["opens"].alias("opens"), p["lower"].alias("lower"), p["joint"].alias("joint"), F.element_at("_told", i + 1).alias("note"))).alias("all"))
     body, notes = F.filter("all", lambda p: ~p["note"]), F.filter("all", lambda p: p["note"])
-    pieces = pieces.select("book", "page", "_anew", body.alias("body"), notes.alias("notes"))
+    pieces = pieces.select("book", "page", "_part", "_edge", "_anew", body.alias("body"), notes.alias("notes"))
 
     # Whether a paragraph goes on the one before it, and of a page's first, the one that the last page with text ended with.
     tail = F.when(F.size("body") > 0, F.struct(F.try_element_at("body", F.lit(-1))["joint"].alias("joint")))
@@ -155,13 +166,13 @@ def assemble(pages: DataFrame) -> DataFrame:
         joint = lambda i: F.when(i == 0, start).otherwise(F.try_element_at(parts, i)["joint"])
         return F.transform(parts, lambda p, i: F.struct(p["text"].alias("text"), F.when(p["lower"] & joint(i).isNotNull() & ~p["text"].startswith("#"), joint(i)).alias("joint")))
 
-    tied = tied.select("book", "page", "_anew", "notes_before", "notes", flagged("body", F.col("before.joint")).alias("body"))
-    counted = carried(tied, "book", ["page"], sums={"blocks": F.size(F.filter("body", lambda p: p["joint"].isNull()))})
+    tied = tied.select("book", "page", "_part", "_edge", "_anew", "notes_before", "notes", flagged("body", F.col("before.joint")).alias("body"))
+    counted = written(carried(tied, "book", ["page"], sums={"blocks": F.size(F.filter("body", lambda p: p["joint"].isNull()))}), "pages-tied")
     # A first piece that goes on nothing, as its book begins in lower case, still begins a block.
     number = lambda parts, upto, begun: F.size(F.filter(F.slice(parts, F.lit(1), upto + 1), begun))
     placed = counted.select("book", "page", "_anew", F.posexplode(F.transform("body", lambda p, i: F.struct(p["text"].alias("text"), p["joint"].alias("joint"), (F.col("blocks") + number("body", i, lambda q: q["joint"].isNull())).alias("n")))).alias("at", "p"))
     placed = placed.select("book", "page", "at", F.col("p.n").cast("long").alias("n"), "p.joint", F.col("p.text").alias("text"), "_anew").withColumn("kind", F.lit("body")).withColumn("number", F.lit(None).cast("string"))
-    said = tied.select("book", "page", "_anew", F.posexplode(F.transform("notes", lambda p, i: F.struct(p["text"].alias("text"), p["opens"].alias("opens"), (F.col("notes_before") + number("notes", i, lambda q: q["opens"])).alias("n")))).alias("at", "p"))
+    said = counted.select("book", "page", "_anew", F.posexplode(F.transform("notes", lambda p, i: F.struct(p["text"].alias("text"), p["opens"].alias("opens"), (F.col("notes_before") + number("notes", i, lambda q: q["opens"])).alias("n")))).alias("at", "p"))
     own = F.regexp_extract("p.text", rf"^\s*{NOTE}", 1)
     said = said.select("book", "page", "at", F.col("p.n").cast("long").alias("n"), F.when(~F.col("p.opens"), F.lit(" ")).alias("joint"), F.col("p.text").alias("text"), "_anew", F.lit("note").alias("kind"), F.when(F.col("p.opens"), own).alias("number"))
     said = said.withColumn("text", F.when(F.col("joint").isNull(), F.regexp_replace("text", rf"^\s*{NOTE}[:.]?\s*", "")).otherwise(F.col("text"))).withColumn("number", F.coalesce(F.try_element_at("_anew", F.col("number")), F.col("number")))
