@@ -146,3 +146,24 @@ def test_pages_are_dealt_once_and_ranges_hand_on_at_their_edges(spark, monkeypat
     assert {(r.book, r.page): (r.was, r.upto) for r in got} == want and len(got) == len(rows) and len(cuts) == 1
     ocr.assemble(spark.createDataFrame([(1, 1, "A page.", None, None)], "book long, page long, markdown string, footer string, style string"))
     assert len(cuts) == 2
+
+
+def test_ranks_count_words_without_tokens(spark, tmp_path):
+    texts = "'the ' || repeat('License, ', 300)", "'The_license the-LICENSE'", "''", "NULL", "'thé license2 licens'", "repeat('the.', 300)"
+    d = tables(tmp_path, documents=" UNION ALL ".join(f"SELECT {i}::BIGINT AS doc_id, {t} AS text, {s} AS source" for i, (t, s) in enumerate(zip(texts, ["'the src'", "NULL", "'license the the'", "''", "'x'", "repeat('the ', 260)"]))))
+    df = registry.queries()["any_rank"](spark, d)
+    got, want = {r.doc_id: r.rank for r in df.collect()}, dict(rows_by_sql(d, "any_rank").keys())
+    assert got.keys() == want.keys() == {0, 1, 2, 5} and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("1.64493406685") == 1  # made once for all words, not again in a filter
+
+
+def test_texts_are_dealt_by_id_and_words_counted_there(spark, monkeypatch):
+    from vellum.operators import ranking
+
+    monkeypatch.setattr(ranking, "TEXT_ROWS", 10)
+    docs = spark.createDataFrame([(k, "Running runs, the runner ran " * (k % 3)) for k in range(100)] + [(1, "runs"), (2, None)], "doc long, text string")
+    got = {(r.doc, r.stem): r.n for r in ranking.stemmed(docs, "doc", docs["text"]).collect()}
+    want = Counter((k, ranking.stem_word(w)) for k in range(100) for w in ["running", "runs", "the", "runner", "ran"] * (k % 3))
+    assert got == want + Counter([(1, "run")])
+    assert ranking.dealt_texts(docs, "doc").rdd.getNumPartitions() == 11

@@ -12,11 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.operators.relational import string_tokens
+from vellum.session import TASK_ROWS, spread
 
 #: Field weights, the limit of the sum of inverse squares, the most positions of a word that rank, what a far pair adds.
 WEIGHTS = {"A": 1.0, "B": 0.3, "C": 0.1, "D": 0.05}
 SQUARES = 1.64493406685
 POSITIONS = 255
+#: Texts that one task takes the words of.
+TEXT_ROWS = 5_000
 FAR = 1e-30
 
 
@@ -43,16 +46,24 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
+def _weights(fields: dict[str, Column], word: str) -> Column:
+    """The weights of a word where it stands, in order: counted in each field, tokens are not made."""
+    if not re.fullmatch("[a-z0-9_]+", word):
+        return F.array().cast("array<double>")
+    times = lambda text: F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![a-z0-9_]){word}(?![a-z0-9_])"))
+    return F.slice(F.concat(*[F.array_repeat(F.lit(WEIGHTS[label]), F.least(times(text), F.lit(POSITIONS))) for label, text in fields.items()]), 1, POSITIONS)
+
+
 def any_rank(fields: dict[str, Column], words: list[str]) -> Column:
     """Rank of a match of any word: a word's best weight counts in full, the others by the squares of their places; the mean of the words."""
 
     def one(hits: Column) -> Column:
-        best = F.array_max(F.transform(hits, lambda e: e["w"]))
-        place = F.array_position(F.transform(hits, lambda e: e["w"]), best)
-        rest = _sum(F.transform(hits, lambda e, i: e["w"] / ((i + 1) * (i + 1))))
+        best = F.array_max(hits)
+        place = F.array_position(hits, best)
+        rest = _sum(F.transform(hits, lambda w, i: w / ((i + 1) * (i + 1))))
         return F.coalesce((best + rest - best / (place * place)) / SQUARES, F.lit(0.0))
 
-    return reduce(lambda a, b: a + b, [one(h) for h in _hits(fields, words)]) / len(words)
+    return _sum(F.transform(F.array(*[_weights(fields, w) for w in words]), one)) / len(words)
 
 
 def all_rank(fields: dict[str, Column], words: list[str]) -> Column:
@@ -104,6 +115,7 @@ _STEP2 = {
 }
 _STEP3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic"]
+_ENDS2, _ENDS3, _ENDS4 = (*_STEP2, "ogi", "li"), (*_STEP3, "ative"), (*_STEP4, "ion")
 
 
 def _regions(w: str) -> tuple[int, int]:
@@ -124,9 +136,11 @@ def stem_word(word: str) -> str:
         return w
     if w in IRREGULAR_STEMS:
         return IRREGULAR_STEMS[w]
-    w = re.sub("^y|(?<=[aeiouy])y", "Y", w)
+    if "y" in w:
+        w = re.sub("^y|(?<=[aeiouy])y", "Y", w)
     r1, r2 = _regions(w)
-    w = re.sub("('s'|'s|')$", "", w)
+    if "'" in w:
+        w = re.sub("('s'|'s|')$", "", w)
     if w.endswith("sses"):
         w = w[:-2]
     elif re.search("ie[ds]$", w):
@@ -148,22 +162,22 @@ def stem_word(word: str) -> str:
             w += "e"
     if len(w) > 2 and re.search("[^aeiouy][yY]$", w):
         w = w[:-1] + "i"
-    longest = lambda suffixes: max((s for s in suffixes if w.endswith(s)), key=len, default="")
-    suffix = longest([*_STEP2, "ogi", "li"])
+    longest = lambda suffixes: max((s for s in suffixes if w.endswith(s)), key=len) if w.endswith(suffixes) else ""
+    suffix = longest(_ENDS2)
     if suffix and len(w) - len(suffix) >= r1:
         stem = w[: len(w) - len(suffix)]
         if suffix in _STEP2:
             w = stem + _STEP2[suffix]
         elif suffix == "ogi" and stem.endswith("l") or suffix == "li" and re.search("[cdeghkmnrt]$", stem):
             w = stem + ("og" if suffix == "ogi" else "")
-    suffix = longest([*_STEP3, "ative"])
+    suffix = longest(_ENDS3)
     if suffix and len(w) - len(suffix) >= r1:
         stem = w[: len(w) - len(suffix)]
         if suffix != "ative":
             w = stem + _STEP3[suffix]
         elif len(stem) >= r2:
             w = stem
-    suffix = longest([*_STEP4, "ion"])
+    suffix = longest(_ENDS4)
     if suffix and len(w) - len(suffix) >= r2 and (suffix != "ion" or w[: -len("ion")].endswith(("s", "t"))):
         w = w[: len(w) - len(suffix)]
     if w.endswith("e") and (len(w) - 1 >= r2 or len(w) - 1 >= r1 and not _short_end(w[:-1])):
@@ -185,8 +199,19 @@ def stems(words: Column) -> Column:
 
 
 def stemmed(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, stem, n): how often each stem stands in each text. Words are counted before the distinct ones are stemmed; the stems
-    come back by a join, so every word of the corpus is stemmed once."""
-    counts = docs.select(F.col(id_col), F.explode(string_tokens(F.coalesce(text, F.lit("")))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
-    known = counts.select("word").distinct().select(F.col("word").alias("_word"), stems(F.col("word")).alias("stem"))
-    return counts.join(known, F.col("word") == F.col("_word")).groupBy(id_col, "stem").agg(F.sum("n").alias("n"))
+    """(id, stem, n): how often each stem stands in each text. Texts are dealt by id, so that their words are counted where they lie;
+    words are counted before the distinct ones are stemmed; the stems come back by a join, so every word of the corpus is stemmed once."""
+    dealt = dealt_texts(docs.select(F.col(id_col), text.alias("_text")), id_col)
+    counts = dealt.select(F.col(id_col), F.explode(string_tokens(F.coalesce("_text", F.lit("")))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
+    return with_stems(counts, "word").groupBy(id_col, "stem").agg(F.sum("n").alias("n"))
+
+
+def with_stems(rows: DataFrame, word: str) -> DataFrame:
+    """rows with stem, that of their word."""
+    known = rows.select(F.col(word).alias("_word")).distinct().select("_word", stems(F.col("_word")).alias("stem"))
+    return rows.join(known, F.col(word) == F.col("_word")).drop("_word")
+
+
+def dealt_texts(docs: DataFrame, id_col: str) -> DataFrame:
+    """Texts in partitions by id of some TEXT_ROWS, so that what is made of a text's words needs no shuffle of words."""
+    return spread(docs, docs.count() * (TASK_ROWS // TEXT_ROWS), id_col)

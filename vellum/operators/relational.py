@@ -106,4 +106,4 @@ def rank_positions(df: DataFrame, order: Sequence[Column | str], name: str = "po
 
 def string_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters, digits and underscores."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
