@@ -167,3 +167,14 @@ def test_texts_are_dealt_by_id_and_words_counted_there(spark, monkeypatch):
     want = Counter((k, ranking.stem_word(w)) for k in range(100) for w in ["running", "runs", "the", "runner", "ran"] * (k % 3))
     assert got == want + Counter([(1, "run")])
     assert ranking.dealt_texts(docs, "doc").rdd.getNumPartitions() == 11
+
+
+def test_only_words_that_claims_ask_for_are_indexed(spark, monkeypatch):
+    from vellum.operators import passages
+
+    kept, write = {}, passages.written
+    monkeypatch.setattr(passages, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    claims = spark.createDataFrame([(1, "a", "The lamps of it")], "claim long, book string, text string")
+    nodes = spark.createDataFrame([("a", 1, "A lamp, lamps and other words"), ("a", 2, "nothing of it")], "book string, node long, text string")
+    assert [(r.claim, r.node, r.stage) for r in passages.claim_passages(claims, nodes).collect()] == [(1, 1, "all")]
+    assert {(r.node, r.word, r.stem, r.at) for r in kept["passage-terms"].collect()} == {(1, "lamp", "lamp", 2), (1, "lamps", "lamp", 3)}

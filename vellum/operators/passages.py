@@ -103,12 +103,13 @@ def claim_passages(claims: DataFrame, nodes: DataFrame, most: int = PASSAGES) ->
     """
     tokens = F.posexplode(string_tokens(F.coalesce(F.col("text"), F.lit("")))).alias("at", "word")
     entries = nodes.select("book", "node", tokens)
-    known = entries.select("word").distinct().select("word", stems(F.col("word")).alias("stem"))
-    index = written(entries.join(known, "word").select("book", "node", "word", "stem", (F.col("at") + 1).alias("at")), "passage-terms")
-
     low = F.coalesce(F.col("text"), F.lit(""))
     plain = lambda n: F.filter(F.array_distinct(string_tokens(F.substring(low, 1, n))), lambda w: ~w.isin(STOP_WORDS))
     asked = claims.select("claim", "book", plain(WHOLE).alias("whole"), F.slice(F.filter(plain(PARTLY), lambda w: F.length(w) > 3), 1, 15).alias("partly"))
+    # Only words whose stem some claim asks for are indexed.
+    sought = asked.select(F.explode(F.array_union("whole", "partly")).alias("word")).distinct().select(stems(F.col("word")).alias("stem")).distinct()
+    known = entries.select("word").distinct().select("word", stems(F.col("word")).alias("stem")).join(sought, "stem", "left_semi")
+    index = written(entries.join(known, "word").select("book", "node", "word", "stem", (F.col("at") + 1).alias("at")), "passage-terms")
 
     def stage(name: str, words: str, stemmed: bool, pool: DataFrame) -> DataFrame:
         terms = pool.select("claim", "book", F.explode(words).alias("word"))
