@@ -3,6 +3,7 @@
 import random
 import re
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,28 @@ def test_index_of_nothing(spark):
     assert index.search(S.parse_query("word")).count() == 0 and Commits(spark, index.log.folder).last()["commit"] == 0
 
 
+def test_postings_of_a_term_share_rows_and_rows_of_one_id_count_together(spark, monkeypatch):
+    from vellum.operators import termindex
+
+    rows = [*documents(3, range(30)), *documents(4, range(10, 20)), (None, "the house"), (40, "Éa b\u0130a  B"), (41, "")]
+    df = termindex.postings(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id", F.col("text"))
+    got, terms = Counter(), Counter()
+    for r in df.collect():
+        terms[r.term] += 1
+        assert r.stem == ranking.stem_word(r.term) and len(r.docs) == len(r.positions)
+        got.update((r.term, d, p) for d, ps in zip(r.docs, r.positions, strict=True) for p in ps)
+    want = Counter((t, d, at) for d, text in rows if d is not None for at, t in enumerate(re.findall("[a-z0-9_]+", (text or "").lower()), 1))
+    assert got == want and max(terms.values()) <= df.rdd.getNumPartitions()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    index = TermIndex(spark, tempfile.mkdtemp())
+    index.build(spark.createDataFrame([(1, "the"), (1, "a house"), (2, "the house"), (2, "the")], "id long, text string"), "id", F.col("text"), buckets=4)
+    for _ in range(2):
+        assert sorted(r.doc for r in index.search(S.parse_query("the house")).collect()) == [1, 2]
+        assert sorted(r.doc for r in index.search(S.parse_query('"the house"')).collect()) == [1, 2]
+        index.merge()
+
+
 def plain_headline(text, words, most=35, least=15):
     tokens = (text or "").split()
     hit = [re.sub(r"\W", "", t).lower() in words for t in tokens]

@@ -1,37 +1,86 @@
 """A positional index of terms as Parquet tables: searches read the folders of their own terms.
 
-Postings (bucket, stem, term, doc, positions) lie in a folder for each bucket of the stems' first two letters, sorted by stem, term and
-document, so that within a folder the readers skip by the bounds of row groups and pages. Changed documents are further segments; a
+Postings (bucket, stem, term, docs, positions), those of a term in some documents a row, lie in a folder for each bucket of the stems' first two letters,
+sorted by stem and term, so that within a folder the readers skip by the bounds of row groups and pages. Changed documents are further segments; a
 document counts in the last segment that names it. Segments and merges are published by commits.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vellum.operators.commits import Commits
-from vellum.operators.ranking import IRREGULAR_STEMS, stem_word, stems
-from vellum.operators.relational import string_tokens
+from vellum.operators.ranking import IRREGULAR_STEMS, dealt_texts, stem_word
 
-POSTINGS = "stem string, term string, doc long, positions array<int>"
+POSTINGS = "stem string, term string, docs array<long>, positions array<array<int>>"
 BUCKETS = 256
+#: Tokens whose positions a task holds before it hands them on, and numbers of documents that a merge puts into one row.
+BATCH, PACK = 1_000_000, 5_000
 
 
 def _bucket(stem: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.substring(stem, 1, 2)), F.lit(buckets)).cast("int")
 
 
+@lru_cache(maxsize=200_000)
+def _stem(term: str) -> str:
+    return stem_word(term)
+
+
+def _together(ids: list[int], texts: list[list[str]]) -> pa.RecordBatch:
+    """Postings of some texts' tokens, a row for each term: tokens are ordered by term, which leaves each term's by text and place."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    coded = pa.array(chain.from_iterable(texts), pa.string(), size=int(sizes.sum())).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    text = np.repeat(np.arange(len(texts)), sizes)[order]
+    at = (np.arange(1, len(codes) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+    begins = np.diff(codes[order], prepend=-1) != 0
+    starts = np.flatnonzero(begins | (np.diff(text, prepend=-1) != 0))  # of each posting
+    rows = np.searchsorted(starts, [*np.flatnonzero(begins), len(codes)]).astype(np.int32)
+    positions = pa.ListArray.from_arrays(np.append(starts, len(codes)).astype(np.int32), at.astype(np.int32))
+    terms = coded.dictionary
+    columns = [pa.array(map(_stem, terms.to_pylist()), pa.string()), terms, pa.ListArray.from_arrays(rows, np.array(ids, np.int64)[text[starts]]), pa.ListArray.from_arrays(rows, positions)]
+    return pa.RecordBatch.from_arrays(columns, ["stem", "term", "docs", "positions"])
+
+
+def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of batches (doc, text in lower case), those of texts of some BATCH tokens together."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
+            if tokens := re.findall("[a-z0-9_]+", text.as_py()):
+                ids.append(doc)
+                texts.append(tokens)
+                held += len(tokens)
+            if held >= BATCH:
+                yield _together(ids, texts)
+                ids, texts, held = [], [], 0
+    if held:
+        yield _together(ids, texts)
+
+
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(stem, term, doc, positions): where each term stands in each text, from 1. Null texts have none, null ids are left out; of rows of one id all count.
+    """(stem, term, docs, positions): where each term stands, from 1, in each of some texts. Null texts have none, null ids are left out; each of several rows
+    of one id has positions of its own, which searches take together.
 
-    Every distinct term is stemmed once.
+    Texts are dealt by their number and read once, where they lie; a term has a row for some BATCH tokens of texts, so that few rows are shuffled and sorted.
     """
-    entries = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.posexplode(string_tokens(F.coalesce(text, F.lit("")))).alias("at", "term"))
-    rows = entries.groupBy("term", "doc").agg(F.sort_array(F.collect_set(F.col("at") + 1)).alias("positions"))
-    known = rows.select("term").distinct().select(F.col("term").alias("_term"), stems(F.col("term")).alias("stem"))
-    return rows.join(known, F.col("term") == F.col("_term")).select("stem", "term", "doc", "positions")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(F.coalesce(text, F.lit(""))).alias("text")).where("doc IS NOT NULL")
+    return dealt_texts(rows, "doc").mapInArrow(_placed, POSTINGS)
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows (stem, term, doc, positions) as postings(): a row for each term and PACK numbers of documents."""
+    held = rows.groupBy("stem", "term", F.floor(F.col("doc") / PACK).alias("_pack")).agg(F.collect_list(F.struct("doc", "positions")).alias("_held"))
+    return held.select("stem", "term", F.col("_held.doc").alias("docs"), F.col("_held.positions").alias("positions"))
 
 
 class TermIndex:
@@ -41,7 +90,7 @@ class TermIndex:
         self.log = Commits(spark, folder)
 
     def _segment(self, rows: DataFrame, buckets: int) -> dict[str, str]:
-        placed = rows.withColumn("bucket", _bucket(F.col("stem"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "stem", "term", "doc")
+        placed = rows.withColumn("bucket", _bucket(F.col("stem"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "stem", "term")
         return self.log.folders(self.log.write(placed, "bucket"))
 
     def build(self, docs: DataFrame, id_col: str, text: Column, buckets: int = BUCKETS) -> None:
@@ -60,20 +109,21 @@ class TermIndex:
         self.log.commit(state | {"segments": [*state["segments"], segment]})
 
     def _rows(self, state: dict, buckets: list[int] | None, wanted: Column | None) -> DataFrame:
-        """Postings of the last state of each document, from the folders named."""
+        """(stem, term, doc, positions) of the last state of each document, from the folders named."""
         parts = []
         for k, segment in enumerate(state["segments"]):
             names = [f for b, f in segment["folders"].items() if buckets is None or int(b) in buckets]
             rows = self.log.read(sorted(names), POSTINGS)
-            rows = rows if wanted is None else rows.where(wanted)
+            rows = (rows if wanted is None else rows.where(wanted)).select("stem", "term", F.explode(F.arrays_zip("docs", "positions")).alias("_p"))
+            rows = rows.select("stem", "term", F.col("_p.docs").alias("doc"), "_p.positions")
             later = [s["touched"] for s in state["segments"][k + 1 :]]
-            parts.append(rows.join(self.log.read(later, "doc long"), "doc", "left_anti").select(*[c.split()[0] for c in POSTINGS.split(", ")]) if later and names else rows)
+            parts.append(rows.join(self.log.read(later, "doc long"), "doc", "left_anti").select("stem", "term", "doc", "positions") if later and names else rows)
         return reduce(DataFrame.unionByName, parts)
 
     def merge(self) -> None:
         """Make one segment of all."""
         state = self.log.last()
-        self.log.commit(state | {"segments": [{"folders": self._segment(self._rows(state, None, None), state["buckets"]), "touched": None}]})
+        self.log.commit(state | {"segments": [{"folders": self._segment(_packed(self._rows(state, None, None)), state["buckets"]), "touched": None}]})
 
     def buckets_of(self, query: dict, stemmed: bool = False) -> list[int]:
         """The buckets that a query's terms lie in; a prefix of one letter may lie in any."""
@@ -106,7 +156,7 @@ class TermIndex:
         rows = self._rows(state, self.buckets_of(query, stemmed), reduce(lambda a, b: a | b, [h for h, _ in parts]))
         served = rows.select("doc", "positions", F.explode(F.array_compact(F.array(*[F.when(h, s) for h, s in parts]))).alias("_s")).select("doc", "_s.*", "positions")
         sizes = F.element_at(F.array(*[F.lit(len(v) if k == "phrase" else 1) for k, v in query["parts"]]), F.col("part") + 1)
-        # Of several terms of one place, as stems have, all positions count.
+        # Of several terms of one place, as stems have, and of several rows of one id all positions count.
         places = served.groupBy("doc", "part", "place").agg(F.flatten(F.collect_list(F.transform("positions", lambda p: p - F.col("place")))).alias("at"))
         met = places.groupBy("doc", "part").agg(F.collect_list("at").alias("all"))
         shared = F.aggregate(F.slice("all", 2, F.greatest(F.size("all"), F.lit(1))), F.col("all")[0], lambda acc, x: F.array_intersect(acc, x))
