@@ -1,6 +1,7 @@
 """Queries over tables with large groups: rows that their joins make, halves, copies; each against its SQL or a loop."""
 
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -178,3 +179,19 @@ def test_only_words_that_claims_ask_for_are_indexed(spark, monkeypatch):
     nodes = spark.createDataFrame([("a", 1, "A lamp, lamps and other words"), ("a", 2, "nothing of it")], "book string, node long, text string")
     assert [(r.claim, r.node, r.stage) for r in passages.claim_passages(claims, nodes).collect()] == [(1, 1, "all")]
     assert {(r.node, r.word, r.stem, r.at) for r in kept["passage-terms"].collect()} == {(1, "lamp", "lamp", 2), (1, "lamps", "lamp", 3)}
+
+
+def dealt(df) -> Counter:
+    """The keys by which a plan deals rows, and over how many partitions."""
+    found = re.findall(r"RepartitionByExpression \[([^\]]*)\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())
+    return Counter((re.sub(r"#\d+L?", "", keys), int(n)) for keys, n in found)
+
+
+def test_edges_of_works_are_dealt_by_their_number(spark, sf, monkeypatch):
+    from vellum import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    df = registry.queries()["most_cited"](spark, sf)
+    assert dealt(df) == Counter({("l_orderkey", n): 1, ("o_orderkey", n): 1})
+    assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(sf, "most_cited")
