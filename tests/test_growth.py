@@ -195,3 +195,13 @@ def test_edges_of_works_are_dealt_by_their_number(spark, sf, monkeypatch):
     df = registry.queries()["most_cited"](spark, sf)
     assert dealt(df) == Counter({("l_orderkey", n): 1, ("o_orderkey", n): 1})
     assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(sf, "most_cited")
+
+
+def test_numbers_on_pages_are_dealt_by_their_number(spark, sf, monkeypatch):
+    from vellum import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    n, n_orders = (-(-spark.read.parquet(f"{sf}/{t}.parquet").count() // 500) for t in ("lineitem", "orders"))
+    df = registry.queries()["page_signals"](spark, sf)
+    assert dealt(df) == Counter({("l_orderkey", n): 2, ("o_orderkey", n): 2, ("book, l_partkey", n): 1, ("book", max(n_orders, spark.sparkContext.defaultParallelism)): 1})
+    assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(sf, "page_signals")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from vellum.operators import convert, graph, linkage as L, references as Refs, relational as R, search as S, temporal as V
 from vellum.plans.registry import query
-from vellum.session import table as T
+from vellum.session import spread, table as T
 
 
 @query("auto_approve", r"""
@@ -140,12 +140,16 @@ spread AS (SELECT book, max(p) AS widest FROM (SELECT o_custkey AS book, l_partk
 SELECT book, count(*) AS pages, count(*) FILTER (WHERE before > lo) AS resets, round(count(*) FILTER (WHERE before > lo) * 1.0::DOUBLE / count(*), 6) AS reset_ratio, max(widest) AS widest FROM seq JOIN spread USING (book) GROUP BY 1""")
 def page_signals(spark, d):
     """Signals of a book's note style: pages whose numbers start over, and on how many pages one number appears."""
-    rows = T(spark, d, "orders").join(T(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("page"), "l_partkey", (F.col("l_linenumber") + F.col("l_partkey") % 5).alias("number"))
-    pages = rows.groupBy("book", "page").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    lines, orders = T(spark, d, "lineitem"), T(spark, d, "orders").select("o_custkey", "o_orderkey")
+    n, n_orders = lines.count(), orders.count()
+    lines = lines.select("l_orderkey", "l_partkey", (F.col("l_linenumber") + F.col("l_partkey") % 5).alias("number"))
+    rows = spread(orders, n, "o_orderkey").join(spread(lines, n, "l_orderkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("page"), "l_partkey", "number")
+    pages = spread(rows.groupBy("book", "page").agg(F.min("number").alias("lo"), F.max("number").alias("hi")), n_orders, "book")
     reset = F.coalesce(F.lag("hi").over(W.partitionBy("book").orderBy("page")) > F.col("lo"), F.lit(False))
     by = pages.withColumn("reset", reset).groupBy("book").agg(F.count("*").alias("pages"), F.count_if("reset").alias("resets"))
-    spread = rows.groupBy("book", "l_partkey").agg(F.count_distinct("page").alias("p")).groupBy("book").agg(F.max("p").alias("widest"))
-    return by.join(spread, "book").select("book", "pages", "resets", F.round(F.col("resets") / F.col("pages"), 6).alias("reset_ratio"), "widest")
+    numbers = spread(rows.select("book", "l_partkey", "page").distinct(), n, "book", "l_partkey").groupBy("book", "l_partkey").agg(F.count("*").alias("p"))
+    widest = numbers.groupBy("book").agg(F.max("p").alias("widest"))
+    return by.join(widest, "book").select("book", "pages", "resets", F.round(F.col("resets") / F.col("pages"), 6).alias("reset_ratio"), "widest")
 
 
 @query("connected_works", "SELECT p_partkey, p_brand, array_to_string(list(DISTINCT l_suppkey ORDER BY l_suppkey), ',') AS versions FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2")
