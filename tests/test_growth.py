@@ -205,3 +205,13 @@ def test_numbers_on_pages_are_dealt_by_their_number(spark, sf, monkeypatch):
     df = registry.queries()["page_signals"](spark, sf)
     assert dealt(df) == Counter({("l_orderkey", n): 2, ("o_orderkey", n): 2, ("book, l_partkey", n): 1, ("book", max(n_orders, spark.sparkContext.defaultParallelism)): 1})
     assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(sf, "page_signals")
+
+
+def test_blocks_of_bibliographies_are_dealt_by_their_number(spark, sf, monkeypatch):
+    from vellum import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 1_000)
+    n = -(-6 * spark.read.parquet(f"{sf}/orders.parquet").count() // 1_000)
+    df = registry.queries()["bibliography_entries"](spark, sf)
+    assert dealt(df) == Counter({("doc", n): 3})
+    assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(sf, "bibliography_entries")

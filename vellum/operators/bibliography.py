@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from vellum.operators.references import authors, reference_keys, reference_year
+from vellum.session import spread
 
 #: Headings of reference lists, openings of journal matter that only looks like an entry, the label of a self-citation, particles that open an entry.
 HEADINGS = ["references", "bibliography", "works cited", "sources", "literature cited", "reference list", "cited references", "list of references", "references cited", "citations", "cited works"]
@@ -106,8 +107,8 @@ def reference_paragraphs(blocks: DataFrame) -> DataFrame:
     kept = paragraphs.withColumn("trusted", F.coalesce(trusted, F.lit(False))).where(F.col("listed") | (~F.col("by_heading") & run & F.col("trusted")))
     number = F.regexp_extract("text", r"^\s*(\d{1,4})[.)]\s", 1).try_cast("int")
     kept = kept.select("doc", "pos", "line", "text", "by_heading", number.alias("number"))
-    spread = F.size(F.collect_set("number").over(whole)) / (F.max("number").over(whole) - F.min("number").over(whole) + 1)
-    sparse = (F.count("number").over(whole) >= 3) & (spread < DENSITY)
+    share = F.size(F.collect_set("number").over(whole)) / (F.max("number").over(whole) - F.min("number").over(whole) + 1)
+    sparse = (F.count("number").over(whole) >= 3) & (share < DENSITY)
     return kept.withColumn("sparse", F.coalesce(sparse, F.lit(False))).where("number IS NULL OR NOT sparse").drop("number", "sparse")
 
 
@@ -134,26 +135,33 @@ def _keys(of: Callable[[str], list[str]], text: Column) -> Column:
     return F.pandas_udf(each, ArrayType(StringType()))(text)
 
 
-def bibliography(blocks: DataFrame) -> DataFrame:
+def bibliography(blocks: DataFrame, rows: int | None = None) -> DataFrame:
     """(doc, pos, line, text, entry_id, keys, duplicate, by_heading): the entries of each document's reference list, with what they are known by.
 
     A dash for an author stands for that of the entry before. entry_id is the likeliest key; different works of one
     key get letters in order, which no other entry of the document has by itself; an entry that repeats one (its first 60 letters and digits) has the id of
-    the first and is marked. Entries without a key can't be cited and have a null id. List marks of most entries go.
+    the first and is marked. Entries without a key can't be cited and have a null id. List marks of most entries go. Where rows says how many rows
+    blocks has at most, documents are dealt by it before they are sorted, and anew where keys were made, so that a task's share doesn't grow.
     """
-    rows = reference_paragraphs(blocks)
+    dealt = lambda df: df if rows is None else spread(df, rows, "doc")
+    found = _entries(reference_paragraphs(dealt(blocks)), dealt)
+    return found.select("doc", "pos", "line", "text", "entry_id", "keys", "duplicate", "by_heading")
+
+
+def _entries(rows: DataFrame, dealt: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Paragraphs of reference lists with what bibliography() adds; dealt brings each document's rows into one task."""
     whole, order = W.partitionBy("doc"), W.partitionBy("doc").orderBy("pos", "line")
     marked = F.col("text").rlike(r"^\s*[-*]\s")
     rows = rows.withColumn("_bullets", F.avg(marked.cast("double")).over(whole))
     rows = rows.withColumn("text", F.when(F.col("_bullets") > 0.5, F.regexp_replace("text", r"^\s*[-*]\s+", "")).otherwise(F.col("text")))
     dashed = F.col("text").rlike(DASH)
-    rows = rows.withColumn("_own", _keys(entry_keys, F.col("text"))).withColumn("_dashed", dashed)
+    rows = dealt(rows.withColumn("_own", _keys(entry_keys, F.col("text")))).withColumn("_dashed", dashed)
     author = F.when(~F.col("_dashed") & (F.size("_own") > 0), F.regexp_replace(F.regexp_extract("text", r"(?s)^(.*?)\d{4}", 1), r"[ .,;:(]+$", ""))
     rows = rows.withColumn("_author", F.last(author, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
     again = F.col("_dashed") & F.col("_author").isNotNull()
     filled = F.concat("_author", F.regexp_replace("text", DASH.replace("[.,\\s]", ""), ""))
     rows = rows.withColumn("keys", F.when(again, _keys(reference_keys, F.when(again, filled).otherwise(F.lit("")))).otherwise(F.col("_own")))
-    rows = rows.withColumn("_base", F.try_element_at("keys", F.lit(1)))
+    rows = dealt(rows.withColumn("_base", F.try_element_at("keys", F.lit(1))))
     rows = rows.withColumn("_probe", F.substring(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), 1, 60))
     alike = W.partitionBy("doc", "_base", "_probe").orderBy("pos", "line")
     rows = rows.withColumn("duplicate", F.col("_base").isNotNull() & (F.row_number().over(alike) > 1)).withColumn("_first", F.first(F.struct("pos", "line")).over(alike))
@@ -163,7 +171,7 @@ def bibliography(blocks: DataFrame) -> DataFrame:
     free = F.when(letter == "", F.array_except(F.array(*map(F.lit, _LETTERS)), F.col("_taken"))).otherwise(F.array(*map(F.lit, _LETTERS)))
     suffix = F.coalesce(F.try_element_at(free, F.col("_work")), F.concat(F.lit("_"), F.col("_work").cast("string")))
     entry = F.when(F.col("_works") == 1, F.col("_base")).otherwise(F.concat("_base", suffix))
-    return rows.select("doc", "pos", "line", "text", entry.alias("entry_id"), "keys", "duplicate", "by_heading")
+    return rows.withColumn("entry_id", entry)
 
 
 def key_map(entries: DataFrame) -> DataFrame:

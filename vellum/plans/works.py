@@ -78,7 +78,8 @@ named AS (SELECT *, last_value(name IGNORE NULLS) OVER (PARTITION BY doc ORDER B
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc, base ORDER BY k) AS r, count(*) OVER (PARTITION BY doc, base) AS n FROM named)
 SELECT doc, k + 1000 AS pos, CASE WHEN n = 1 THEN base ELSE base || chr(CAST(96 + r AS INT)) END AS entry_id, style <> 1 AS by_heading FROM placed""")
 def bibliography_entries(spark, d):
-    return B.bibliography(_entries(spark, d)).select("doc", "pos", "entry_id", "by_heading")
+    most = 6 * T(spark, d, "orders").count()  # an order has prose, an entry and a letter, a document three headings more
+    return B.bibliography(_entries(spark, d), most).select("doc", "pos", "entry_id", "by_heading")
 
 
 @query("bibliography_health", """
