@@ -215,3 +215,18 @@ def test_blocks_of_bibliographies_are_dealt_by_their_number(spark, sf, monkeypat
     df = registry.queries()["bibliography_entries"](spark, sf)
     assert dealt(df) == Counter({("doc", n): 3})
     assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(sf, "bibliography_entries")
+
+
+def test_citing_texts_are_dealt_and_each_key_meets_one_reference(spark, tmp_path, monkeypatch):
+    from vellum import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 40)
+    supplier = "SELECT i AS s_suppkey, 1 AS s_nationkey, 'S' AS s_name FROM range(600) t(i)"
+    d = tables(tmp_path, supplier=supplier, customer="SELECT i AS c_custkey, 1 AS c_nationkey FROM range(400) t(i)")
+    for name in ("in_text_links", "linked_texts"):
+        df = registry.queries()[name](spark, d)
+        assert dealt(df)["doc, pos", 10] >= 1
+        assert Counter(tuple(r) for r in df.collect()) == rows_by_sql(d, name)
+        assert joined_rows(df) <= 3_000
+    plan = registry.queries()["in_text_links"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [cited") == 1

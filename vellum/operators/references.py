@@ -247,14 +247,20 @@ def citation_links(blocks: DataFrame, references: DataFrame, doc: str, pos: str,
         return pd.Series([[dict(zip(("citation", "start", "stop", "leading", "keys"), c, strict=True)) for c in cited_years(t, b)] for t, b in zip(texts, befores, strict=True)])
 
     years = rows.select(*place, "_text", F.explode(cited("_text", "_before")).alias("_y")).select(*place, F.substring(F.col("_text"), F.col("_y.start") + 1, F.col("_y.stop") - F.col("_y.start")).alias("year"), "_y.*")
-    asked = years.select(*place, "start", "leading", F.posexplode("keys").alias("_first", "key"))
-    tried = _near(asked, ~F.col("leading"))
+    parts = lambda key: [F.regexp_extract(key, r"^(.*?)(\d{4})([a-z]?)$", i).alias(n) for i, n in ((1, "_name"), (2, "_in"), (3, "_letter"))]
+    asked = years.select(*place, "citation", "start", "stop", "year", "leading", F.posexplode_outer("keys").alias("_first", "_key")).withColumns(dict(zip(("_name", "_in", "_letter"), parts("_key"), strict=True)))
     known = keyed(references.select(F.col(doc), F.col(order).alias("_o"), F.col(reference_id).alias("_r"), F.col(reference).alias("_t")), F.col("_t"))
-    known = known.groupBy(doc, "key").agg(F.max_by("_r", F.struct("_o", "_r")).alias("_r"))
-    best = tried.join(known, [doc, "key"]).groupBy(*place, "start").agg(F.min(F.struct("step", "_first", "_r", "offset")).alias("_best"))
-    met = years.drop("keys").join(best, [*place, "start"], "left")
+    known = known.groupBy(doc, "key").agg(F.max_by("_r", F.struct("_o", "_r")).alias("_r")).select(doc, "_r", *parts("key")).where("_in >= '1000'")
+    # A reference stands at every year from which it may be meant, so that each key that is asked for meets one row at most.
+    tries = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(y).alias("offset")) for i, y in enumerate(YEAR_OFFSETS)])
+    tried = known.select(doc, "_r", "_name", "_letter", F.col("_in").cast("int").alias("_in"), F.explode(tries).alias("_near"))
+    best = tried.groupBy(doc, "_name", "_letter", (F.col("_in") - F.col("_near.offset")).alias("_in")).agg(F.min(F.struct("_near.step", "_r", "_near.offset")).alias("_b"))
+    met = asked.withColumn("_in", F.col("_in").try_cast("int")).join(best, [doc, "_name", "_letter", "_in"], "left")
+    may = F.when(F.col("leading") | (F.col("_b.step") == 0), F.when(F.col("_b").isNotNull(), F.struct("_b.step", "_first", "_b._r", "_b.offset")))
+    one = met.select(*place, "citation", "start", "stop", "year", "leading", may.alias("_m")).repartition(*place)
+    one = one.groupBy(*place, "citation", "start", "stop", "year", "leading").agg(F.min("_m").alias("_best"))
     exact = F.max(F.col("leading") & F.coalesce(F.col("_best.step") == 0, F.lit(False))).over(W.partitionBy(*place, "citation"))
-    linked = met.withColumn("_best", F.when(F.col("leading") | exact, F.col("_best")))
+    linked = one.withColumn("_best", F.when(F.col("leading") | exact, F.col("_best")))
     return linked.where("leading OR _best IS NOT NULL").select(*place, "citation", "start", "stop", "year", F.col("_best._r").alias(reference_id), F.col("_best.offset").alias("offset"))
 
 

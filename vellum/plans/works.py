@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import bibliography as B, crawl as C, references as Refs
 from vellum.plans.registry import query
-from vellum.session import shared_dir, table as T
+from vellum.session import shared_dir, spread, table as T
 
 MAX_WORKS, MAX_DEPTH = 150, 3
 
@@ -110,7 +110,8 @@ def _citing(spark, d):
         .when(c % 5 == 3, F.concat(lit("["), _name(c), lit(", "), y, lit("] and [1] and ["), y, lit("]")))
         .otherwise(F.concat(lit("In "), y, lit(" nothing was cited.")))
     )
-    return T(spark, d, "customer").select(F.col("c_nationkey").alias("doc"), c.alias("pos"), text.alias("text")), refs
+    customers = T(spark, d, "customer")
+    return spread(customers.select(F.col("c_nationkey").alias("doc"), c.alias("pos"), text.alias("text")), customers.count(), "doc", "pos"), refs
 
 
 _LINKS = f"""
