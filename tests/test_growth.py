@@ -230,3 +230,15 @@ def test_citing_texts_are_dealt_and_each_key_meets_one_reference(spark, tmp_path
         assert joined_rows(df) <= 3_000
     plan = registry.queries()["in_text_links"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython [cited") == 1
+
+
+def test_only_links_that_name_a_book_look_its_work_up(spark):
+    from vellum.operators import graph
+
+    library = spark.createDataFrame([("a", ""), ("b", "w"), ("c", None)], "book string, canonical_id string")
+    listed = [("a", "w", "c", True), ("a/Fn1", "", "b", False), ("a", None, None, True), (None, "w", None, True)] + [("c", "v", "a", False)] * 50 + [("c", None, None, None)] * 50
+    notes = [("b", True, "a"), ("a", True, None), ("c", False, "a"), ("gone", True, "a")]
+    df = graph.layers(spark.createDataFrame(listed, "book string, canonical_id string, foundation string, verified boolean"), spark.createDataFrame(notes, "book string, is_citation boolean, foundation string"), spark.createDataFrame([("c", ["/b/2#x", "", "https://e.org/c?q"])], "book string, cited_in array<string>"), library)
+    want = {("a", "w", "citation_verified"), ("a", "w", "citation_auto"), ("c", "v", "citation_auto"), ("w", "a", "citation_auto"), ("c", "w", "hypercite")}
+    assert Counter(tuple(r) for r in df.collect()) == Counter(want)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2

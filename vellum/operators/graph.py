@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.session import cut
@@ -93,18 +95,17 @@ def layers(bibliography: DataFrame, footnotes: DataFrame, hypercites: DataFrame,
     nodes = library.select("book", F.coalesce(F.nullif("canonical_id", F.lit("")), F.col("book")).alias("node"))
     root = lambda c: F.split_part(c, F.lit("/"), F.lit(1))
 
-    def of(df: DataFrame, book: str, name: str) -> DataFrame:
-        return df.join(nodes.select(F.col("book").alias(book), F.col("node").alias(name)), book, "left")
-
-    def cited(df: DataFrame) -> DataFrame:
-        return of(of(df.withColumn("_root", root(F.col("book"))), "_root", "source"), "foundation", "_stub")
-
-    listed = cited(bibliography).select("source", F.coalesce(F.nullif("canonical_id", F.lit("")), F.col("_stub")).alias("target"), F.when(F.coalesce("verified", F.lit(False)), "citation_verified").otherwise("citation_auto").alias("kind"))
-    noted = cited(footnotes.where("is_citation")).select("source", F.col("_stub").alias("target"), F.lit("citation_auto").alias("kind"))
-    addresses = hypercites.select(root(F.col("book")).alias("_root"), F.explode("cited_in").alias("_url"))
+    canonical = F.nullif("canonical_id", F.lit(""))
+    listed = bibliography.select(root(F.col("book")).alias("_root"), canonical.alias("target"), F.when(canonical.isNull(), F.col("foundation")).alias("_to"), F.when(F.coalesce("verified", F.lit(False)), "citation_verified").otherwise("citation_auto").alias("kind"))
+    noted = footnotes.where("is_citation").select(root(F.col("book")).alias("_root"), F.col("foundation").alias("_to"), F.lit("citation_auto").alias("kind"))
     path = F.regexp_replace(F.regexp_replace("_url", r"[?#].*$", ""), r"^(?:[a-z]+://[^/]*)?/*", "")
-    linked = of(of(addresses.withColumn("_to", root(path)), "_root", "source"), "_to", "target").select("source", "target", F.lit("hypercite").alias("kind"))
-    return listed.unionByName(noted).unionByName(linked).where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct()
+    linked = hypercites.select(root(F.col("book")).alias("_root"), F.explode("cited_in").alias("_url")).select("_root", root(path).alias("_to"), F.lit("hypercite").alias("kind"))
+    # Only what names a book has its work looked up; what names none is no edge and goes before anything is shuffled.
+    named = reduce(DataFrame.unionByName, [rows.where("_root IS NOT NULL AND _to IS NOT NULL") for rows in (listed.drop("target"), noted, linked)])
+    met = named.join(nodes.select(F.col("book").alias("_to"), F.col("node").alias("target")), "_to").select("_root", "target", "kind")
+    known = met.unionByName(listed.where("_root IS NOT NULL AND target IS NOT NULL").select("_root", "target", "kind"))
+    edges = known.join(nodes.select(F.col("book").alias("_root"), F.col("node").alias("source")), "_root").select("source", "target", "kind")
+    return edges.where("source <> target").distinct()
 
 
 def id_hash(name: Column) -> Column:
