@@ -122,3 +122,49 @@ def test_nothing_to_resolve(spark):
         spark.createDataFrame([], "parent long, work long"),
     )
     assert found.resolved.count() == found.near.count() == 0
+
+
+def test_titles_are_compared_once_and_only_where_they_can_resolve(spark, tmp_path, monkeypatch):
+    calls, compare = str(tmp_path / "calls"), L.title_similarity
+
+    def noted(a, b):
+        with open(calls, "a") as f:
+            f.write(f"{a} / {b}\n")
+        return compare(a, b)
+
+    monkeypatch.setattr(L, "title_similarity", noted)
+    title = "Large ring of volume 7"
+    works = [(k, f"Large ring of volume {k}", "Kurt Adler" if k == 8 else "Ada Weber", 1990, None, None, "x") for k in range(6, 9)] + [(9, "Night night", "Ada Weber", 1990, None, None, "x")]
+    # 300 alike; 50 of another author and 50 of none, who reach 0.4875 at most; one without an author whose words repeat, which lets titles be more than alike
+    entries = [(k, None, 0, title, "Weber, A.", 1990, None, None) for k in range(300)] + [(k, None, 0, title, "Adler, K.", 1980, None, None) for k in range(300, 350)]
+    entries += [(k, None, 0, title, None, 1980, None, None) for k in range(350, 400)] + [(400, None, 0, "Night night", None, 1990, None, None)]
+    found = R.resolve_entries(
+        spark.createDataFrame(entries, "entry long, part_of long, parent long, title string, author string, year int, text string, linked long").coalesce(1),
+        spark.createDataFrame(works, "work long, title string, author string, year int, doi string, isbn string, external string"),
+        spark.createDataFrame([(0, 8)], "parent long, work long"),
+    )
+    got = {r.entry: (r.work, r.method) for r in found.resolved.collect()}
+    assert {got[k] for k in range(300)} == {(7, "title")} and {got[k] for k in range(300, 350)} == {(8, "cited")} and not got.keys() & set(range(350, 400)) and got[400] == (9, "title")
+    made = [line.strip() for line in open(calls)]
+    assert len(made) == 3 and set(made) == {f"{title} / {title}", f"{title} / Large ring of volume 8", "Night night / Night night"}
+    assert {(r.entry, r.work) for r in found.near.collect()} == {(k, w) for k in range(350, 400) for w in (7, 8)}
+
+
+def test_common_substrings_equal_a_loop_over_letters():
+    def by_letters(a, b):
+        best, row = (0, 0, 0), [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [0] * (len(b) + 1)
+            for j, y in enumerate(b):
+                if x == y:
+                    new[j + 1] = row[j] + 1
+                    if new[j + 1] > best[0]:
+                        best = new[j + 1], i - row[j], j - row[j]
+            row = new
+        return best
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ("".join(rng.choices("ab\u00e9 ", k=rng.randrange(12))) for _ in "ab")
+        assert L._longest_common(a, b) == by_letters(a, b)
+        assert L.similar_text(a, a) == (1.0 if a else 0.0) and L.title_similarity(a, b) <= L.title_ceiling(a)

@@ -37,7 +37,8 @@ def isbn(text: Column) -> Column:
     ten = F.upper(F.regexp_replace(F.regexp_extract(text, ISBN10, 1), r"[^\dXx]", ""))
     long_ = _with(thirteen, lambda d: F.when(_weighed(d, [1, 3] * 6 + [1]) % 10 == 0, d))
     short = _with(ten, lambda d: F.when(_weighed(d, list(range(10, 0, -1))) % 11 == 0, F.concat(F.lit("978"), F.substring(d, 1, 9))))
-    return F.coalesce(long_, _with(short, lambda d: F.concat(d, ((10 - _weighed(d, [1, 3] * 6) % 10) % 10).cast("string"))))
+    found = F.coalesce(long_, _with(short, lambda d: F.concat(d, ((10 - _weighed(d, [1, 3] * 6) % 10) % 10).cast("string"))))
+    return F.when(text.rlike(r"\d[\d\-\s]{8}"), found)  # either form holds nine such characters; most texts don't
 
 
 def arxiv(text: Column) -> Column:

@@ -6,7 +6,7 @@ import re
 import unicodedata
 from bisect import bisect
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -33,15 +33,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _longest_common(a: str, b: str) -> tuple[int, int, int]:
-    best, row = (0, 0, 0), [0] * (len(b) + 1)
-    for i, x in enumerate(a):
-        new = [0] * (len(b) + 1)
-        for j, y in enumerate(b):
-            if x == y:
-                new[j + 1] = row[j] + 1
-                if new[j + 1] > best[0]:
-                    best = new[j + 1], i - row[j], j - row[j]
-        row = new
+    """The length of the longest common substring and where it begins in each, the first of several; substrings are looked for whole, not letter by letter."""
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        n = best[0]
+        while i + n < len(a) and a[i : i + n + 1] in b:
+            n += 1
+        if n > best[0]:
+            best = n, i, b.find(a[i : i + n])
     return best
 
 
@@ -52,17 +51,22 @@ def similar_text(a: str, b: str) -> float:
         n, i, j = _longest_common(x, y)
         return n + matched(x[:i], y[:j]) + matched(x[i + n :], y[j + n :]) if n else 0
 
-    return 2 * matched(a, b) / (len(a) + len(b)) if a or b else 0.0
+    if a == b:
+        return 1.0 if a else 0.0
+    return 2 * matched(a, b) / (len(a) + len(b))
 
 
 #: Words that titles are compared without, and ways to write "and others".
 TITLE_STOPS = {"the", "a", "an", "of", "and", "in", "on", "to", "for", "by", "with", "from", "at", "is", "as"}
 ET_AL = {"et al.", "et al", "etal"}
+_SPELT = str.maketrans({"\u00df": "ss", "\u00e6": "ae", "\u0153": "oe", "\u00f8": "o", "\u0142": "l", "\u00f0": "d", "\u00fe": "th", "\u0111": "d"})
 
 
 def folded(text: str) -> str:
     """Lower case with accents off and letters that don't decompose spelt out."""
-    spelt = text.lower().translate(str.maketrans({"\u00df": "ss", "\u00e6": "ae", "\u0153": "oe", "\u00f8": "o", "\u0142": "l", "\u00f0": "d", "\u00fe": "th", "\u0111": "d"}))
+    if text.isascii():
+        return text.lower()
+    spelt = text.lower().translate(_SPELT)
     return "".join(c for c in unicodedata.normalize("NFD", spelt) if unicodedata.category(c) != "Mn")
 
 
@@ -89,15 +93,22 @@ def name_similarity(a: str, b: str) -> float:
 
 def title_similarity(a: str, b: str) -> float:
     """Blend of word overlap without stop words and similar text, less for titles of unlike numbers of words."""
-    whole = [plain_words(s) for s in (a, b)]
+    whole = [plain_words(a)] * 2 if a == b else [plain_words(s) for s in (a, b)]
     x, y = ([w for w in words if w not in TITLE_STOPS] for words in whole)
     if not x or not y:
         return 0.0
-    overlap = sum(w in set(y) for w in x) / len({*x, *y})
+    others = set(y)
+    overlap = sum(w in others for w in x) / len({*x, *y})
     alike = similar_text(*(" ".join(words) for words in whole))
     return (0.6 * overlap + 0.4 * alike) * (0.5 + 0.5 * min(len(x), len(y)) / max(len(x), len(y)))
 
 
+def title_ceiling(title: str) -> float:
+    """The most that title_similarity() of a title with any other can be; above 1 where words of it repeat."""
+    words = [w for w in plain_words(title) if w not in TITLE_STOPS]
+    return 0.6 * (len(words) / len(set(words))) + 0.4 if words else 0.0
+
+
 def text_score(a: str, b: str) -> float:
     """Similar text of journals or publishers of three bytes or more; nothing below 0.4."""
     if min(len(a.encode()), len(b.encode())) < 3:
@@ -126,24 +137,35 @@ def _one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
+def _alike_once(f, x: Iterable, y: Iterable) -> pd.Series:
+    """f of each pair of an Arrow batch, made once for each unlike pair of it."""
+    made: dict = {}
+    out = []
+    for pair in zip(x, y, strict=True):
+        if pair not in made:
+            made[pair] = f(*pair)
+        out.append(made[pair])
+    return pd.Series(out, dtype="float64")
+
+
 def pairwise(f, a: Column, b: Column) -> Column:
-    """A two-string similarity as an Arrow-batched function; nulls are empty."""
+    """A two-string similarity as an Arrow-batched function; nulls are empty. Not deterministic for Spark, which would else run it again in each filter on it."""
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([f(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
+        return _alike_once(lambda p, q: f(p or "", q or ""), x, y)
 
     run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "double")(a, b)
+    return F.pandas_udf(run, "double").asNondeterministic()(a, b)
 
 
 def author_score(authors: Column, candidate: Column) -> Column:
-    """authors_matched() of an array of names and a string; nulls are empty."""
+    """authors_matched() of an array of names and a string; nulls are empty. Not deterministic for Spark, as pairwise()."""
 
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([authors_matched([] if p is None else list(p), q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
+        return _alike_once(lambda p, q: authors_matched(list(p), q or ""), (() if p is None else tuple(p) for p in x), y)
 
     run.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "double")(authors, candidate)
+    return F.pandas_udf(run, "double").asNondeterministic()(authors, candidate)
 
 
 def year_score(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from vellum.functions import documents as D, identifiers as R
 from vellum.operators import convert, copies, quality as Q, resolution
 from vellum.plans.registry import query
-from vellum.session import spread, table as T
+from vellum.session import spread, table as T, written
 
 
 @query("document_flags", rf"""
@@ -121,12 +121,13 @@ def resolved_entries(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     parts = T(spark, d, "part").select(F.col("p_partkey").alias("work"), F.concat("p_name", F.lit(" of volume "), F.col("p_partkey").cast("string")).alias("title"), F.concat(F.lit("Author "), "p_brand").alias("author"), (1950 + F.col("p_size")).alias("year"), F.when(F.col("p_size") % 10 == 0, F.concat(F.lit("10.1000/W"), F.col("p_partkey").cast("string"))).alias("doi"), F.lit(None).cast("string").alias("isbn"), F.when(F.col("p_size") % 4 != 0, "x").alias("external"))
     mine = T(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("work"))
-    rows = T(spark, d, "orders").join(mine, "o_orderkey").join(parts.select("work", F.col("title").alias("_t"), F.col("author").alias("_a"), F.col("year").alias("_y"), F.col("doi").alias("_d")).hint("merge"), "work")
+    orders = written(T(spark, d, "orders").join(mine.hint("merge"), "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus", "work"), "orders")
+    rows = orders.join(parts.select("work", F.col("title").alias("_t"), F.col("author").alias("_a"), F.col("year").alias("_y"), F.col("doi").alias("_d")).hint("merge"), "work")
     entries = rows.select(
         k.alias("entry"), F.when(k % 4 == 0, c).alias("part_of"), c.alias("parent"), F.when(k % 9 == 0, F.concat("_t", F.lit(": a study"))).when(k % 7 != 0, F.col("_t")).alias("title"), F.when(k % 3 != 0, F.col("_a")).alias("author"), F.col("_y").alias("year"),
         F.when(k % 2 == 0, F.concat(F.lit("doi:"), "_d")).alias("text"), F.when(k % 31 == 0, F.col("work")).alias("linked"),
     )
-    cited = rows.where("o_orderstatus = 'P'").select(c.alias("parent"), "work").distinct()
+    cited = orders.where("o_orderstatus = 'P'").select(c.alias("parent"), "work")
     return resolution.resolve_entries(entries, parts, cited).resolved
 
 
